@@ -1,0 +1,26 @@
+"""A join that stays balanced when one key holds a large share of the left rows."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SALTS = 16
+
+
+def salted_join(
+    left: DataFrame, right: DataFrame, on: list, how: str = "inner", salts: int = SALTS
+) -> DataFrame:
+    """Equi-join with the left rows of a key spread over ``salts`` partitions.
+
+    The salt of a left row is a hash of its other columns, so it is the same on
+    a retry.  The right side, by contract the lookup side (distinct keys or a few
+    rows per key), is repeated once per salt.  Each left row still meets each
+    matching right row exactly once, hence inner, left, semi and anti joins keep
+    their meaning.  When statistics show that the right side is small, Spark
+    broadcasts it and the salt costs nothing.
+    """
+    rest = [c for c in left.columns if c not in on] or on
+    salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)))
+    salted_right = right.withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+    )
+    return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
