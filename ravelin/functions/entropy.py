@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ravelin.functions.text import contains_any
+
 # Entropy threshold and minimum length per encoding class.
 THRESHOLD = {"hex": 3.5, "base64": 4.5, "alphanumeric": 3.8, "url": 3.6, "generic": 4.0}
 MIN_LENGTH = {"hex": 16, "base64": 20, "alphanumeric": 20, "url": 24, "generic": 20}
@@ -73,15 +75,8 @@ def mask(value: Column) -> Column:
     )
 
 
-def contains_any(value: Column, words: list) -> Column:
-    """Plain substring test, so 'key' is also found in 'monkey'."""
-    found = F.lit(False)
-    for word in words:
-        found = found | value.contains(word)
-    return found
-
-
 def is_secret_name(name: Column) -> Column:
+    """Plain substring test, so 'key' is also found in 'monkey'."""
     return contains_any(F.lower(name), SECRET_NAMES)
 
 

@@ -60,17 +60,10 @@ SOLANA_MARKERS = ["solana_program", "anchor_lang", "AccountInfo"]
 LATE = 1_000_000_000_000  # position of rules reported after all line rules
 
 
-def contains_any(text: Column, words: list) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | text.contains(word)
-    return found
-
-
 def chain_of(text: Column) -> Column:
     """Chain of a Rust source; CosmWasm is tested first."""
-    return F.when(contains_any(text, COSMWASM_MARKERS), "COSMWASM").when(
-        contains_any(text, SOLANA_MARKERS), "SOLANA"
+    return F.when(T.contains_any(text, COSMWASM_MARKERS), "COSMWASM").when(
+        T.contains_any(text, SOLANA_MARKERS), "SOLANA"
     )
 
 
@@ -170,7 +163,7 @@ def evm_hits(text: Column, substring_guards: bool = False) -> Column:
     def guarded(lines, x):
         frame = window(lines, x["n"], 9, 0)
         if substring_guards:
-            return F.exists(frame, lambda s: contains_any(s, EVM_GUARDS))
+            return F.exists(frame, lambda s: T.contains_any(s, EVM_GUARDS))
         return F.arrays_overlap(frame, F.array(*[F.lit(g) for g in EVM_GUARDS]))
 
     def unchecked(lines, x):

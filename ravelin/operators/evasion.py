@@ -89,8 +89,13 @@ def _kept(hits: Column) -> Column:
     return F.filter(hits, lambda h: h["evidence"].isNotNull())
 
 
-def _per_line(text: Column, pattern: str, decoder, kind: str, rank: int) -> Column:
+def _per_line(
+    text: Column, pattern: str, decoder, kind: str, rank: int, word: str | None = None
+) -> Column:
     """Decoders whose matches never span a line."""
+    possible = text.rlike(pattern)
+    if word:
+        possible = text.contains(word) & possible
     lines = F.filter(
         T.numbered(F.split(text, "\n", -1)), lambda x: x["s"].rlike(pattern)
     )
@@ -103,10 +108,10 @@ def _per_line(text: Column, pattern: str, decoder, kind: str, rank: int) -> Colu
             ),
         )
     )
-    return F.when(text.rlike(pattern), _kept(hits)).otherwise(no_hits())
+    return F.when(possible, _kept(hits)).otherwise(no_hits())
 
 
-def _spanning(text: Column, pattern: str, codes, rank: int) -> Column:
+def _spanning(text: Column, pattern: str, codes, rank: int, word: str) -> Column:
     """Char codes may span lines: count the line ends before each match."""
     pattern = T.rx(pattern)
 
@@ -136,7 +141,7 @@ def _spanning(text: Column, pattern: str, codes, rank: int) -> Column:
         )
 
     return F.when(
-        text.rlike(pattern),
+        F.lower(text).contains(word) & text.rlike(pattern),
         T.bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), with_matches),
     ).otherwise(no_hits())
 
@@ -146,13 +151,13 @@ def base64_hits(text: Column) -> Column:
 
 
 def hex_hits(text: Column) -> Column:
-    return _per_line(text, HEX, decode_hex, "hex", 1)
+    return _per_line(text, HEX, decode_hex, "hex", 1, word="\\x")
 
 
 def charcode_hits(text: Column) -> Column:
     return F.concat(
-        _spanning(text, CHR_CHAIN, chain_codes, 2),
-        _spanning(text, FROM_CHAR_CODE, list_codes, 3),
+        _spanning(text, CHR_CHAIN, chain_codes, 2, "chr("),
+        _spanning(text, FROM_CHAR_CODE, list_codes, 3, "fromcharcode("),
     )
 
 

@@ -1,9 +1,9 @@
 """Line-pattern rules: nine language packs and the Solidity line pack.
 
 A pack is a short list of (rule id, pattern).  Patterns are inlined as literals,
-so each is compiled once per task.  A pack first probes the whole text with the
-alternation of its patterns; only texts that pass are split into lines, and only
-lines that pass the same probe are tested rule by rule.  Nothing is shuffled.
+so each is compiled once per task.  Every pattern needs one of a few plain words;
+only texts that hold such a word are split into lines, and only such lines are
+tested rule by rule.  Nothing is shuffled.
 """
 
 from pyspark.sql import Column
@@ -72,10 +72,6 @@ CPP = [
     ("X002", r"\bsystem\s*\([^)]*(\+|c_str\s*\()"),
     ("X003", r"\b(MD5_Init|SHA1_Init|EVP_md5|EVP_sha1)\s*\("),
 ]
-PACKS = {
-    "javascript": JAVASCRIPT, "go": GO, "java": JAVA, "php": PHP, "ruby": RUBY,
-    "csharp": CSHARP, "kotlin": KOTLIN, "rust": RUST, "cpp": CPP,
-}
 # A rule listed here needs a second pattern on the same line.
 GATES = {
     "A005": r"(?i:(token|secret|key|passwd|password|pwd|nonce|salt|otp|session|csrf))",
@@ -97,87 +93,130 @@ SOLIDITY = [
     ("SOL014", r"revert\s*\(\s*\)"),
     ("SOL015", r"ecrecover\s*\("),
 ]
+RULES = {
+    "javascript": JAVASCRIPT, "go": GO, "java": JAVA, "php": PHP, "ruby": RUBY,
+    "csharp": CSHARP, "kotlin": KOTLIN, "rust": RUST, "cpp": CPP, "solidity": SOLIDITY,
+}
+LANGUAGES = [name for name in RULES if name != "solidity"]
+# Words of which a line must hold one to match any rule of the pack.
+WORDS = {
+    "javascript": [
+        "eval", "exec", "spawn", "innerHTML", "createHash", "rejectUnauthorized",
+        "NODE_TLS_REJECT_UNAUTHORIZED",
+    ],
+    "go": [".New", "InsecureSkipVerify", "exec.Command", ".Query", ".Exec"],
+    "java": [
+        "Runtime.getRuntime", "ProcessBuilder", ".execute", "ObjectInputStream",
+        "Random", ".evaluate", ".compile",
+    ],
+    "php": [
+        "eval", "system", "exec", "passthru", "popen", "proc_open", "->query",
+        "mysqli_query", "md5", "sha1", "unserialize", "->xpath",
+    ],
+    "ruby": [
+        "eval", "#{", "Marshal.load", "YAML.load", "Digest::",
+    ],
+    "csharp": [
+        ".Create", "CryptoServiceProvider", "Process.Start", "SqlCommand",
+        "CommandText", "BinaryFormatter", ".SelectNodes", ".SelectSingleNode",
+    ],
+    "kotlin": [
+        "Runtime.getRuntime", "ProcessBuilder", ".execute", ".rawQuery",
+        "ObjectInputStream",
+    ],
+    "rust": ["Md5::new", "Sha1::new", "md5::compute", "format!"],
+    "cpp": ["strcpy", "strcat", "sprintf", "gets", "system", "MD5_Init", "SHA1_Init", "EVP_"],
+    "solidity": [
+        ".transfer", ".send", ".call", "tx.origin", "uint", "selfdestruct", "block.",
+        "function", "for", "owner", "admin", "delegatecall", "mapping", "address",
+        "encodePacked", "init", "revert", "ecrecover",
+    ],
+}
+# The same, for rules that ignore case; compared in lower case.
+FOLDED_WORDS = {"java": ["getinstance"], "kotlin": ["getinstance"]}
 # The Solidity pack numbers hits rule by rule, the others line by line.
 RULE_STRIDE = 1_000_000_000
 
 
-def any_of(pack: list) -> str:
-    return "|".join(f"(?:{pattern})" for _, pattern in pack)
-
+def line_matches(text: Column, pack: str, comment: str = T.COMMENT_CODE) -> Column:
+    """array<struct<rule, n, s>>: the rule's place in the pack, line number, line.
 
-def line_hits(
-    text: Column,
-    pack: list,
-    comment: str = T.COMMENT_CODE,
-    width: int = 200,
-    rule_major: bool = False,
-    confidence: float | None = None,
-    probe: str | None = None,
-) -> Column:
-    """array<HIT>: one hit per line that is no comment and rule that matches it.
-
-    ``probe`` must match every text that holds a hit.  A line match is also a
-    match in the whole text as long as no pattern looks ahead past its end, so
-    the alternation of the patterns is the default.
+    Plain words decide which texts are split and which lines are tested.
     """
-    every = any_of(pack)
+    rules = RULES[pack]
 
-    def test(line: Column, index: int, rule_id: str, pattern: str) -> Column:
-        seq = (
-            F.lit(index).cast("bigint") * RULE_STRIDE + line["n"]
-            if rule_major
-            else line["n"].cast("bigint") * 100 + index
-        )
-        matched = T.search(line["s"], pattern)
+    def test(x: Column, place: int, rule_id: str, pattern: str) -> Column:
+        matched = T.search(x["s"], pattern)
         if rule_id in GATES:
-            matched = matched & T.search(line["s"], GATES[rule_id])
-        return F.when(
-            matched,
-            hit(
-                rule_id=F.lit(rule_id),
-                line=line["n"],
-                evidence=F.substring(T.strip(line["s"]), 1, width),
-                seq=seq,
-                confidence=F.lit(confidence),
-            ),
-        )
+            matched = matched & T.search(x["s"], GATES[rule_id])
+        return F.when(matched, F.lit(place))
+
+    def words_in(value: Column) -> Column:
+        found = T.contains_any(value, WORDS[pack])
+        if pack in FOLDED_WORDS:
+            found = found | T.contains_any(F.lower(value), FOLDED_WORDS[pack])
+        return found
 
-    candidates = F.filter(
+    lines = F.filter(
         T.numbered(T.splitlines(text)),
-        lambda x: T.search(x["s"], every) & ~T.is_comment(x["s"], comment),
+        lambda x: words_in(x["s"]) & ~T.is_comment(x["s"], comment),
     )
-    hits = F.flatten(
+    matches = F.flatten(
         F.transform(
-            candidates,
-            lambda x: F.array_compact(
-                F.array(*[test(x, k, rid, p) for k, (rid, p) in enumerate(pack)])
+            lines,
+            lambda x: F.transform(
+                F.array_compact(
+                    F.array(*[test(x, k, rid, p) for k, (rid, p) in enumerate(rules)])
+                ),
+                lambda place: F.struct(
+                    place.alias("rule"), x["n"].alias("n"), x["s"].alias("s")
+                ),
             ),
         )
     )
-    return F.when(T.search(text, probe or every), hits).otherwise(no_hits())
+    return F.when(words_in(text), matches)
+
+
+def to_hits(
+    matches: Column, rule_ids: Column, width: int = 200, rule_major: bool = False,
+    confidence: float | None = None,
+) -> Column:
+    """Matches to hits; seq counts line by line or rule by rule."""
+
+    def one(m: Column) -> Column:
+        rule, n = m["rule"].cast("bigint"), m["n"].cast("bigint")
+        return hit(
+            rule_id=rule_ids[m["rule"]],
+            line=m["n"],
+            evidence=F.substring(T.strip(m["s"]), 1, width),
+            seq=rule * RULE_STRIDE + n if rule_major else n * 100 + rule,
+            confidence=F.lit(confidence),
+        )
+
+    return F.coalesce(F.transform(matches, one), no_hits())
+
+
+def rule_ids(pack: str) -> Column:
+    return F.array(*[F.lit(rule_id) for rule_id, _ in RULES[pack]])
+
+
+def by_language(language: Column, value) -> Column:
+    routed = F
+    for name in LANGUAGES:
+        routed = routed.when(language == name, value(name))
+    return routed
 
 
 def source_hits(language: Column, text: Column) -> Column:
     """Hits of the nine line-pattern languages, routed by language."""
-    routed = None
-    for name, pack in PACKS.items():
-        branch = line_hits(text, pack)
-        routed = (
-            F.when(language == name, branch)
-            if routed is None
-            else routed.when(language == name, branch)
-        )
-    return routed.otherwise(no_hits())
+    matches = by_language(language, lambda name: line_matches(text, name))
+    return to_hits(matches, by_language(language, rule_ids))
 
 
 def solidity_hits(ext: Column, text: Column) -> Column:
     """Hits of the Solidity line pack for ``.sol`` files."""
-    # Some patterns look ahead, so the probe drops what follows the look-ahead.
-    probe = any_of([(rid, p.split("(?!")[0]) for rid, p in SOLIDITY])
-    return F.when(
-        ext == ".sol",
-        line_hits(
-            text, SOLIDITY, T.COMMENT_SOLIDITY, width=120, rule_major=True,
-            confidence=75.0, probe=probe,
-        ),
-    ).otherwise(no_hits())
+    matches = line_matches(text, "solidity", T.COMMENT_SOLIDITY)
+    return to_hits(
+        F.when(ext == ".sol", matches), rule_ids("solidity"), width=120,
+        rule_major=True, confidence=75.0,
+    )

@@ -40,18 +40,10 @@ OPENERS = ["os.open", "io.open", "codecs.open"]
 UNSAFE_LOADERS = ["", "Loader", "UnsafeLoader"]
 SAFE_LOADERS = ["SafeLoader", "FullLoader", "CSafeLoader"]
 
-# A file without any of these words can break no rule and is not parsed.
-WORTH_PARSING = (
-    r"(?i)md5|sha1|md4|sha\.new|hashlib|\bnew\b|ECB|verify|check_hostname|"
-    r"unverified_context|load|shelve|eval|exec|system|popen|shell|raw|extra|"
-    r"render_template_string|mark_safe|random|etree|open|xpath|search_"
-)
-
-
 def facts(is_python: Column, text: Column) -> Column:
     """Facts of the Python files; all other rows send a null to Python."""
     reader = F.pandas_udf(pyfacts.batch, pyfacts.FACTS)
-    return reader(F.when(is_python & text.rlike(WORTH_PARSING), text))
+    return reader(F.when(is_python, text))
 
 
 def of_kind(all_facts: Column, kind: str) -> Column:
@@ -192,19 +184,7 @@ def python_hits(all_facts: Column, text: Column) -> Column:
     """array<HIT> of one Python file, in source order."""
 
     def of_context(ctx: Column) -> Column:
-        def emit(f, rule_id, k):
-            return hit(
-                rule_id=F.lit(rule_id),
-                line=f["line"],
-                evidence=F.substring(
-                    T.strip(F.coalesce(F.try_element_at(ctx["lines"], f["line"]), F.lit(""))),
-                    1,
-                    200,
-                ),
-                seq=f["rank"].cast("bigint") * 100 + k,
-            )
-
-        def of_fact(f):
+        def rules_of(f):
             tests = [
                 ("P003", (f["kind"] == "attribute") & f["attr"].isin("MODE_ECB", "ECB")),
                 (
@@ -219,12 +199,26 @@ def python_hits(all_facts: Column, text: Column) -> Column:
                 ),
             ]
             calls = call_rules(f, ctx["helpers"], ctx["variables"])
-            tests += [(rid, (f["kind"] == "call") & cond) for rid, cond in calls]
+            tests += [(rule, (f["kind"] == "call") & broken) for rule, broken in calls]
             return F.array_compact(
-                F.array(*[F.when(cond, emit(f, rid, k)) for k, (rid, cond) in enumerate(tests)])
+                F.array(*[F.when(broken, F.lit(rule)) for rule, broken in tests])
             )
 
-        return F.flatten(F.transform(ctx["facts"], of_fact))
+        def emit(f, rule, k):
+            line = F.coalesce(F.try_element_at(ctx["lines"], f["line"]), F.lit(""))
+            return hit(
+                rule_id=rule,
+                line=f["line"],
+                evidence=F.substring(T.strip(line), 1, 200),
+                seq=f["rank"].cast("bigint") * 100 + k,
+            )
+
+        return F.flatten(
+            F.transform(
+                ctx["facts"],
+                lambda f: F.transform(rules_of(f), lambda rule, k: emit(f, rule, k)),
+            )
+        )
 
     context = F.struct(
         all_facts.alias("facts"),

@@ -43,7 +43,7 @@ def is_minified(text: Column) -> Column:
     """A line over 2000 characters, or a tenth of the head not printable ASCII."""
     head = F.substring(text, 1, 4096)
     # DEL counts as printable here.
-    junk = F.length(F.regexp_replace(head, r"[\x20-\x7f\t\n\r]", ""))
+    junk = F.length(F.regexp_replace(head, r"[\x20-\x7f\t\n\r]+", ""))
     long_line = F.exists(T.splitlines(text), lambda s: F.length(s) > 2000)
     return (
         F.when(junk / F.greatest(F.length(head), F.lit(1)) > 0.1, True)
@@ -52,6 +52,11 @@ def is_minified(text: Column) -> Column:
     )
 
 
+def may_hold_secret(text: Column) -> Column:
+    """A quoted run of ten characters is part of every candidate."""
+    return text.rlike(r"[\"'][A-Za-z0-9+/=_\-]{10,}[\"']")
+
+
 def is_likely_secret(
     value: Column, name: Column, entropy: Column, encoding: Column, ext: Column
 ) -> Column:
@@ -169,13 +174,11 @@ def secret_hits(ext: Column, text: Column, post_filter: bool = True) -> Column:
 
     candidates = F.filter(
         T.numbered(T.splitlines(text)),
-        lambda x: (x["s"].rlike(QUOTED) | T.search(x["s"], ASSIGNMENT))
+        lambda x: may_hold_secret(x["s"])
         & ~T.is_comment(x["s"], T.COMMENT_SECRETS),
     )
     hits = F.flatten(F.transform(candidates, of_line))
-    # A quoted run of ten characters is part of every candidate.
-    probe = text.rlike(r"[\"'][A-Za-z0-9+/=_\-]{10,}[\"']")
-    return F.when(probe, hits).otherwise(no_hits())
+    return F.when(may_hold_secret(text), hits).otherwise(no_hits())
 
 
 def to_hit(c: Column, k: Column, line: Column) -> Column:
@@ -203,11 +206,12 @@ def to_hit(c: Column, k: Column, line: Column) -> Column:
 
 def secret_file_hits(path_parts: Column, ext: Column, text: Column) -> Column:
     """``secret_hits`` behind the file guards: type, folder, minified."""
-    guarded = (
-        ~F.lower(ext).isin(SKIP_EXTENSIONS)
-        & ~F.arrays_overlap(path_parts, F.array(*[F.lit(d) for d in SKIP_DIRS]))
+    folders = F.array(*[F.lit(d) for d in SKIP_DIRS])
+    # One test after the other, the cheap ones first.
+    return (
+        F.when(F.lower(ext).isin(SKIP_EXTENSIONS), no_hits())
+        .when(F.arrays_overlap(path_parts, folders), no_hits())
+        .when(~may_hold_secret(text), no_hits())
+        .when(is_minified(text), no_hits())
+        .otherwise(secret_hits(F.lower(ext), text))
     )
-    return F.when(
-        guarded,
-        F.when(~is_minified(text), secret_hits(F.lower(ext), text)).otherwise(no_hits()),
-    ).otherwise(no_hits())

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ravelin.functions import text as T
 from ravelin.plans.corpus import CORPUS, EXTENSION
 from ravelin.sources.files import from_table
+from ravelin.sources.tables import read_table, spread
 
 ADDR = "Ab3" * 15  # 45 characters of an address
 BECH = "q0z9" * 9 + "abc"  # 39 characters of an address
@@ -98,7 +99,7 @@ SNIPPET_SCHEMA = (
 def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = snippets()
     table = F.broadcast(spark.createDataFrame(rows, SNIPPET_SCHEMA))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = docs.withColumn("sid", F.pmod("doc_id", F.lit(len(rows))).cast("int")).join(
         table, "sid"
     )

@@ -35,14 +35,16 @@ def hit(**fields: Column) -> Column:
     """A HIT struct with typed nulls for the fields not given."""
     return F.struct(
         *[
-            fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+            fields[f.name].cast(f.dataType).alias(f.name)
+            if f.name in fields
+            else F.expr(f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}")
             for f in HIT.fields
         ]
     )
 
 
 def no_hits() -> Column:
-    return F.array().cast(T.ArrayType(HIT))
+    return F.expr(f"CAST(array() AS array<{HIT.simpleString()}>)")
 
 
 def conform(df: DataFrame) -> DataFrame:
