@@ -68,7 +68,7 @@ def _ddl(fields: str) -> str:
 
 def is_valid(on: Column | None = None) -> Column:
     day = F.current_date() if on is None else on
-    return F.coalesce(F.try_to_date("expires", F.lit("yyyy-MM-dd")) >= day, F.lit(False))
+    return F.coalesce(F.try_to_date("expires", "yyyy-MM-dd") >= day, F.lit(False))
 
 
 def covers(target: Column, pattern: Column) -> Column:
@@ -104,7 +104,8 @@ def decide(
     probes = (
         targets.select("target")
         .distinct()
-        .withColumn("n", F.explode(F.filter(lengths, lambda n: n <= F.length("target"))))
+        .withColumn("n", F.explode(lengths))
+        .where(F.col("n") <= F.length("target"))
         .select("target", F.expr("substring(target, 1, n)").alias("head"))
     )
     matched = (

@@ -18,7 +18,11 @@ def salted_join(
     their meaning.  When statistics show that the right side is small, Spark
     broadcasts it and the salt costs nothing.
     """
-    rest = [c for c in left.columns if c not in on] or on
+    rest = [
+        f.name
+        for f in left.schema.fields
+        if f.name not in on and "map<" not in f.dataType.simpleString()
+    ] or on
     salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)))
     salted_right = right.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))

@@ -28,7 +28,8 @@ def score_cases(cases: DataFrame, findings: DataFrame) -> DataFrame:
 def scorecard(scored: DataFrame) -> DataFrame:
     """Recall, false-positive rate, precision for the modelled set and overall."""
     vulnerable, secure = F.col("side") == "vulnerable", F.col("side") == "secure"
-    counted = scored.groupBy(F.explode(scopes()).alias("scope")).agg(
+    per_scope = scored.withColumn("scope", F.explode(scopes()))
+    counted = per_scope.groupBy("scope").agg(
         F.count_if(vulnerable).alias("cases"),
         F.count_if(vulnerable & F.col("hit")).alias("tp"),
         F.count_if(secure & F.col("flagged")).alias("fp"),

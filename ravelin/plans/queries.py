@@ -735,7 +735,7 @@ def u03_distinct_fingerprints(spark, d):
 
 @query
 def u04_rules_never_fired(spark, d):
-    fired = D.event_findings(spark, d).select("cwe").distinct()
+    fired = D.event_findings(spark, d).select(F.upper("cwe").alias("cwe")).distinct()
     return catalog.cwe_notes(spark).select(F.col("kb_cwe").alias("cwe")).join(fired, "cwe", "left_anti")
 
 

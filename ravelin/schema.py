@@ -4,7 +4,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FINDING = T.StructType.fromDDL(
+TYPES = {
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(),
+    "double": T.DoubleType(), "array<string>": T.ArrayType(T.StringType()),
+    "map<string,string>": T.MapType(T.StringType(), T.StringType()),
+}
+
+
+def struct_type(fields: str) -> T.StructType:
+    """A StructType from 'name type, ...' without needing a session."""
+    pairs = (field.split(" ") for field in fields.split(", "))
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in pairs])
+
+
+FINDING = struct_type(
     "engine string, engine_rank int, pack_rank int, seq bigint, source string, "
     "rule_id string, severity string, title string, message string, "
     "description string, cwe string, category string, chain string, "
@@ -18,7 +31,7 @@ FINDING = T.StructType.fromDDL(
 # What a detection pack returns for one hit.  Everything a rule knows by itself
 # (cwe, title, ...) comes later from the rule table; the optional fields here
 # override it where the text of the hit decides.
-HIT = T.StructType.fromDDL(
+HIT = struct_type(
     "rule_id string, line int, evidence string, seq bigint, severity string, "
     "title string, message string, confidence double, entropy double, "
     "encoding string, var_name string, context_type string"
