@@ -221,31 +221,42 @@ def top_weaknesses(df: DataFrame, n: int = TOP_CWE) -> DataFrame:
 def summary(df: DataFrame) -> DataFrame:
     """One line of text: total, counts per severity, top classes.
 
-    Both inputs of the line are aggregates (a row per severity, five classes).
+    The findings are reduced to one cell per severity and class; what is
+    gathered in the second step is a table of that size.
     """
-    per_severity = (
-        df.groupBy(F.coalesce("severity", F.lit("INFO")).alias("severity"))
-        .count()
-        .agg(
-            F.sum("count").alias("total"),
-            F.array_sort(F.collect_list(F.concat_ws(" ", "severity", "count"))).alias("parts"),
-        )
+    cells = df.groupBy(
+        F.coalesce("severity", F.lit("INFO")).alias("severity"), truthy("cwe").alias("cwe")
+    ).agg(F.count("*").alias("n"), F.min(order_of(df)).alias("first"))
+    gathered = cells.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+        F.collect_list(F.struct("severity", "cwe", "n", "first")).alias("cells"),
+    )
+    cell = F.col("cells")
+
+    def count(of):
+        return F.aggregate(of["n"], F.lit(0).cast("bigint"), lambda a, n: a + n)
+
+    levels = F.transform(
+        F.array_sort(F.array_distinct(cell["severity"])),
+        lambda s: F.concat_ws(" ", s, count(F.filter(cell, lambda c: c["severity"] == s))),
     )
-    top = top_weaknesses(df).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("findings")).alias("n"), "cwe"))).alias("top")
-    )
-    listed = F.array_join(
-        F.transform(top["top"], lambda t: F.concat(t["cwe"], F.lit(" x"), -t["n"])), ", "
-    )
-    return per_severity.select(
-        F.when(F.col("total").isNull(), "No findings provided.")
-        .otherwise(
-            F.concat(
-                F.col("total").cast("string"), F.lit(" findings ("),
-                F.array_join("parts", ", "), F.lit("). Most common: "),
-                F.coalesce(F.nullif(top.select(listed).scalar(), F.lit("")), F.lit("n/a")),
-                F.lit("."),
-            )
+
+    def weigh(cwe):
+        mine = F.filter(cell, lambda c: c["cwe"] == cwe)
+        return F.struct(
+            (-count(mine)).alias("n"), F.array_min(mine["first"]).alias("first"), cwe.alias("cwe")
         )
-        .alias("summary")
+
+    classes = F.filter(F.array_distinct(cell["cwe"]), lambda c: c.isNotNull())
+    top = F.transform(
+        F.slice(F.array_sort(F.transform(classes, weigh)), 1, TOP_CWE),
+        lambda t: F.concat(t["cwe"], F.lit(" x"), (-t["n"]).cast("string")),
+    )
+    text = F.concat(
+        F.col("total").cast("string"), F.lit(" findings ("), F.array_join(levels, ", "),
+        F.lit("). Most common: "), F.when(F.size(top) > 0, F.array_join(top, ", ")).otherwise("n/a"),
+        F.lit("."),
+    )
+    return gathered.select(
+        F.when(F.col("total") == 0, "No findings provided.").otherwise(text).alias("summary")
     )

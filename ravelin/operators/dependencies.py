@@ -27,7 +27,7 @@ def last_file_wins(deps: DataFrame) -> DataFrame:
     times meets the advisories once per version.
     """
     return deps.groupBy("name", "version", "ecosystem").agg(
-        F.max(F.struct("file", "pos"))["file"].alias("file")
+        F.max("file").alias("file")
     )
 
 
@@ -67,29 +67,36 @@ def fixed_version(affected: Column, ecosystem: Column) -> Column:
     return F.coalesce(F.try_element_at(fixed, F.lit(1)), F.lit("latest"))
 
 
-def is_affected(version: Column, introduced: Column, fixed: Column) -> Column:
-    """An unknown version is affected; else introduced <= version < fixed."""
-    key = T.version_key(version)
-    return (version == "") | (
-        (T.version_key(F.coalesce(introduced, F.lit("0"))) <= key)
-        & (fixed.isNull() | (key < T.version_key(fixed)))
-    )
+def is_affected(version: Column, key: Column, introduced: Column, fixed: Column) -> Column:
+    """An unknown version is affected; else introduced <= version < fixed.
+
+    All but ``version`` are version keys.
+    """
+    return (version == "") | ((introduced <= key) & (fixed.isNull() | (key < fixed)))
 
 
 def osv_findings(deps: DataFrame, osv: DataFrame) -> DataFrame:
-    """Affected dependencies by ecosystem, name and version range."""
-    spans = advisory_ranges(osv)
-    pairs = salted_join(last_file_wins(deps), spans, ["ecosystem", "name"])
-    affected = pairs.where(
-        is_affected(F.col("version"), F.col("introduced"), F.col("fixed"))
+    """Affected dependencies by ecosystem, name and version range.
+
+    Versions become keys once per distinct dependency and once per range, before
+    the join multiplies them.
+    """
+    spans = advisory_ranges(osv).withColumns(
+        {
+            "introduced": T.version_key(F.coalesce("introduced", F.lit("0"))),
+            "fixed": T.version_key(F.col("fixed")),
+        }
+    )
+    keyed = last_file_wins(deps).withColumn("key", T.version_key(F.col("version")))
+    affected = salted_join(keyed, spans, ["ecosystem", "name"]).where(
+        is_affected(F.col("version"), F.col("key"), F.col("introduced"), F.col("fixed"))
     )
     # Two ranges of one advisory may both hold the version.
     once = affected.groupBy("file", "name", "version", "ecosystem", "id").agg(
-        *[
-            F.min_by(c, F.coalesce("fixed_in", F.lit(""))).alias(c)
-            for c in ["cve", "aliases", "summary", "severity", "refs", "fixed_in"]
-        ]
-    )
+        F.min(
+            F.struct("fixed_in", "cve", "aliases", "summary", "severity", "refs")
+        ).alias("a")
+    ).select("file", "name", "version", "a.*")
     description = F.concat(
         F.col("name"), F.lit(" "), F.col("version"), F.lit(": "), F.col("summary")
     )

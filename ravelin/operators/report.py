@@ -1,6 +1,6 @@
 """JSON and SARIF reports."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin import schema
@@ -40,7 +40,8 @@ def write_json(df: DataFrame, target: str, path: str) -> None:
 def sarif_results(df: DataFrame, limit: int = SARIF_LIMIT) -> DataFrame:
     """First findings in order with the index of their rule.
 
-    The limit bounds what follows to 200 rows, so the rule list fits one array.
+    The limit comes first and leaves at most 200 rows, so the two windows after
+    it are bounded and the findings are computed once.
     """
     upper = F.upper(F.coalesce("severity", F.lit("INFO")))
     top = algebra.limit_in_order(df, limit).withColumns(
@@ -52,13 +53,9 @@ def sarif_results(df: DataFrame, limit: int = SARIF_LIMIT) -> DataFrame:
             "_order": algebra.order_of(df),
         }
     )
-    first_seen = F.array_sort(
-        F.collect_list(F.struct(F.col("_order").alias("o"), F.col("rule_id").alias("r")))
-    )
-    rules = top.agg(F.array_distinct(first_seen["r"]).alias("rules"))
-    return top.withColumn(
-        "rule_index", (F.array_position(rules.scalar(), F.col("rule_id")) - 1).cast("int")
-    )
+    first = F.min("_order").over(Window.partitionBy("rule_id"))
+    index = F.dense_rank().over(Window.orderBy("_first")) - 1
+    return top.withColumn("_first", first).withColumn("rule_index", index.cast("int"))
 
 
 def sarif(df: DataFrame, limit: int = SARIF_LIMIT) -> DataFrame:

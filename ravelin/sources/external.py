@@ -53,10 +53,11 @@ def read_json_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_object(text: Column, fields: str) -> Column:
-    """A JSON object; anything else becomes an object without fields."""
-    return F.from_json(
-        F.when(is_json_object(text), text).otherwise("{}"), fields
-    )
+    """A JSON object; anything else becomes an object without fields.
+
+    Broken JSON parses to null by itself; only lists need to be kept out.
+    """
+    return F.from_json(F.when(text.rlike(r"^\s*\{"), text), fields)
 
 
 def is_json_object(text: Column) -> Column:
