@@ -36,9 +36,9 @@ OTHER = [
     ("codes.js", "raw", "const a = 1;\nconst f = String.fromCharCode(101, 118,\n 97, 108);\nconst g = String.fromCharCode(72, 105, 33);"),
     ("split.js", "raw", "run('ev' + 'al', 'x');\nrun('sa' + 'fe');"),
     # secrets
-    ("app.env", "raw", "db_password = \"Zx81kQ0pLm29VbTr55Yw\"\nname = \"plain-value-here\"\nregion: 'US_EAST_REGION_PRIMARY_1'"),
+    ("app.env", "raw", "db_password = \"Zx81kQ0pLm29VbTr5-Yw\"\nname = \"plain-value-here\"\nregion: 'US_EAST_REGION_PRIMARY_1'"),
     ("keys.py", "hash", "secret_key = 'q9W8e7R6t5Y4u3I2o1P0aSdFgHjK'\nnote = 'abcdefghijklmnopqrst'\nmonkey = 'Aa1Bb2Cc3Dd4Ee5Ff6Gg7Hh8'"),
-    ("ids.conf", "raw", "token = \"3f2b8c1e-9a4d-4c7b-8e6f-1a2b3c4d5e6f\"\nhash: \"9e107d9d372bb6826bd81d3542a419d6\"\n; token = \"Zx81kQ0pLm29VbTr55Yw\""),
+    ("ids.conf", "raw", "token = \"3f2b8c1e-9a4d-4c7b-8e6f-1a2b3c4d5e6f\"\nhash: \"9e107d9d372bb6826bd81d3542a419d6\"\n; token = \"Zx81kQ0pLm29VbTr5-Yw\""),
     ("bare.js", "raw", "call(\"tG7kP2xQ9mZ4vB8nL1cR6wY3sD5fH0jA\", 'test_placeholder_value_1234');"),
     # Terraform
     ("store.tf", "raw", "resource \"aws_s3_bucket\" \"b\" {\n  bucket = \"logs\"\n}"),
