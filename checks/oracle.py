@@ -270,6 +270,8 @@ SARIF = ("sarif", f"""
 SELECT t.*, dense_rank() OVER (ORDER BY first_row) - 1 AS rule_index FROM
  (SELECT *, min(row_no) OVER (PARTITION BY rule_id) AS first_row FROM
   (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS row_no FROM event_findings QUALIFY row_no <= 200)) t""")
+add("k01_tool_summary", f"SELECT 'events' AS target, {LEVEL} AS risk_level, {SCORE} AS risk_score, count(*) FILTER (WHERE severity IN ('HIGH', 'CRITICAL')) AS total, {COUNTS} FROM weights", ["weights"])
+add("w14_tool_findings", f"SELECT rule_id, severity, title, cwe, file, line, source FROM event_findings WHERE severity IN ('MEDIUM', 'HIGH', 'CRITICAL') ORDER BY {ORDER} LIMIT 200", ["event_findings"])
 add("k02_sarif_results", f"""
 SELECT rule_id, rule_index, CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error' WHEN severity = 'MEDIUM' THEN 'warning' WHEN severity = 'LOW' THEN 'note' ELSE 'none' END AS level,
   {case_map('severity', {'CRITICAL': '9.3', 'HIGH': '7.5', 'MEDIUM': '5.0', 'LOW': '3.1', 'INFO': '0.0'})} AS security_severity,
@@ -439,6 +441,8 @@ SELECT seq, {HEADING} AS heading, {PLACE} AS location, length({HEADING}) + 1 + l
    || '  Reference: https://cwe.mitre.org/data/definitions/' || substring(kb_cwe, 5) || '.html')
  ELSE length(chr(10) || '  ' || title || chr(10) || '  (No note for this weakness class.)') END AS chars
 FROM event_findings LEFT JOIN notes ON upper(cwe) = kb_cwe""", ["event_findings"], [NOTES])
+add("w14_explain_first", f"SELECT seq, {HEADING} AS heading FROM event_findings ORDER BY {ORDER} LIMIT 20", ["event_findings"])
+add("w14_validate_first", "SELECT 'ASSESSED' AS action, true AS granted FROM pages JOIN decisions ON url = target WHERE status = 'AUTHORIZED' LIMIT 10", ["decisions"])
 add("p12_fix_advice", "SELECT seq, 'Recommended fix (' || coalesce(cwe, '') || '): ' || coalesce(fix, 'Apply the standard remediation for this class.') AS advice FROM event_findings LEFT JOIN notes ON upper(cwe) = kb_cwe", ["event_findings"], [NOTES])
 add("p13_narrow", "SELECT rule_id, severity, title, cwe, file, line, source FROM event_findings", ["event_findings"])
 
@@ -651,9 +655,10 @@ CARD = """SELECT {scope} AS scope, count(*) FILTER (WHERE side = 'vulnerable') A
  round(count(*) FILTER (WHERE side = 'vulnerable' AND hit) / count(*) FILTER (WHERE side = 'vulnerable'), 3) AS recall,
  round(count(*) FILTER (WHERE side = 'secure' AND flagged) / count(*) FILTER (WHERE side = 'secure'), 3) AS fpr,
  round(count(*) FILTER (WHERE side = 'vulnerable' AND hit) / (count(*) FILTER (WHERE side = 'vulnerable' AND hit) + count(*) FILTER (WHERE side = 'secure' AND flagged)), 3) AS precision,
- count(*) FILTER (WHERE side = 'secure' AND flagged) = 0 AND count(*) FILTER (WHERE side = 'vulnerable' AND hit) / count(*) FILTER (WHERE side = 'vulnerable') >= 0.9 AS passed,
- coalesce(string_agg(DISTINCT case_id, ',' ORDER BY case_id) FILTER (WHERE side = 'vulnerable' AND NOT hit), '') AS missed FROM scored WHERE {where}"""
+ count(*) FILTER (WHERE side = 'secure' AND flagged) = 0 AND count(*) FILTER (WHERE side = 'vulnerable' AND hit) / count(*) FILTER (WHERE side = 'vulnerable') >= 0.9 AS passed FROM scored WHERE {where}"""
 add("g09_scorecard", CARD.format(scope="'modelled'", where="modelled") + " UNION ALL " + CARD.format(scope="'overall'", where="true"), BASE, [SCORED])
+add("g09_missed_cases", "SELECT DISTINCT case_id, cwe, modelled FROM scored WHERE side = 'vulnerable' AND NOT hit", BASE, [SCORED])
+add("g09_false_positives", "SELECT DISTINCT case_id, '' AS rule_id FROM scored WHERE side = 'secure' AND flagged", BASE, [SCORED])
 add("g01_by_severity", f"SELECT {COUNTS} FROM event_findings", ["event_findings"])
 add("g02_risk_per_file", f"SELECT file, count(*) AS total, {SCORE} AS risk_score FROM weights GROUP BY 1", ["weights"])
 add("g03_risk_level", f"SELECT file, {SCORE} AS risk_score, {LEVEL} AS risk_level, {EXIT} AS exit_code FROM weights WHERE line < 4 GROUP BY 1", ["weights"])

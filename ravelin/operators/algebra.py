@@ -173,10 +173,11 @@ def level_of(score: Column) -> Column:
     return out.otherwise("CLEAN")
 
 
-def risk(df: DataFrame, *group: str) -> DataFrame:
+def risk(df: DataFrame, *group: str, extra: list = ()) -> DataFrame:
     """Score, level, exit code and counts, overall or per group, in one pass."""
     counted = df.groupBy(*group).agg(
-        F.count("*").alias("total"), score_column().alias("risk_score"), *severity_columns()
+        F.count("*").alias("total"), score_column().alias("risk_score"),
+        *severity_columns(), *extra,
     )
     level = level_of(F.col("risk_score"))
     return counted.withColumns(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ravelin import catalog
 from ravelin.functions import text as T
+from ravelin.operators import algebra
 from ravelin.operators.joins import salted_join
 
 # Actions that are refused whatever the authorization.
@@ -23,6 +24,7 @@ AUTHORIZATION = (
     "organization string, scope array<string>, authorized_by string, "
     "permission_ref string, expires string, contact string, issued string"
 )
+VALIDATE_LIMIT = 10
 REQUIRED = ["organization", "scope", "authorized_by", "permission_ref", "expires"]
 
 
@@ -165,10 +167,30 @@ def assess(
     )
 
 
+def validate(
+    findings: DataFrame, decisions: DataFrame, floor: str = "INFO", limit: int = VALIDATE_LIMIT
+) -> DataFrame:
+    """Assessments of the first findings of at least the given severity."""
+    first = algebra.limit_in_order(algebra.at_least(findings, floor), limit)
+    return assess(first, decisions)
+
+
+def assessment_audit(assessments: DataFrame) -> DataFrame:
+    """One log row per assessment."""
+    return assessments.select(
+        _now().alias("ts"), F.lit("ASSESSED").alias("action"), "target", "authorization",
+        "organization", F.concat(F.lit("rule="), "rule_id").alias("detail"),
+    )
+
+
+def _now() -> Column:
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+
+
 def audit_rows(decisions: DataFrame) -> DataFrame:
     """Decisions as rows of the append-only log."""
     return decisions.select(
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("ts"),
+        _now().alias("ts"),
         F.col("status").alias("action"),
         "target", "authorization", "organization", "detail",
     )

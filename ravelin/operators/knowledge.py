@@ -4,6 +4,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin import catalog
+from ravelin.operators import algebra
+
+EXPLAIN_LIMIT = 20  # fixed value: findings explained per scan
 
 
 def with_notes(df: DataFrame) -> DataFrame:
@@ -60,3 +63,8 @@ def fix_advice(df: DataFrame) -> DataFrame:
         F.coalesce("fix", F.lit("Apply the standard remediation for this class.")),
     )
     return noted.withColumn("advice", advice).drop("kb_cwe", "name", "why", "fix", "ref")
+
+
+def explain_first(df: DataFrame, limit: int = EXPLAIN_LIMIT) -> DataFrame:
+    """Explanations of the first findings of a scan."""
+    return explain(algebra.limit_in_order(df, limit))

@@ -118,3 +118,21 @@ def sarif(df: DataFrame, limit: int = SARIF_LIMIT) -> DataFrame:
         F.array(run).alias("runs"),
     )
     return collected.select(F.to_json(document).alias("sarif"))
+
+
+def tool_summary(df: DataFrame, target: str, floor: str = "LOW") -> DataFrame:
+    """Header for a tool call: risk and levels over all findings, ``total`` over
+    those of at least the given severity."""
+    minimum = schema.SEVERITY_ORDINAL.get(floor.upper(), 1)
+    marked = df.withColumn("_listed", schema.severity_ordinal(F.col("severity")) >= minimum)
+    return algebra.risk(
+        marked, extra=[F.count_if("_listed").alias("listed")]
+    ).select(
+        F.lit(target).alias("target"), "risk_level", "risk_score",
+        F.col("listed").alias("total"), *[s.lower() for s in schema.SEVERITIES],
+    )
+
+
+def tool_findings(df: DataFrame, floor: str = "LOW", limit: int = algebra.REPORT_LIMIT) -> DataFrame:
+    """The first findings of at least the given severity, seven columns."""
+    return algebra.narrow(algebra.limit_in_order(algebra.at_least(df, floor), limit))

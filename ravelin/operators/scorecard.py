@@ -34,7 +34,6 @@ def scorecard(scored: DataFrame) -> DataFrame:
         F.count_if(vulnerable & F.col("hit")).alias("tp"),
         F.count_if(secure & F.col("flagged")).alias("fp"),
         F.count_if(secure).alias("secure_cases"),
-        F.array_sort(F.collect_set(F.when(vulnerable & ~F.col("hit"), F.col("case_id")))).alias("missed"),
     )
     recall = F.coalesce(F.try_divide("tp", "cases"), F.lit(0.0))
     return counted.withColumns(
@@ -49,6 +48,24 @@ def scorecard(scored: DataFrame) -> DataFrame:
     )
 
 
+def missed_cases(scored: DataFrame) -> DataFrame:
+    """Vulnerable cases whose declared class was not found."""
+    return (
+        scored.where((F.col("side") == "vulnerable") & ~F.col("hit"))
+        .select("case_id", "cwe", "modelled")
+        .distinct()
+    )
+
+
+def false_positives(scored: DataFrame) -> DataFrame:
+    """Secure cases with a finding, and its rule."""
+    return (
+        scored.where((F.col("side") == "secure") & F.col("flagged"))
+        .select("case_id", F.col("first_rule").alias("rule_id"))
+        .distinct()
+    )
+
+
 def scopes() -> Column:
     return F.when(
         F.col("modelled"), F.array(F.lit("modelled"), F.lit("overall"))

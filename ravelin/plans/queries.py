@@ -224,6 +224,11 @@ def k02_sarif_document(spark, d):
     )
 
 
+@query
+def k01_tool_summary(spark, d):
+    return report.tool_summary(D.event_findings(spark, d), "events", "high")
+
+
 @query
 def k03_baseline_save(spark, d):
     return baseline.fingerprints(D.event_findings(spark, d), "src")
@@ -588,10 +593,19 @@ def g09_scorecard(spark, d):
     return card.select(
         "scope", "cases", "tp", "fp", F.round("recall", 3).alias("recall"),
         F.round("fpr", 3).alias("fpr"), F.round("precision", 3).alias("precision"), "passed",
-        F.array_join("missed", ",").alias("missed"),
     )
 
 
+@query
+def g09_missed_cases(spark, d):
+    return scorecard.missed_cases(scored(spark, d))
+
+
+@query
+def g09_false_positives(spark, d):
+    return scorecard.false_positives(scored(spark, d))
+
+
 @query
 def g10_rule_summary(spark, d):
     fired = found(spark, d, ["lines"]).select("rule_id").distinct()
@@ -709,6 +723,29 @@ def w14_first_findings(spark, d):
     return algebra.limit_in_order(D.event_findings(spark, d), algebra.REPORT_LIMIT).select("seq", "engine", "file")
 
 
+@query
+def w14_tool_findings(spark, d):
+    return report.tool_findings(D.event_findings(spark, d), "medium")
+
+
+@query
+def w14_explain_first(spark, d):
+    first = knowledge.explain_first(D.event_findings(spark, d))
+    return first.select("seq", F.split("explanation", "\n")[0].alias("heading"))
+
+
+@query
+def w14_validate_first(spark, d):
+    decisions = governance.decide(D.targets(spark, d), D.authorizations(spark, d))
+    targets = D.page_findings(spark, d).join(
+        decisions.where("status = 'AUTHORIZED'").select("target"), "target", "left_semi"
+    )
+    ordered = targets.withColumns({"severity": F.lit("HIGH"), "seq": F.xxhash64("target", "rule_id")})
+    return governance.assessment_audit(governance.validate(ordered, decisions)).select(
+        "action", F.col("organization").isNotNull().alias("granted")
+    )
+
+
 @query
 def w15_file_cap(spark, d):
     return S.capped_files(seeded_files(spark, d), 40).select("path")

@@ -5,6 +5,9 @@ read once and nothing is shuffled until findings (a tiny share of the input)
 are de-duplicated or counted.
 """
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +56,15 @@ def with_facts(files: DataFrame, packs: list, tolerant_yaml: bool = False) -> Da
 
 
 def pack_hits(pack: str) -> Column:
+    """Hits of a pack over the columns of ``with_facts``.
+
+    Building the expression takes longer than planning it, so it is kept.
+    """
+    return _pack_hits(pack, id(SparkContext._gateway))
+
+
+@lru_cache(maxsize=None)
+def _pack_hits(pack: str, gateway: int) -> Column:
     ext, low, content = F.col("ext"), F.lower("ext"), F.col("content")
     source, language = F.col("source_text"), F.col("language")
     none = schema.no_hits()

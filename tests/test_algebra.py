@@ -240,10 +240,12 @@ def test_scorecard(spark):
     cases = [("p1", "a", "vulnerable", "C1", True), ("p2", "a", "secure", "C1", True), ("p3", "b", "vulnerable", "C2", False), ("p4", "b", "secure", "C2", False)]
     df = spark.createDataFrame(cases, "path string, case_id string, side string, cwe string, modelled boolean")
     hits = findings(spark, [plain(1, file="p1", cwe="C1"), plain(2, file="p4", cwe="C9")])
-    got = {r.scope: r for r in scorecard.scorecard(scorecard.score_cases(df, hits)).collect()}
+    scored = scorecard.score_cases(df, hits)
+    got = {r.scope: r for r in scorecard.scorecard(scored).collect()}
     assert (got["modelled"].tp, got["modelled"].fp, got["modelled"].recall, got["modelled"].passed) == (1, 0, 1.0, True)
     assert (got["overall"].recall, got["overall"].fpr, got["overall"].precision, got["overall"].passed) == (0.5, 0.5, 0.5, False)
-    assert got["overall"].missed == ["b"]
+    assert rows(scorecard.missed_cases(scored), "case_id") == [("b",)]
+    assert rows(scorecard.false_positives(scored), "case_id", "rule_id") == [("b", "R")]
 
 
 def test_rule_table(spark):
