@@ -28,12 +28,14 @@ HIGH_NAMES = [
 
 
 def shannon(value: Column) -> Column:
-    """Entropy in bits per character; 0 for an empty text."""
-    chars = F.split(value, "")
+    """Entropy in bits per character; 0 for an empty text.
+
+    A character is counted by what its removal takes off the length.
+    """
     total = F.length(value)
     shares = F.transform(
-        F.array_distinct(chars),
-        lambda c: F.size(F.filter(chars, lambda x: x == c)) / total,
+        F.array_distinct(F.split(value, "")),
+        lambda c: (total - F.length(F.replace(value, c, F.lit("")))) / total,
     )
     return F.when(total == 0, F.lit(0.0)).otherwise(
         -F.aggregate(shares, F.lit(0.0), lambda acc, p: acc + p * F.log2(p))

@@ -43,15 +43,14 @@ def with_facts(files: DataFrame, packs: list, tolerant_yaml: bool = False) -> Da
             "yaml_kind": iac.yaml_kind(F.col("ext"), F.col("content")),
         }
     )
+    # Both readers in one step, so that rows pass Python once.
+    parsed = {}
     if "python" in packs:
-        out = out.withColumn(
-            "py_facts", pyrules.facts(F.col("language") == "python", F.col("source_text"))
-        )
+        parsed["py_facts"] = pyrules.facts(F.col("language") == "python", F.col("source_text"))
     if "iac" in packs:
-        out = out.withColumn(
-            "yaml_facts",
-            iac.yaml_facts(F.col("yaml_kind"), F.col("content"), tolerant_yaml),
-        )
+        parsed["yaml_facts"] = iac.yaml_facts(F.col("yaml_kind"), F.col("content"), tolerant_yaml)
+    if parsed:
+        out = out.withColumns(parsed)
     return out
 
 
