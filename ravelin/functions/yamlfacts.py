@@ -8,27 +8,33 @@ FACTS = (
 )
 
 
+GROUP = "AWS::EC2::SecurityGroup"  # fixed value
+
+
 def _ingress(doc):
-    for name, resource in (doc.get("Resources") or {}).items():
-        if not isinstance(resource, dict):
-            continue
-        if resource.get("Type", "") != "AWS::EC2::SecurityGroup":
-            continue
-        for rule in (resource.get("Properties") or {}).get("SecurityGroupIngress") or []:
-            if isinstance(rule, dict):
-                port, cidr = rule.get("FromPort"), rule.get("CidrIp", "")
-                if isinstance(port, float) and port.is_integer():
-                    port = int(port)
-                yield "ingress", str(name), str(port), str(cidr), None
+    resources = (doc["Resources"] or {}).items()
+    for name, group in resources:
+        if isinstance(group, dict) and group.get("Type") == GROUP:
+            listed = (group.get("Properties") or {}).get("SecurityGroupIngress")
+            for rule in filter(lambda r: isinstance(r, dict), listed or []):
+                yield "ingress", str(name), _port(rule.get("FromPort")), str(rule.get("CidrIp")), None
+
+
+def _port(value):
+    return str(int(value)) if isinstance(value, float) and value.is_integer() else str(value)
 
 
 def _containers(doc):
-    template = doc.get("spec", {}).get("template", {})
-    pod = template.get("spec", {}) if isinstance(template, dict) else {}
-    for c in pod.get("containers", []) + pod.get("initContainers", []):
-        if isinstance(c, dict):
-            flag = (c.get("securityContext") or {}).get("privileged")
-            yield "container", str(c.get("name", "?")), None, None, flag is True
+    pod = doc
+    for step, key in enumerate(["spec", "template", "spec"]):
+        if step == 2 and not isinstance(pod, dict):
+            return
+        pod = pod.get(key, {})
+    for kind in ("containers", "initContainers"):
+        for c in pod.get(kind, []):
+            if isinstance(c, dict):
+                flag = (c.get("securityContext") or {}).get("privileged")
+                yield "container", str(c.get("name", "?")), None, None, flag is True
 
 
 def facts_of(kind, content, loader):

@@ -139,11 +139,25 @@ RULE_STRIDE = 1_000_000_000
 
 
 def line_matches(text: Column, pack: str, comment: str = T.COMMENT_CODE) -> Column:
+    """``match_lines`` for a built-in pack."""
+
+    def words_in(value: Column) -> Column:
+        found = T.contains_any(value, WORDS[pack])
+        if pack in FOLDED_WORDS:
+            found = found | T.contains_any(F.lower(value), FOLDED_WORDS[pack])
+        return found
+
+    return match_lines(text, RULES[pack], words_in, comment)
+
+
+def match_lines(
+    text: Column, rules: list, possible=lambda value: F.lit(True), comment: str = T.COMMENT_CODE
+) -> Column:
     """array<struct<rule, n, s>>: the rule's place in the pack, line number, line.
 
-    Plain words decide which texts are split and which lines are tested.
+    ``possible`` is a cheap test that decides which texts are split and which
+    lines are tested.
     """
-    rules = RULES[pack]
 
     def test(x: Column, place: int, rule_id: str, pattern: str) -> Column:
         matched = T.search(x["s"], pattern)
@@ -151,15 +165,9 @@ def line_matches(text: Column, pack: str, comment: str = T.COMMENT_CODE) -> Colu
             matched = matched & T.search(x["s"], GATES[rule_id])
         return F.when(matched, F.lit(place))
 
-    def words_in(value: Column) -> Column:
-        found = T.contains_any(value, WORDS[pack])
-        if pack in FOLDED_WORDS:
-            found = found | T.contains_any(F.lower(value), FOLDED_WORDS[pack])
-        return found
-
     lines = F.filter(
         T.numbered(T.splitlines(text)),
-        lambda x: words_in(x["s"]) & ~T.is_comment(x["s"], comment),
+        lambda x: possible(x["s"]) & ~T.is_comment(x["s"], comment),
     )
     matches = F.flatten(
         F.transform(
@@ -174,7 +182,7 @@ def line_matches(text: Column, pack: str, comment: str = T.COMMENT_CODE) -> Colu
             ),
         )
     )
-    return F.when(words_in(text), matches)
+    return F.when(possible(text), matches)
 
 
 def to_hits(
@@ -220,3 +228,13 @@ def solidity_hits(ext: Column, text: Column) -> Column:
         F.when(ext == ".sol", matches), rule_ids("solidity"), width=120,
         rule_major=True, confidence=75.0,
     )
+
+
+def added_hits(language: Column, text: Column, added: list) -> Column:
+    """Hits of rules added by a user: (rule id, language, pattern, ...) rows."""
+    matches, ids = F, F
+    for name in sorted({row[1] for row in added}):
+        mine = [(row[0], row[2]) for row in added if row[1] == name]
+        matches = matches.when(language == name, match_lines(text, mine))
+        ids = ids.when(language == name, F.array(*[F.lit(rule_id) for rule_id, _ in mine]))
+    return to_hits(matches, ids)

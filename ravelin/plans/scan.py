@@ -102,9 +102,22 @@ def detect(files: DataFrame, packs: list | None = None, tolerant_yaml: bool = Fa
     return as_findings(rows)
 
 
-def as_findings(rows: DataFrame) -> DataFrame:
+def detect_added(files: DataFrame, added: list) -> DataFrame:
+    """Findings of rules given as rows (rule id, language, pattern, cwe, severity,
+    title).  The rows are part of the plan, as the built-in rules are."""
+    hits = linerules.added_hits(F.col("language"), F.col("source_text"), added)
+    rows = with_facts(files, []).select("path", F.explode(hits).alias("h")).select("path", "h.*")
+    table = files.sparkSession.createDataFrame(
+        [(r[0], r[3], r[4], r[5], None, None, None, r[1], "sast", 0, 0, "sast") for r in added],
+        catalog.RULE_SCHEMA,
+    )
+    return as_findings(rows, table)
+
+
+def as_findings(rows: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Join hits with the rule table and lay them out as findings."""
-    rule_table = catalog.rules(rows.sparkSession).select(
+    rules = catalog.rules(rows.sparkSession) if rules is None else rules
+    rule_table = rules.select(
         "rule_id", "cwe", "category", "chain", "recommendation", "engine",
         "engine_rank", "pack_rank", "source",
         F.col("severity").alias("rule_severity"), F.col("title").alias("rule_title"),

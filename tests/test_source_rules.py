@@ -136,3 +136,10 @@ def test_partitioning_does_not_matter(spark, files, parts):
     texts = {f"f{i}.js": "eval(a); exec(`x ${y}`);\n" * (i + 1) for i in range(9)}
     found = scan.scan(files(texts).repartition(parts))
     assert found.count() == 2 * sum(range(1, 10))
+
+
+def test_added_rules(spark, files):
+    added = [("MY1", "go", r"\bpanic\(", "CWE-1", "LOW", "Panics"), ("MY2", "ruby", "raise", "CWE-2", "HIGH", "Raises"), ("MY3", "go", "panic", "CWE-3", "LOW", "x")]
+    found = scan.detect_added(files({"a.go": "panic(x)\n// panic(y)", "b.rb": "raise", "c.py": "raise"}), added)
+    assert rows(found, "file", "line", "rule_id", "cwe", "severity") == [
+        ("a.go", 1, "MY1", "CWE-1", "LOW"), ("a.go", 1, "MY3", "CWE-3", "LOW"), ("b.rb", 1, "MY2", "CWE-2", "HIGH")]
