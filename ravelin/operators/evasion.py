@@ -128,16 +128,25 @@ def _spanning(text: Column, pattern: str, codes, rank: int, word: str) -> Column
             + newlines(F.coalesce(before, F.lit(""))),
         )
 
-        def line_of(k: Column) -> Column:
-            return F.aggregate(F.slice(steps, 1, k + 1), F.lit(1), lambda a, b: a + b)
-
-        decoded = F.transform(
+        # A zero per line end and a one per match: the place of the k-th one,
+        # less k, is the number of line ends before it.  Linear in the matches.
+        marks = F.flatten(
+            F.transform(
+                steps, lambda n: F.concat(F.array_repeat(F.lit(0), n), F.array(F.lit(1)))
+            )
+        )
+        places = F.filter(
+            F.transform(marks, lambda mark, i: F.when(mark == 1, i)),
+            lambda place: place.isNotNull(),
+        )
+        decoded = F.zip_with(
             found,
-            lambda m, k: F.struct(revealing(decode_codes(codes(m))).alias("t"), k.alias("k")),
+            F.transform(places, lambda place, k: place - k + 1),
+            lambda m, n: F.struct(revealing(decode_codes(codes(m))).alias("t"), n.alias("n")),
         )
         return F.transform(
             F.filter(decoded, lambda d: d["t"].isNotNull()),
-            lambda d: _hit("char-code", rank, d["t"], line_of(d["k"]), d["k"]),
+            lambda d, k: _hit("char-code", rank, d["t"], d["n"], k),
         )
 
     return F.when(

@@ -139,6 +139,13 @@ def test_long_char_chain_does_not_overflow(spark, files):
     assert rows(got, "line", "encoding") == [(1, "char-code")]
 
 
+def test_many_hidden_payloads_in_one_file(spark, files):
+    text = "String.fromCharCode(101,118,97,108);\n" * 20000
+    got = scan.detect(files({"c.js": text}), ["evasion"])
+    r = got.agg(F.count("*"), F.min("line"), F.max("line"), F.countDistinct("line")).first()
+    assert tuple(r) == (20000, 1, 20000, 20000)
+
+
 def test_evm_frames(spark, files):
     quiet = "  step;\n"
     texts = {
