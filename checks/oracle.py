@@ -340,7 +340,7 @@ add("f13_old_compiler", f"SELECT path, {OLD} AS old FROM seeded WHERE ext = '.so
 
 def shannon(v):
     chars = f"string_split({v}, '')"
-    return f"""-list_sum(list_transform(list_distinct({chars}), lambda c: (len(list_filter({chars}, lambda x: x = c)) / length({v})) * log2(len(list_filter({chars}, lambda x: x = c)) / length({v}))))"""
+    return f"""CAST(0 AS DOUBLE) - list_sum(list_transform(list_distinct({chars}), lambda c: (len(list_filter({chars}, lambda x: x = c)) / length({v})) * log2(len(list_filter({chars}, lambda x: x = c)) / length({v}))))"""
 
 
 def encoding(v):

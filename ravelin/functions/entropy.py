@@ -38,7 +38,7 @@ def shannon(value: Column) -> Column:
         lambda c: (total - F.length(F.replace(value, c, F.lit("")))) / total,
     )
     return F.when(total == 0, F.lit(0.0)).otherwise(
-        -F.aggregate(shares, F.lit(0.0), lambda acc, p: acc + p * F.log2(p))
+        F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
     )
 
 
