@@ -6,7 +6,7 @@ Each query applies its operator to its whole table and derives digests from the
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ravelin.llm import bpe
+from ravelin.llm import bpe, simhash, substring
 
 QUERIES, ORACLE = {}, {}
 
@@ -34,3 +34,17 @@ def op4_byte_bpe(spark, sf_dir):
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op5_simhash(spark, sf_dir):
+    """Fingerprint and group of every document: 4-word shingles, at most 4 differing bits."""
+    docs = table(spark, sf_dir, "documents")
+    return simhash.near_duplicates(docs, "doc_id", "text", words=4, max_bits=4)
+
+
+@query
+def op6_substring(spark, sf_dir):
+    """Every document without the words of earlier 20-word windows."""
+    kept = substring.dedup(table(spark, sf_dir, "documents"), "doc_id", "text", window=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -28,6 +28,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more.
+
+    Only safe once all that was derived from them is itself a written table.
+    """
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        conf = table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) with the smallest node reachable, for the undirected ``edges`` (a, b).
 
