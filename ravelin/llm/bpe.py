@@ -14,8 +14,9 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +25,9 @@ WIDTHS = (6, 8, 10, 12, 16, 32, 64, 128, 256)
 #: Cells of one matrix.
 CELLS = 1 << 17
 #: Pieces remembered by one worker before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Texts coded at a time.
+SLICE = 500
 #: Texts above this many characters are split into pieces block by block.
 BLOCK_CHARS = 2_000_000
 
@@ -203,7 +206,10 @@ class Vocabulary:
         self.learn(set(pieces).difference(self.memory))
         return b"".join(map(self.memory.__getitem__, pieces))
 
-    def encode_series(self, texts: pd.Series) -> list[bytes]:
+    def decode(self, packed: bytes) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+
+    def encode_series(self, texts) -> list[bytes]:
         """Packed ids of each text; short texts share their matrices."""
         out, waiting, size = [], [], 0
 
@@ -275,27 +281,35 @@ class Codec:
 
         @F.pandas_udf(T.BinaryType())
         def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            tokens = _vocabulary(ranks.value, pattern).tokens
+            words = _vocabulary(ranks.value, pattern)
             for packed in batches:
-                yield pd.Series(
-                    [
-                        b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist()))
-                        for x in packed
-                    ],
-                    dtype=object,
-                )
+                yield pd.Series([words.decode(x or b"") for x in packed], dtype=object)
 
         return raw(ids)
 
 
-    def round_trip(self, df, text: str, ids: str = "ids", decoded: str = "decoded"):
+    def round_trip(self, df: DataFrame, text: str, ids: str = "ids", decoded: str = "decoded"):
         """``df`` with the packed ids of column ``text`` and the bytes decoded from those ids.
 
-        Columns of those names are replaced; all others stay.
+        Columns of those names are replaced; all others stay.  One Python worker does both, on
+        slices of a batch, so the memory of a task is bounded by a few hundred texts.
         """
-        return df.withColumn(ids, self.encode(F.col(text))).withColumn(
-            decoded, self.decode(F.col(ids))
-        )
+        ranks, pattern = self.ranks, self.pattern
+        df = df.drop(ids, decoded)
+        at = df.columns.index(text)
+
+        def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = _vocabulary(ranks.value, pattern)
+            for batch in batches:
+                for start in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(start, SLICE)
+                    coded = words.encode_series(part.column(at).to_pylist())
+                    raw = map(words.decode, coded)
+                    columns = [*part.columns, pa.array(coded, pa.binary()), pa.array(raw, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, ids, decoded])
+
+        added = T.StructType().add(ids, T.BinaryType()).add(decoded, T.BinaryType())
+        return df.mapInArrow(code, T.StructType([*df.schema.fields, *added.fields]))
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
