@@ -80,14 +80,17 @@ def segments(hashes: np.ndarray, spans: Spans, window: int, k: int):
     at = np.arange(len(hashes) - k + 1)
     kmers = spans.of(at, at + k)
     width = window - k + 1
-    least, reach = kmers, 1
-    while reach < width:  # least of 1, 2, 4, ... neighbours
+    least, reach = at, 1
+    while reach < width:  # the last of the least of 1, 2, 4, ... neighbours
         step = min(reach, width - reach)
-        least = np.minimum(least[:-step], least[step:])
+        left, right = least[:-step], least[step:]
+        least = np.where(kmers[right] <= kmers[left], right, left)
         reach += step
+    # The last place, not the hash alone, tells segments apart: no two windows of a segment
+    # can then be equal, also where a text repeats itself at once.
     fresh = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     counts = np.diff(np.concatenate([fresh, [n]]))
-    return least[fresh], spans.of(fresh, fresh + counts + window - 1), fresh, counts
+    return kmers[least[fresh]], spans.of(fresh, fresh + counts + window - 1), fresh, counts
 
 
 def packed(words: list[bytes]) -> bytes:
