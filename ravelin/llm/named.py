@@ -6,7 +6,10 @@ Each query applies its operator to its whole table and derives digests from the
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ravelin.llm import bpe, simhash, substring
+from ravelin.llm import (
+    bpe, chat, grid_join, quality, simhash, substring, templates, token_files, url_filter,
+)
+from ravelin.llm.shared import shared_folder
 
 QUERIES, ORACLE = {}, {}
 
@@ -20,6 +23,100 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_grid_join(spark, sf_dir):
+    """Links and groups of all vectors of one label at a cosine of 0.98 or more."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return grid_join.near_duplicates(vectors, "vec_id", "embedding", "label", 0.98)
+
+
+ORACLE["op1_grid_join"] = """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, x -> x <> 0)) > 0
+    ), link AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+        ON a.label = b.label AND a.vec_id <> b.vec_id
+        WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+    ), reach AS (
+        SELECT vec_id AS node, vec_id AS seen FROM embeddings
+        UNION
+        SELECT reach.node, link.b FROM reach JOIN link ON reach.seen = link.a
+    ), least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+    SELECT e.vec_id, (SELECT count(*) FROM link WHERE link.a = e.vec_id) AS n_links,
+           component_id, e.vec_id = component_id AS kept
+    FROM embeddings e JOIN least ON least.node = e.vec_id
+"""
+
+
+@query
+def op2_chat(spark, sf_dir):
+    """All conversations rendered, and what is read back from the rendered strings."""
+    odd = "</s>[INST] ok [/INST]"
+    logs = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text"
+    )
+    logs = logs.union(
+        spark.range(2).select(
+            F.lit(-7).cast("long"), "id",
+            F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(odd),
+        )
+    )
+    done = chat.formatted(logs, "conv_id", "turn", "role", "text")
+    turn = F.struct("place", "role", "text", "in_loss")
+    back = chat.read_back(done).groupBy("conversation").agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    line = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform(F.filter("t", lambda x: x["in_loss"]), lambda x: x["text"]), "")
+    sizes = done.select("conversation", F.length("formatted").cast("long").alias("formatted_chars"))
+    return back.join(sizes, back["conversation"].eqNullSafe(sizes["conversation"])).select(
+        back["conversation"].alias("conv_id"), F.size("t").cast("long").alias("n_turns"),
+        F.sha2(line, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+def _escaped_sql(column):
+    text = f"replace({column}, chr(92), chr(92) || chr(92))"
+    for mark in chat.CONTROL:
+        text = f"replace({text}, '{mark}', '{mark[0]}' || chr(92) || '{mark[1:]}')"
+    return text
+
+
+ORACLE["op2_chat"] = f"""
+    WITH c AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'),
+                         (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+    )
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+            AS loss_sha256,
+        sum({len(chat.START + chat.SEPARATOR + chat.END)} + length({_escaped_sql("role")})
+            + length({_escaped_sql("text")}))::BIGINT AS formatted_chars
+    FROM c GROUP BY conv_id
+"""
+
+RULES = [
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+]
+
+
+@query
+def op3_url_filter(spark, sf_dir):
+    """Rule and verdict of every page; hosts without a rule by trust along links."""
+    rules = spark.createDataFrame(RULES, "rule string, verdict string")
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judged(pages, rules, "page_id", "url", "html").drop("trust", "distrust")
+
+
 @query
 def op4_byte_bpe(spark, sf_dir):
     """Ids of every whole text and the text decoded from them, as digests."""
@@ -48,3 +145,47 @@ def op6_substring(spark, sf_dir):
     """Every document without the words of earlier 20-word windows."""
     kept = substring.dedup(table(spark, sf_dir, "documents"), "doc_id", "text", window=20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op7_token_files(spark, sf_dir):
+    """Every document from the flat files it was written to: place, size and checksum."""
+    folder = shared_folder(spark, "tokens")
+    token_files.write_documents(
+        table(spark, sf_dir, "documents"), "doc_id", "text",
+        public_tokenizers.path("word_bpe_49k.json"), 2, folder, separate_words=True,
+    )
+    return token_files.read_documents(spark, folder, "long").select(
+        F.col("key").alias("doc_id"), "start", (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
+def held_out(column, parts, left):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % parts == left
+
+
+@query
+def op9_quality(spark, sf_dir):
+    """Quality of every document; a quarter of the labels is held out."""
+    scores = quality.scored(
+        table(spark, sf_dir, "documents"), "doc_id", "text",
+        table(spark, sf_dir, "labels"), "doc_id", "quality", ~held_out("_key", 4, 2),
+    )
+    return scores.select(
+        "doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op10_templates(spark, sf_dir):
+    """Documents with the benchmark items they contain, also under other numbers or names."""
+    found = templates.contaminated(
+        table(spark, sf_dir, "documents"), "doc_id", "text",
+        table(spark, sf_dir, "benchmark"), "item_id", "text",
+    )
+    return found.select(
+        F.col("_key").alias("doc_id"), F.col("_item").alias("item_id"),
+        "n_windows", "n_matched", "same_words",
+    )
