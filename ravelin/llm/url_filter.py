@@ -128,9 +128,11 @@ def judged(
     ruled = written(matched(urls, rules), "ruled")
     by_host = pages.select(host_of(F.col(url)).alias("_host"), F.col(html).alias("_html"))
     edges = written(links(by_host), "edges")
-    back = edges.withColumnsRenamed({"src": "dst", "dst": "src"})
-    all_in = back.groupBy("src").agg(F.sum("share").alias("all"))
-    back = back.join(all_in, "src").select("src", "dst", (F.col("share") / F.col("all")).alias("share"))
+    all_in = edges.groupBy("dst").agg(F.sum("share").alias("all"))
+    back = edges.join(all_in, "dst").select(
+        F.col("dst").alias("src"), F.col("src").alias("dst"),
+        (F.col("share") / F.col("all")).alias("share"),
+    )
 
     def seeds(verdict):
         return ruled.where((F.col("_verdict") == verdict) & (F.col("_host") != "")).groupBy(
