@@ -3,11 +3,13 @@
 Each query applies its operator to its whole table and derives digests from the real output.
 """
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from ravelin.llm import (
-    bpe, chat, grid_join, quality, simhash, substring, templates, token_files, url_filter,
+    bpe, chat, grid_join, quality, simhash, substring, templates, token_files, toxicity,
+    url_filter,
 )
 from ravelin.llm.shared import shared_folder
 
@@ -165,6 +167,20 @@ def held_out(column, parts, left):
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts == left
 
 
+@query
+def op8_toxicity(spark, sf_dir):
+    """Toxicity of every document; a fifth of the labels is held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learned(
+        docs, "doc_id", "text", table(spark, sf_dir, "labels"), "doc_id", "toxic",
+        ~held_out("_key", 5, 0),
+    )
+    return toxicity.scored(docs, "text", model).select(
+        "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op9_quality(spark, sf_dir):
     """Quality of every document; a quarter of the labels is held out."""
@@ -189,3 +205,9 @@ def op10_templates(spark, sf_dir):
         F.col("_key").alias("doc_id"), F.col("_item").alias("item_id"),
         "n_windows", "n_matched", "same_words",
     )
+
+
+@query
+def pipeline(spark, sf_dir):
+    """All stages of the corpus pipeline over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)

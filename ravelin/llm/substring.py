@@ -93,12 +93,12 @@ def segments(hashes: np.ndarray, spans: Spans, window: int, k: int):
     return kmers[least[fresh]], spans.of(fresh, fresh + counts + window - 1), fresh, counts
 
 
-def packed(words: list[bytes]) -> bytes:
-    return zstandard.compress(b" ".join(words), 3)
+def packed(text: bytes) -> bytes:
+    return zstandard.compress(text, 3)
 
 
-def unpacked(data: bytes) -> list[bytes]:
-    return zstandard.decompress(data).split()
+def words_of_packed(data: bytes | None) -> list[bytes]:
+    return zstandard.decompress(data).split() if data is not None else []
 
 
 def lists(counts: list[int], **columns) -> pa.Array:
@@ -113,7 +113,8 @@ def flat(parts: list[np.ndarray], kind) -> np.ndarray:
 
 
 def scanned(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """One row per row of ``docs`` (_key, _text) with a row id, packed words and segments."""
+    """One row per row of ``docs`` (_rest, _key, _text): row id, packed text, segments."""
+    rest = docs.schema["_rest"].dataType.simpleString()
     kind = docs.schema["_key"].dataType.simpleString()
     k = min(ANCHOR, window)
 
@@ -122,16 +123,17 @@ def scanned(docs: DataFrame, window: int, seed: int) -> DataFrame:
         for batch in batches:
             words, z, found = [], [], []
             for text in batch.column("_text"):
-                raw = text.as_buffer()
-                parts = raw.to_pybytes().split() if raw is not None else []
+                raw = text.as_buffer().to_pybytes() if text.is_valid else None
+                parts = raw.split() if raw else []
                 hashes = words_of.of(parts)
                 found.append(segments(hashes, Spans(hashes, seed), window, k))
                 words.append(len(parts))
-                z.append(packed(parts))
+                z.append(packed(raw) if raw is not None else None)
             columns = list(zip(*found, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("_rid"), batch.column("_key"), pa.array(words, pa.int64()),
+                    batch.column("_rid"), batch.column("_rest"), batch.column("_key"),
+                    pa.array(words, pa.int64()),
                     pa.array(z, pa.binary()),
                     lists(
                         [len(x) for x in columns[2]],
@@ -140,13 +142,13 @@ def scanned(docs: DataFrame, window: int, seed: int) -> DataFrame:
                         lo=flat(columns[2], np.int32), n=flat(columns[3], np.int32),
                     ),
                 ],
-                ["_rid", "_key", "n_words", "z", "segs"],
+                ["_rid", "_rest", "_key", "n_words", "z", "segs"],
             )
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("_rid"), "_key", "_text")
+    numbered = docs.select(F.monotonically_increasing_id().alias("_rid"), "_rest", "_key", "_text")
     return numbered.mapInArrow(
         scan,
-        f"_rid long, _key {kind}, n_words long, z binary, "
+        f"_rid long, _rest {rest}, _key {kind}, n_words long, z binary, "
         "segs array<struct<h:long,g:long,lo:int,n:int>>",
     )
 
@@ -161,7 +163,7 @@ def opened(texts: DataFrame, wanted: DataFrame, window: int, seed: int) -> DataF
             hashes, places, counts = [], [], []
             rows = zip(batch.column("z"), batch.column("segs"), strict=True)
             for z, segs in rows:
-                own = words_of.of(unpacked(z.as_py()))
+                own = words_of.of(words_of_packed(z.as_py()))
                 at = np.concatenate([np.arange(x["lo"], x["lo"] + x["n"]) for x in segs.as_py()])
                 hashes.append(Spans(own, seed).of(at, at + window))
                 places.append(at)
@@ -204,6 +206,7 @@ def paths(covered: DataFrame) -> DataFrame:
 
 def applied(texts: DataFrame, asked: DataFrame, window: int) -> DataFrame:
     """Texts without the covered words, and digests of the spans listed in ``asked``."""
+    rest = texts.schema["_rest"].dataType.simpleString()
     kind = texts.schema["_key"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +219,7 @@ def applied(texts: DataFrame, asked: DataFrame, window: int) -> DataFrame:
                     removed.append(0)
                     kept.append(z.as_py())
                     continue
-                words = unpacked(z.as_py())
+                words = words_of_packed(z.as_py())
                 keep = np.ones(len(words), bool)
                 for x in spans:
                     stop = x["pos"] + x["n"] + window - 1
@@ -226,25 +229,27 @@ def applied(texts: DataFrame, asked: DataFrame, window: int) -> DataFrame:
                         keep[x["pos"] : stop] = False
                 left = np.flatnonzero(keep).tolist()
                 removed.append(len(words) - len(left))
-                kept.append(packed([words[i] for i in left]) if removed[-1] else z.as_py())
+                text = b" ".join([words[i] for i in left])
+                kept.append(packed(text) if removed[-1] else z.as_py())
             pos, n, digest = zip(*digests, strict=True) if digests else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("_rid"), batch.column("_key"), batch.column("n_words"),
+                    batch.column("_rid"), batch.column("_rest"), batch.column("_key"),
+                    batch.column("n_words"),
                     pa.array(removed, pa.int64()), pa.array(kept, pa.binary()),
                     lists(
                         counts, pos=pa.array(pos, pa.int32()), n=pa.array(n, pa.int32()),
                         digest=pa.array(digest, pa.string()),
                     ),
                 ],
-                ["_rid", "_key", "n_words", "n_removed", "kept", "digests"],
+                ["_rid", "_rest", "_key", "n_words", "n_removed", "kept", "digests"],
             )
 
     return (
-        texts.select("_rid", "_key", "n_words", "z").join(asked, "_rid", "left")
+        texts.select("_rid", "_rest", "_key", "n_words", "z").join(asked, "_rid", "left")
         .mapInArrow(
             cut,
-            f"_rid long, _key {kind}, n_words long, n_removed long, kept binary, "
+            f"_rid long, _rest {rest}, _key {kind}, n_words long, n_removed long, kept binary, "
             "digests array<struct<pos:int,n:int,digest:string>>",
         )
     )
@@ -298,35 +303,67 @@ def attempt(docs: DataFrame, window: int, seed: int):
     return result, wrong
 
 
-def dedup(docs: DataFrame, key: str, text: str, window: int = 20, seed: int = 42) -> DataFrame:
-    """(key, n_words, n_removed, kept) for every row of ``docs``.
-
-    Words are runs without ASCII white space.  A word goes if some window of ``window`` words
-    that covers it also starts earlier: at a smaller key, or earlier in the same text.  Windows
-    are judged on the texts as they come in.  ``kept`` joins the other words by one space.
-    Null texts have no words; null keys count as smallest; rows with equal keys are taken in an
-    order of their own, and each gives a row of the result.
-    """
-    narrow = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+def judged(docs: DataFrame, window: int, seed: int, joined: bool) -> DataFrame:
+    """(_rest, _key, n_words, n_removed, kept) of rows (_rest, _key, _text)."""
     for turn in range(5):
-        result, wrong = attempt(narrow, window, seed + turn)
+        result, wrong = attempt(docs, window, seed + turn)
         if not wrong:
             break
         dropped(result)
     else:
         raise RuntimeError("segment hashes collided under five seeds")
-    kind = docs.schema[key].dataType.simpleString()
+    rest, kind = (docs.schema[c].dataType.simpleString() for c in ("_rest", "_key"))
+
+    def text(z):
+        if joined:
+            return b" ".join(words_of_packed(z)).decode()
+        return zstandard.decompress(z).decode() if z is not None else None
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [zstandard.decompress(z.as_py()).decode() for z in batch.column("kept")]
+            kept = [text(z.as_py()) for z in batch.column("kept")]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(3)), pa.array(kept, pa.string())],
-                ["_key", "n_words", "n_removed", "kept"],
+                [*(batch.column(i) for i in range(4)), pa.array(kept, pa.string())],
+                ["_rest", "_key", "n_words", "n_removed", "kept"],
             )
 
-    return (
-        result.select("_key", "n_words", "n_removed", "kept")
-        .mapInArrow(plain, f"_key {kind}, n_words long, n_removed long, kept string")
-        .withColumnRenamed("_key", key)
+    return result.select("_rest", "_key", "n_words", "n_removed", "kept").mapInArrow(
+        plain, f"_rest {rest}, _key {kind}, n_words long, n_removed long, kept string"
     )
+
+
+def dedup(docs: DataFrame, key: str, text: str, window: int = 20, seed: int = 42) -> DataFrame:
+    """(key, n_words, n_removed, kept) for every row of ``docs``.
+
+    Words are runs without ASCII white space.  A word goes if some window of ``window`` words
+    that covers it also starts earlier: at a smaller key, or earlier in the same text.  Windows
+    are judged on the texts as they come in.  ``kept`` joins the other words by one space.
+    Null texts have no words; null keys count as smallest; rows with equal keys are taken in an
+    order of their own, and each gives a row of the result.
+    """
+    narrow = docs.select(
+        F.lit(0).alias("_rest"), F.col(key).alias("_key"), F.col(text).alias("_text")
+    )
+    return judged(narrow, window, seed, joined=True).drop("_rest").withColumnRenamed("_key", key)
+
+
+def without_repeats(
+    docs: DataFrame, key: str, text: str, window: int = 20, seed: int = 42, size: str | None = None
+) -> DataFrame:
+    """``docs`` with repeated passages cut out of ``text``; all columns stay.
+
+    Texts that lose nothing, null ones included, stay as they are; others are their kept words
+    joined by one space, and column ``size``, if named, is their new length in characters.
+    """
+    rest = [F.col(c) for c in docs.columns if c not in (key, text)]
+    packed_rest = F.struct(*rest) if rest else F.lit(0)
+    narrow = docs.select(packed_rest.alias("_rest"), F.col(key).alias("_key"), F.col(text).alias("_text"))
+    done = judged(narrow, window, seed, joined=False)
+    columns = []
+    for c in docs.columns:
+        value = F.col("_key") if c == key else F.col("kept") if c == text else F.col("_rest")[c]
+        if c == size:
+            kind = docs.schema[c].dataType
+            value = F.when(F.col("n_removed") > 0, F.length("kept").cast(kind)).otherwise(value)
+        columns.append(value.alias(c))
+    return done.select(*columns)
