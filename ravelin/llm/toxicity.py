@@ -16,6 +16,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Labelled rows to learn from, per class, and the longest text (characters) among them.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 4000, 8000, 100_000
@@ -200,5 +201,5 @@ def scored(docs: DataFrame, text: str, model: Model, name: str = "score") -> Dat
             found = model.score(np.array(rows).reshape(len(rows), TOP + 1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, name])
 
-    schema = docs.schema.add(name, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     return docs.mapInArrow(score, schema)
