@@ -40,11 +40,12 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.separate_words:
             return self.pack(texts)
-        words = [text.split() for text in texts]
+        words = [text.encode().split() for text in texts]  # ASCII white space only
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
         fresh = list(set().union(*words).difference(self.memory))
-        self.memory.update(zip(fresh, self.pack(fresh), strict=True))
+        coded = self.pack([word.decode() for word in fresh])
+        self.memory.update(zip(fresh, coded, strict=True))
         return [b"".join(map(self.memory.__getitem__, parts)) for parts in words]
 
 
