@@ -7,7 +7,9 @@ the number of ids in all parts before it, from prefix sums of the parts' totals.
 ascending key order, so a global offset is base plus offset.
 """
 
+import json
 import os
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -22,33 +24,105 @@ from tokenizers import Tokenizer
 #: Bytes of text that one part should hold.
 PART_BYTES = 32 << 20
 #: Words remembered by one worker before it starts afresh; texts tokenised at a time.
-REMEMBERED, SLICE = 250_000, 200
+REMEMBERED, SLICE = 450_000, 200
+#: New runs of letters in one text, and what may follow a word's letters.
+RUN_WORDS, TAIL = 100, b".,!?;:"
 
 
 class Encoder:
-    """Packed ids of texts, with a memory of words where the vocabulary allows it."""
+    """Packed ids of texts, with a memory of words where the vocabulary allows it.
+
+    A word of letters and a tail of punctuation are separate for such a vocabulary.  New runs
+    of ASCII go to the model at once, if probes show that its front leaves them alone; others
+    are tokenised many to a text, where tokens that end a word tell them apart.
+    """
 
     def __init__(self, definition: str, kind: str, separate_words: bool):
         self.model = Tokenizer.from_str(definition)
         self.model.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.kind, self.separate_words, self.memory = kind, separate_words, {}
+        self.kind, self.separate_words = kind, separate_words
+        self.memory: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+        suffix = json.loads(definition)["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        probes = ["a", "the", "internationalisation", "zzxqj", "...", ",", "?!;", "thing"]
+        self.plain = [self.direct(x) for x in probes] == self.pack(probes)
+        if suffix:
+            self.ends[[i for token, i in self.model.get_vocab().items() if token.endswith(suffix)]] = True
 
     def pack(self, texts: list[str]) -> list[bytes]:
         coded = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.kind).tobytes() for x in coded]
 
+    def direct(self, run: str) -> bytes:
+        """Ids of lower-case ASCII letters or punctuation, from the model without its front."""
+        return np.array([token.id for token in self.model.model.tokenize(run)], self.kind).tobytes()
+
+    def learn_runs(self, runs: list[bytes]) -> None:
+        """Remember runs of letters or of punctuation, RUN_WORDS of them to a text."""
+        width = np.dtype(self.kind).itemsize
+        if self.plain:
+            easy = [run for run in runs if run.isascii()]
+            tokenize = self.model.model.tokenize
+            code = self.kind[0] + "%d" + {"2": "H", "4": "I"}[self.kind[-1]]
+            for run in easy:
+                ids = [token.id for token in tokenize(run.decode())]
+                self.parts[run] = struct.pack(code % len(ids), *ids)
+            runs = [run for run in runs if not run.isascii()]
+        for start in range(0, len(runs), RUN_WORDS):
+            some = runs[start : start + RUN_WORDS]
+            text = b" ".join(some).decode()
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * width
+            if len(stops) == len(some) and stops[-1] == len(ids) * width:
+                packed, stops = ids.tobytes(), stops.tolist()
+                self.parts.update(
+                    (run, packed[i:j]) for run, i, j in zip(some, [0, *stops], stops, strict=False)
+                )
+            else:  # no such tokens: one by one
+                self.parts.update(zip(some, self.pack([run.decode() for run in some]), strict=True))
+
+    def learn(self, fresh: list[bytes]) -> None:
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        halves, odd = [], []
+        for word in fresh:
+            body = word.rstrip(TAIL)
+            if body.isalpha() or (not body.isascii() and body.decode().isalpha()):
+                # Only ASCII is lower-cased here; the library does the rest.
+                halves.append((word, body.lower(), word[len(body) :]))
+            else:
+                odd.append(word)
+        runs = {body for _, body, _ in halves} | {tail for _, _, tail in halves if tail}
+        self.learn_runs(list(runs.difference(self.parts)))
+        parts = self.parts
+        self.memory.update((w, parts[body] + parts[tail] if tail else parts[body]) for w, body, tail in halves)
+        for start in range(0, len(odd), RUN_WORDS):
+            some = odd[start : start + RUN_WORDS]
+            self.memory.update(zip(some, self.pack([word.decode() for word in some]), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.separate_words:
             return self.pack(texts)
         words = [text.encode().split() for text in texts]  # ASCII white space only
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
-        fresh = list(set().union(*words).difference(self.memory))
-        coded = self.pack([word.decode() for word in fresh])
-        self.memory.update(zip(fresh, coded, strict=True))
+        self.learn(list(set().union(*words).difference(self.memory)))
         return [b"".join(map(self.memory.__getitem__, parts)) for parts in words]
 
 
+_LOADED: dict[tuple, Encoder] = {}
+
+
+def encoder(definition: str, kind: str, separate_words: bool) -> Encoder:
+    """The worker's encoder: tasks that follow each other share its memory."""
+    key = (hash(definition), kind, separate_words)
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = Encoder(definition, kind, separate_words)
+    return _LOADED[key]
+
+
 def opened(uri: str):
     """(file system, path) of a URI or an absolute path."""
     return files.FileSystem.from_uri(uri)
@@ -103,7 +177,7 @@ def write_documents(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        name, coder = f"{folder}/part-{part:06d}", Encoder(definition.value, kind, separate_words)
+        name, coder = f"{folder}/part-{part:06d}", encoder(definition.value, kind, separate_words)
         keys, sizes = [], []
 
         def ids(stream):

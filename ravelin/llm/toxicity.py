@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Labelled rows to learn from, per class, and the longest text (characters) among them.
-SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 4000, 8000, 100_000
+SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 4000, 8000, 20_000
 #: Words of a window and between windows; largest gain told apart.
 WINDOW, STEP, TOP = 8, 4, 16
 #: Bytes of the dictionaries.
