@@ -250,7 +250,7 @@ SELECT 'RUSTSEC-' || event_id AS rule_id,
   CASE WHEN event_id % 3 = 0 THEN 'CVE-' || event_id || ', X-1' ELSE 'RUSTSEC-' || event_id END AS cve,
   'crate' || user_id AS package, (event_id % 4) || '.1' AS installed_version FROM events"""
 add("s14_cargo_audit", CARGO_SQL)
-add("s15_osv_dump", "SELECT id, cve, severity, summary, 3 AS refs, 'https://r.example/0/' || k AS first_ref FROM osv", ["osv"])
+add("s15_osv_dump", "SELECT id, cve, severity, summary, 4 AS refs, 'https://r.example/0/' || k AS first_ref FROM osv", ["osv"])
 add("s16_json_objects", """
 SELECT 'e' || event_id AS id, true AS is_object, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events
 UNION ALL SELECT 'd' || doc_id, CASE WHEN json_valid(text) THEN json_type(text) = 'OBJECT' ELSE false END, NULL FROM documents""")
@@ -270,12 +270,13 @@ SARIF = ("sarif", f"""
 SELECT t.*, dense_rank() OVER (ORDER BY first_row) - 1 AS rule_index FROM
  (SELECT *, min(row_no) OVER (PARTITION BY rule_id) AS first_row FROM
   (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS row_no FROM event_findings QUALIFY row_no <= 200)) t""")
+SARIF_ALL = ("sarif", SARIF[1].replace(" QUALIFY row_no <= 200", ""))
 add("k01_tool_summary", f"SELECT 'events' AS target, {LEVEL} AS risk_level, {SCORE} AS risk_score, count(*) FILTER (WHERE severity IN ('HIGH', 'CRITICAL')) AS total, {COUNTS} FROM weights", ["weights"])
 add("w14_tool_findings", f"SELECT rule_id, severity, title, cwe, file, line, source FROM event_findings WHERE severity IN ('MEDIUM', 'HIGH', 'CRITICAL') ORDER BY {ORDER} LIMIT 200", ["event_findings"])
 add("k02_sarif_results", f"""
 SELECT rule_id, rule_index, CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error' WHEN severity = 'MEDIUM' THEN 'warning' WHEN severity = 'LOW' THEN 'note' ELSE 'none' END AS level,
   {case_map('severity', {'CRITICAL': '9.3', 'HIGH': '7.5', 'MEDIUM': '5.0', 'LOW': '3.1', 'INFO': '0.0'})} AS security_severity,
-  file, greatest(1, line) AS start_line, seq FROM sarif""", ["event_findings"], [SARIF])
+  file, greatest(1, line) AS start_line, seq FROM sarif""", ["event_findings"], [SARIF_ALL])
 add("k02_sarif_document", """
 SELECT '2.1.0' AS version, count(*) AS results, count(DISTINCT rule_id) AS rules, arg_min(rule_id, row_no) AS first_rule, arg_min(rule_id, row_no) AS rule_zero FROM sarif""", ["event_findings"], [SARIF])
 add("k03_baseline_save", "SELECT DISTINCT fingerprint FROM prints ORDER BY 1", ["prints"])
@@ -292,7 +293,7 @@ add("f06_comments", f"""SELECT * FROM (SELECT path, n AS line_no, {m('line', T.C
 WHERE code OR secrets OR solidity""", ["lines"])
 
 
-def pack_sql(pack, ext_test, comment=T.COMMENT_CODE, width=200):
+def pack_sql(pack, ext_test, comment=T.COMMENT_CODE):
     """Hits of a line pack; a look-ahead becomes a negated prefix test."""
     parts = []
     for k, (rule_id, pattern) in enumerate(L.RULES[pack]):
@@ -310,7 +311,7 @@ def pack_sql(pack, ext_test, comment=T.COMMENT_CODE, width=200):
         if rule_id in L.GATES:
             test += " AND " + m("line", L.GATES[rule_id])
         parts.append(f"SELECT path, n, line, {q(rule_id)} AS rule_id FROM lines WHERE {ext_test} AND {test}")
-    return f"""SELECT path AS file, n AS line, rule_id, substring({strip('line')}, 1, {width}) AS evidence FROM ({' UNION ALL '.join(parts)})
+    return f"""SELECT path AS file, n AS line, rule_id, {strip('line')} AS evidence FROM ({' UNION ALL '.join(parts)})
  WHERE NOT {m('line', comment)}"""
 
 
@@ -390,7 +391,7 @@ add("d11_candidate_profile", "SELECT page_id, name, value, encoding, round(entro
 
 
 def secrets_sql(lines_sql, ext):
-    """Accepted assignments, then bare strings, first wins by 12 characters."""
+    """Accepted assignments, then bare strings, first wins by the whole value."""
     p = q(S.QUOTED)
     bare = f"""SELECT *, 45.0::DOUBLE AS confidence FROM (SELECT *, {encoding('value')} AS encoding, {shannon('value')} AS entropy FROM
   (SELECT file, n, ext, unnest(range(len(regexp_extract_all(line, {p}, 1)))) AS k, '' AS name, unnest(regexp_extract_all(line, {p}, 1)) AS value FROM src))"""
@@ -398,16 +399,15 @@ def secrets_sql(lines_sql, ext):
  named AS ({measured('SELECT * FROM src', 'file, ext')}), bare AS ({bare}),
  every AS (SELECT file, n, 0 AS kind, k, name, value, encoding, entropy, confidence FROM named WHERE {likely(ext)}
   UNION ALL SELECT file, n, 1, k, name, value, encoding, entropy, confidence FROM bare WHERE entropy >= {THRESHOLD} + 0.5),
- firsts AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY file, n, left(value, 12) ORDER BY kind, k) = 1)
+ firsts AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY file, n, value ORDER BY kind, k) = 1)
 SELECT file, n AS line, {SEVERITY} AS severity, {MASK} AS evidence, encoding, name AS var_name, CASE kind WHEN 0 THEN 'assignment' ELSE 'standalone' END AS context_type,
  confidence, round(entropy, 3) AS entropy FROM firsts WHERE {KEPT}"""
 
 
 NOT_COMMENT = f"NOT {m('line', T.COMMENT_SECRETS)}"
-DOC_SECRET_LINES = f"""SELECT 'doc/' || doc_id || '.txt' AS file, '.txt' AS ext, n, line FROM doc_lines WHERE {NOT_COMMENT} AND doc_id NOT IN (SELECT doc_id FROM documents WHERE {MINIFIED})"""
+DOC_SECRET_LINES = f"""SELECT 'doc/' || doc_id || '.txt' AS file, '.txt' AS ext, n, line FROM doc_lines WHERE {NOT_COMMENT}"""
 add("d11_secrets", "SELECT * FROM (" + secrets_sql(DOC_SECRET_LINES, "ext") + ")", extra=[DOC_LINES])
-SEEDED_SECRET_LINES = f"""SELECT path AS file, ext, n, line FROM lines WHERE {NOT_COMMENT} AND NOT {has_any('path', S.SKIP_DIRS)}
- AND path NOT IN (SELECT path FROM seeded WHERE {MINIFIED.replace('text', 'content')})"""
+SEEDED_SECRET_LINES = f"""SELECT path AS file, ext, n, line FROM lines WHERE {NOT_COMMENT} AND NOT {has_any('path', S.SKIP_DIRS)}"""
 add("d11_secrets_seeded", "SELECT * FROM (" + secrets_sql(SEEDED_SECRET_LINES, "ext") + ")", ["lines"])
 add("w04_secret_dedup", """
 SELECT event_id, CASE WHEN true THEN 1 END AS by12, CASE WHEN left(md5(props || '0'), 2) = left(md5(props || '1'), 2) THEN 1 ELSE 2 END AS by16 FROM events""")
@@ -442,7 +442,7 @@ SELECT seq, {HEADING} AS heading, {PLACE} AS location, length({HEADING}) + 1 + l
  ELSE length(chr(10) || '  ' || title || chr(10) || '  (No note for this weakness class.)') END AS chars
 FROM event_findings LEFT JOIN notes ON upper(cwe) = kb_cwe""", ["event_findings"], [NOTES])
 add("w14_explain_first", f"SELECT seq, {HEADING} AS heading FROM event_findings ORDER BY {ORDER} LIMIT 20", ["event_findings"])
-add("w14_validate_first", "SELECT 'ASSESSED' AS action, true AS granted FROM pages JOIN decisions ON url = target WHERE status = 'AUTHORIZED' LIMIT 10", ["decisions"])
+add("w14_validate_first", "SELECT 'ASSESSED' AS action, target, 'rule=R' || i AS detail, organization FROM pages JOIN decisions ON url = target, (VALUES (0), (1)) v(i) WHERE status = 'AUTHORIZED'", ["decisions"])
 add("p12_fix_advice", "SELECT seq, 'Recommended fix (' || coalesce(cwe, '') || '): ' || coalesce(fix, 'Apply the standard remediation for this class.') AS advice FROM event_findings LEFT JOIN notes ON upper(cwe) = kb_cwe", ["event_findings"], [NOTES])
 add("p13_narrow", "SELECT rule_id, severity, title, cwe, file, line, source FROM event_findings", ["event_findings"])
 
@@ -579,7 +579,7 @@ COSM_SQL = union([
     first_hit("SC-CW-004", f"{COSM} AND {m('line', W['save'])} AND {m(joined('n + 1', 'n + 8'), W['sub_message'])}"),
     line_hit("SC-CW-005", f"{COSM} AND {m('line', W['address'])}"),
 ])
-SOLPACK_SQL = pack_sql("solidity", SOL, T.COMMENT_SOLIDITY, 120)
+SOLPACK_SQL = pack_sql("solidity", SOL, T.COMMENT_SOLIDITY)
 TF = "ext = '.tf'"
 TF_SQL = union([
     file_hit("IAC-TF-001", f"{TF} AND contains(content, 'aws_s3_bucket') AND NOT contains(content, 'server_side_encryption')", "'server_side_encryption_configuration not found'"),
@@ -612,7 +612,7 @@ PRINTABLE = r"^[\x20-\x7e\t\n\r]+$"
 
 
 def revealed(expr, kind, source, where="true"):
-    return f"""SELECT file, line, left(t, 200) AS evidence, {q(kind)} AS kind FROM (SELECT path AS file, n AS line, {expr} AS t FROM ({source}) WHERE {where})
+    return f"""SELECT file, line, t AS evidence, {q(kind)} AS kind FROM (SELECT path AS file, n AS line, {expr} AS t FROM ({source}) WHERE {where})
  WHERE {m('t', PRINTABLE)} AND {m('t', V.DANGEROUS)}"""
 
 
@@ -638,7 +638,7 @@ CODES2 = f"list_filter(list_transform(string_split(regexp_extract(x, {q(V.FROM_C
 CHR_SQL = union([spanning(CHAIN_RX, CODES1), spanning(V.FROM_CHAR_CODE, CODES2)])
 add("d14_charcode", CHR_SQL, ["seeded"])
 FRAG = f"array_to_string(regexp_extract_all(line, {q(V.FRAGMENT)}, 1), '')"
-CONCAT_SQL = f"""SELECT path AS file, n AS line, left({FRAG}, 200) AS evidence, 'concat' AS kind FROM lines
+CONCAT_SQL = f"""SELECT path AS file, n AS line, {FRAG} AS evidence, 'concat' AS kind FROM lines
  WHERE {LANG()} IS NOT NULL AND {m('line', V.CONCAT)} AND {m(FRAG, V.DANGEROUS)} AND NOT {m('line', V.DANGEROUS)}"""
 add("d15_split_strings", CONCAT_SQL, ["lines"])
 add("d19_iac_dispatch", """
@@ -661,7 +661,7 @@ add("g09_missed_cases", "SELECT DISTINCT case_id, cwe, modelled FROM scored WHER
 add("g09_false_positives", "SELECT DISTINCT case_id, '' AS rule_id FROM scored WHERE side = 'secure' AND flagged", BASE, [SCORED])
 add("g01_by_severity", f"SELECT {COUNTS} FROM event_findings", ["event_findings"])
 add("g02_risk_per_file", f"SELECT file, count(*) AS total, {SCORE} AS risk_score FROM weights GROUP BY 1", ["weights"])
-add("g03_risk_level", f"SELECT file, {SCORE} AS risk_score, {LEVEL} AS risk_level, {EXIT} AS exit_code FROM weights WHERE line < 4 GROUP BY 1", ["weights"])
+add("g03_risk_level", f"SELECT file, {SCORE} AS risk_score, {LEVEL} AS risk_level, {EXIT} AS exit_code FROM weights GROUP BY 1", ["weights"])
 add("g04_engine_rollup", "SELECT engine, severity, count(*) AS findings FROM event_findings GROUP BY ROLLUP (engine, severity)", ["event_findings"])
 add("g05_engine_summary", "SELECT engine, severity, count(*) AS findings, count(DISTINCT file) AS files FROM event_findings GROUP BY 1, 2", ["event_findings"])
 add("g06_per_chain", "SELECT chain, count(*) AS findings FROM event_findings WHERE chain IS NOT NULL GROUP BY 1", ["event_findings"])
@@ -685,8 +685,8 @@ add("w02_dedup_by_rule", f"SELECT seq, rule_id, file, line FROM event_findings Q
 CAPPED = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN pack_rank = 0 THEN 'contracts' ELSE coalesce(chain, 'solidity') END ORDER BY {order}) AS rn FROM {src})
  WHERE rn <= CASE WHEN pack_rank = 0 THEN 6 ELSE 3 END"""
 add("w03_cap_per_chain", f"SELECT seq, chain, pack_rank FROM ({CAPPED.format(order=ORDER, src='event_findings')})", ["event_findings"])
-add("w05_rule_index", "SELECT rule_index, rule_id, count(*) AS n FROM sarif GROUP BY 1, 2", ["event_findings"], [SARIF])
-add("w13_severity_order", f"SELECT seq, severity, file FROM event_findings ORDER BY {case_map('severity', {s: i for i, s in enumerate(schema.SEVERITIES)})}, {ORDER} LIMIT 50", ["event_findings"])
+add("w05_rule_index", "SELECT rule_index, rule_id, count(*) AS n FROM sarif GROUP BY 1, 2", ["event_findings"], [SARIF_ALL])
+add("w13_severity_order", f"SELECT seq, severity, file FROM event_findings ORDER BY {case_map('severity', {s: i for i, s in enumerate(schema.SEVERITIES)})}, {ORDER}", ["event_findings"])
 add("w14_first_findings", f"SELECT seq, engine, file FROM event_findings ORDER BY {ORDER} LIMIT 200", ["event_findings"])
 add("w15_file_cap", f"SELECT path FROM seeded WHERE {LANG()} IS NOT NULL AND {NOT_SKIPPED} ORDER BY path LIMIT 40", ["seeded"])
 add("u01_union", "SELECT engine, seq, CASE WHEN engine = 'web3' THEN chain END AS chain FROM event_findings", ["event_findings"])

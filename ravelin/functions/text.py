@@ -133,16 +133,22 @@ def glob_head(pattern: Column) -> Column:
 
 
 def version_key(version: Column) -> Column:
-    """Dotted version as an array of ints, comparable element by element.
+    """Dotted version as a comparable struct: release numbers, then release above pre-release.
 
-    Only the release part counts (up to the first '-' or '+'), and trailing
-    zeros do not: 1.2 and 1.2.0 are the same release.
+    Numbers of any length compare by value, build metadata (after '+') does not count, and
+    trailing zeros do not either: 1.2 and 1.2.0 are the same release, 1.2.0-rc1 is below it.
     """
     release = F.regexp_extract(version, r"^[vV=]*([^-+]*)", 1)
     release = F.regexp_replace(release, r"(\.0+)+$", "")
-    return F.transform(
-        F.split(release, r"\."),
-        lambda p: F.coalesce(
-            F.regexp_extract(p, r"^\d{1,18}", 0).try_cast("bigint"), F.lit(0)
-        ),
+    before = F.regexp_extract(version, r"^[vV=]*[^-+]*-([^+]*)", 1)
+
+    def number(part):
+        digits = F.regexp_extract(part, r"^0*(\d*)", 1)
+        return F.struct(F.length(digits).alias("n"), digits.alias("digits"))
+
+    key = F.struct(
+        F.transform(F.split(release, r"\."), number).alias("release"),
+        (before == "").alias("final"),
+        before.alias("before"),
     )
+    return F.when(version.isNotNull(), key)

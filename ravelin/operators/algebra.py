@@ -63,17 +63,11 @@ def primary_or_fallback(primary: DataFrame, fallback: DataFrame) -> DataFrame:
 def first_wins(df: DataFrame, keys: list) -> DataFrame:
     """The first row per key in finding order.
 
-    An aggregate, not a window: each task reduces its rows before the shuffle,
-    so a key with a third of all rows costs one row per task.
+    Spark turns the filter into a group limit before the shuffle, so a key with a
+    third of all rows costs one row per task.
     """
-    columns = df.columns
-    row = F.struct(*[F.col(c) for c in columns])
-    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
-    return (
-        df.groupBy(*named)
-        .agg(F.min_by(row, order_of(df)).alias("r"))
-        .select(*[F.col(f"r.`{c}`").alias(c) for c in columns])
-    )
+    first = Window.partitionBy(*keys).orderBy(order_of(df))
+    return df.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
 def order_of(df: DataFrame) -> Column:
@@ -97,18 +91,21 @@ def dedup_by_rule(df: DataFrame) -> DataFrame:
 
 
 def dedup_sast(df: DataFrame) -> DataFrame:
-    """``dedup`` for source findings, all other rows kept, in one shuffle.
+    """``dedup`` for source findings, every row of other engines kept, in one shuffle.
 
-    Splitting the frame by engine would run the whole detection twice, so rows
-    of other engines stay in and get a key of their own.
+    Splitting the frame by engine would run the whole detection twice.  Rows of
+    other engines are spread by their content and pass whatever their number.
     """
+    source = F.coalesce(F.col("engine") == "sast", F.lit(False))
     content = [f.name for f in schema.FINDING.fields if f.name != "extra"]
-    own = F.when(F.col("engine") != "sast", F.xxhash64(*content))
-    return first_wins(df, [*weakness_key(), own])
+    own = F.when(~source, F.xxhash64(*content))
+    first = Window.partitionBy(*weakness_key(), own).orderBy(order_of(df))
+    ranked = df.withColumn("_n", F.row_number().over(first))
+    return ranked.where(~source | (F.col("_n") == 1)).drop("_n")
 
 
-def top_per_group(df: DataFrame, group: Column, n: int) -> DataFrame:
-    """First ``n`` rows per group.
+def top_per_group(df: DataFrame, group: Column, n: int, own: Column | None = None) -> DataFrame:
+    """First ``n`` rows per group, or fewer where ``own`` says so.
 
     Spark turns the row-number filter into a group limit before the shuffle, so
     a task sends at most ``n`` rows per group however large the group is.
@@ -116,20 +113,23 @@ def top_per_group(df: DataFrame, group: Column, n: int) -> DataFrame:
     ranked = df.withColumn("_group", group).withColumn(
         "_n", F.row_number().over(Window.partitionBy("_group").orderBy(order_of(df)))
     )
-    return ranked.where(F.col("_n") <= n).drop("_n", "_group")
+    kept = ranked.where(F.col("_n") <= n)
+    return (kept if own is None else kept.where(F.col("_n") <= own)).drop("_n", "_group")
 
 
 def cap_web3(df: DataFrame, cap: int) -> DataFrame:
     """Caps of the contract report: 2 x cap, cap, and cap per further chain."""
-    contracts = top_per_group(df.where("pack_rank = 0"), F.lit("contracts"), 2 * cap)
-    others = top_per_group(
-        df.where("pack_rank <> 0"), F.coalesce("chain", F.lit("solidity")), cap
+    own = F.col("pack_rank") == 0
+    group = F.when(own, "contracts").otherwise(
+        F.concat(F.lit("chain "), F.coalesce("chain", F.lit("solidity")))
     )
-    return contracts.unionByName(others)
+    return top_per_group(df.where("pack_rank IS NOT NULL"), group, 2 * cap, F.when(own, 2 * cap).otherwise(cap))
 
 
-def limit_in_order(df: DataFrame, n: int) -> DataFrame:
-    return df.orderBy(order_of(df)).limit(n)
+def limit_in_order(df: DataFrame, n: int | None = None) -> DataFrame:
+    """Findings in order, the first ``n`` where a number is given."""
+    ordered = df.orderBy(order_of(df))
+    return ordered if n is None else ordered.limit(n)
 
 
 def by_severity_rank(df: DataFrame) -> DataFrame:
@@ -207,19 +207,18 @@ def count_by_chain(df: DataFrame) -> DataFrame:
     )
 
 
-def top_weaknesses(df: DataFrame, n: int = TOP_CWE) -> DataFrame:
-    """Most frequent classes; ties go to the one seen first."""
-    return (
+def top_weaknesses(df: DataFrame, n: int | None = None) -> DataFrame:
+    """Classes by frequency, the first ``n`` where a number is given; ties go to the one seen first."""
+    ranked = (
         df.where(truthy("cwe").isNotNull())
         .groupBy("cwe")
         .agg(F.count("*").alias("findings"), F.min(order_of(df)).alias("first"))
         .orderBy(F.desc("findings"), "first")
-        .limit(n)
-        .drop("first")
     )
+    return (ranked if n is None else ranked.limit(n)).drop("first")
 
 
-def summary(df: DataFrame) -> DataFrame:
+def summary(df: DataFrame, top_classes: int = TOP_CWE) -> DataFrame:
     """One line of text: total, counts per severity, top classes.
 
     The findings are reduced to one cell per severity and class; what is
@@ -250,7 +249,7 @@ def summary(df: DataFrame) -> DataFrame:
 
     classes = F.filter(F.array_distinct(cell["cwe"]), lambda c: c.isNotNull())
     top = F.transform(
-        F.slice(F.array_sort(F.transform(classes, weigh)), 1, TOP_CWE),
+        F.slice(F.array_sort(F.transform(classes, weigh)), 1, top_classes),
         lambda t: F.concat(t["cwe"], F.lit(" x"), (-t["n"]).cast("string")),
     )
     text = F.concat(

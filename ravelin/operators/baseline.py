@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.functions import text as T
-from ravelin.operators.joins import salted_join
 from ravelin.sources.files import relative
 
 
@@ -58,29 +57,33 @@ def fingerprints(df: DataFrame, root: str) -> DataFrame:
     )
 
 
-def save(df: DataFrame, root: str, path: str) -> None:
-    """Write the baseline as JSON rows, range-sorted over many files."""
+def save(df: DataFrame, root: str, path: str) -> int:
+    """Write the baseline as JSON rows, range-sorted over many files; returns its size."""
     fingerprints(df, root).write.mode("overwrite").json(path)
+    return df.sparkSession.read.schema("fingerprint string").json(path).count()
+
+
+def add(prints: DataFrame, path: str) -> int:
+    """Add fingerprints to a baseline written by ``save``; returns how many are new."""
+    spark = prints.sparkSession
+    fresh = prints.select("fingerprint").distinct().join(load(spark, path), "fingerprint", "left_anti")
+    count = fresh.count()
+    fresh.write.mode("append").json(path)
+    return count
 
 
 def gate(df: DataFrame, known: DataFrame, root: str) -> DataFrame:
     """Findings whose fingerprint is not in the baseline."""
-    return salted_join(
-        with_fingerprint(df, root), known.distinct(), ["fingerprint"], "left_anti"
-    )
+    return with_fingerprint(df, root).join(known.distinct(), ["fingerprint"], "left_anti")
 
 
 def suppressed(df: DataFrame, known: DataFrame, root: str) -> DataFrame:
     """One row: how many findings the baseline hides."""
-    return salted_join(
-        with_fingerprint(df, root), known.distinct(), ["fingerprint"], "left_semi"
-    ).agg(F.count("*").alias("suppressed"))
+    return with_fingerprint(df, root).join(known.distinct(), ["fingerprint"], "left_semi").agg(F.count("*").alias("suppressed"))
 
 
 def flagged(df: DataFrame, known: DataFrame, root: str) -> DataFrame:
     """All findings with ``is_known``, so that the gate and its count come from
     one pass over the scan."""
     marked = known.distinct().withColumn("is_known", F.lit(True))
-    return salted_join(
-        with_fingerprint(df, root), marked, ["fingerprint"], "left"
-    ).withColumn("is_known", F.coalesce("is_known", F.lit(False)))
+    return with_fingerprint(df, root).join(marked, ["fingerprint"], "left").withColumn("is_known", F.coalesce("is_known", F.lit(False)))

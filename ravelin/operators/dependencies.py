@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from ravelin import catalog, schema
 from ravelin.functions import text as T
-from ravelin.operators.joins import salted_join
 
 
 def static_findings(deps: DataFrame) -> DataFrame:
@@ -88,7 +87,7 @@ def osv_findings(deps: DataFrame, osv: DataFrame) -> DataFrame:
         }
     )
     keyed = last_file_wins(deps).withColumn("key", T.version_key(F.col("version")))
-    affected = salted_join(keyed, spans, ["ecosystem", "name"]).where(
+    affected = keyed.join(spans, ["ecosystem", "name"]).where(
         is_affected(F.col("version"), F.col("key"), F.col("introduced"), F.col("fixed"))
     )
     # Two ranges of one advisory may both hold the version.
@@ -101,7 +100,7 @@ def osv_findings(deps: DataFrame, osv: DataFrame) -> DataFrame:
         F.col("name"), F.lit(" "), F.col("version"), F.lit(": "), F.col("summary")
     )
     return _sca(
-        once, F.col("cve"), F.substring("summary", 1, 120), description,
+        once, F.col("cve"), F.col("summary"), description,
         F.concat_ws("==", "name", "version"), "osv_scanner", 90.0, 0,
     )
 

@@ -76,10 +76,10 @@ def _hit(kind: str, rank: int, revealed: Column, line: Column, k: Column) -> Col
     return hit(
         rule_id=F.lit("E001"),
         line=line,
-        evidence=F.substring(revealed, 1, 200),
+        evidence=revealed,
         seq=F.lit(rank * STRIDE) + line.cast("bigint") * 100_000 + k,
         message=F.concat(
-            F.lit(f"{kind} payload, decoded: "), F.substring(revealed, 1, 120)
+            F.lit(f"{kind} payload, decoded: "), revealed
         ),
         encoding=F.lit(kind),
     )

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ravelin import catalog
 from ravelin.functions import text as T
 from ravelin.operators import algebra
-from ravelin.operators.joins import salted_join
 
 # Actions that are refused whatever the authorization.
 FORBIDDEN = [
@@ -111,7 +110,7 @@ def decide(
         .select("target", F.expr("substring(target, 1, n)").alias("head"))
     )
     matched = (
-        salted_join(probes, patterns, ["head"])
+        probes.join(patterns, ["head"])
         .where(covers(F.col("target"), F.col("pattern")))
         .groupBy("target")
         .agg(F.min("grant").alias("grant"))
@@ -148,7 +147,7 @@ def assess(
     asked = findings if action is None else findings.where(~is_forbidden(action))
     cwe = F.upper(F.coalesce("cwe", F.lit("")))
     return (
-        salted_join(asked, allowed, ["target"])
+        asked.join(allowed, ["target"])
         .join(notes, cwe == F.col("note_cwe"), "left")
         .select(
             "target", "organization", "authorization",
@@ -168,11 +167,14 @@ def assess(
 
 
 def validate(
-    findings: DataFrame, decisions: DataFrame, floor: str = "INFO", limit: int = VALIDATE_LIMIT
+    findings: DataFrame, decisions: DataFrame, floor: str = "INFO", limit: int | None = None
 ) -> DataFrame:
-    """Assessments of the first findings of at least the given severity."""
-    first = algebra.limit_in_order(algebra.at_least(findings, floor), limit)
-    return assess(first, decisions)
+    """Assessments of findings of at least the given severity, the first ``limit`` per target
+    where a number is given."""
+    chosen = algebra.at_least(findings, floor)
+    if limit is not None:
+        chosen = algebra.top_per_group(chosen, F.col("target"), limit)
+    return assess(chosen, decisions)
 
 
 def assessment_audit(assessments: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
-"""A join that stays balanced when one key holds a large share of the left rows."""
+"""A join for a key known to hold a large share of the left rows.
+
+Other joins are plain: adaptive execution splits what turns out to be skewed.
+"""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

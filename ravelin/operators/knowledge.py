@@ -65,6 +65,6 @@ def fix_advice(df: DataFrame) -> DataFrame:
     return noted.withColumn("advice", advice).drop("kb_cwe", "name", "why", "fix", "ref")
 
 
-def explain_first(df: DataFrame, limit: int = EXPLAIN_LIMIT) -> DataFrame:
-    """Explanations of the first findings of a scan."""
+def explain_first(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Explanations of the findings of a scan in order, the first ``limit`` if given."""
     return explain(algebra.limit_in_order(df, limit))

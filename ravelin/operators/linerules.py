@@ -186,7 +186,7 @@ def match_lines(
 
 
 def to_hits(
-    matches: Column, rule_ids: Column, width: int = 200, rule_major: bool = False,
+    matches: Column, rule_ids: Column, rule_major: bool = False,
     confidence: float | None = None,
 ) -> Column:
     """Matches to hits; seq counts line by line or rule by rule."""
@@ -196,7 +196,7 @@ def to_hits(
         return hit(
             rule_id=rule_ids[m["rule"]],
             line=m["n"],
-            evidence=F.substring(T.strip(m["s"]), 1, width),
+            evidence=T.strip(m["s"]),
             seq=rule * RULE_STRIDE + n if rule_major else n * 100 + rule,
             confidence=F.lit(confidence),
         )
@@ -225,7 +225,7 @@ def solidity_hits(ext: Column, text: Column) -> Column:
     """Hits of the Solidity line pack for ``.sol`` files."""
     matches = line_matches(text, "solidity", T.COMMENT_SOLIDITY)
     return to_hits(
-        F.when(ext == ".sol", matches), rule_ids("solidity"), width=120,
+        F.when(ext == ".sol", matches), rule_ids("solidity"),
         rule_major=True, confidence=75.0,
     )
 

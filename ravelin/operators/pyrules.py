@@ -209,7 +209,7 @@ def python_hits(all_facts: Column, text: Column) -> Column:
             return hit(
                 rule_id=rule,
                 line=f["line"],
-                evidence=F.substring(T.strip(line), 1, 200),
+                evidence=T.strip(line),
                 seq=f["rank"].cast("bigint") * 100 + k,
             )
 

@@ -37,11 +37,10 @@ def write_json(df: DataFrame, target: str, path: str) -> None:
     df.write.mode("overwrite").json(f"{path}/findings")
 
 
-def sarif_results(df: DataFrame, limit: int = SARIF_LIMIT) -> DataFrame:
-    """First findings in order with the index of their rule.
+def sarif_results(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Findings in order with the index of their rule, the first ``limit`` if given.
 
-    The limit comes first and leaves at most 200 rows, so the two windows after
-    it are bounded and the findings are computed once.
+    Rules are numbered from one row each; findings join their number.
     """
     upper = F.upper(F.coalesce("severity", F.lit("INFO")))
     top = algebra.limit_in_order(df, limit).withColumns(
@@ -53,13 +52,16 @@ def sarif_results(df: DataFrame, limit: int = SARIF_LIMIT) -> DataFrame:
             "_order": algebra.order_of(df),
         }
     )
-    first = F.min("_order").over(Window.partitionBy("rule_id"))
-    index = F.dense_rank().over(Window.orderBy("_first")) - 1
-    return top.withColumn("_first", first).withColumn("rule_index", index.cast("int"))
+    first = top.groupBy("rule_id").agg(F.min("_order").alias("_first"))
+    index = F.row_number().over(Window.orderBy("_first")) - 1
+    return top.join(first.withColumn("rule_index", index.cast("int")), "rule_id")
 
 
-def sarif(df: DataFrame, limit: int = SARIF_LIMIT) -> DataFrame:
-    """One row with the SARIF document as JSON text."""
+def sarif(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row with the SARIF document as JSON text.
+
+    A document is one value: give a limit, or write ``sarif_results`` where findings are many.
+    """
     rows = sarif_results(df, limit)
     cwe = F.coalesce("cwe", F.lit(""))
     rule = F.struct(
@@ -133,6 +135,6 @@ def tool_summary(df: DataFrame, target: str, floor: str = "LOW") -> DataFrame:
     )
 
 
-def tool_findings(df: DataFrame, floor: str = "LOW", limit: int = algebra.REPORT_LIMIT) -> DataFrame:
-    """The first findings of at least the given severity, seven columns."""
+def tool_findings(df: DataFrame, floor: str = "LOW", limit: int | None = None) -> DataFrame:
+    """Findings of at least the given severity in order, seven columns."""
     return algebra.narrow(algebra.limit_in_order(algebra.at_least(df, floor), limit))

@@ -40,7 +40,10 @@ CODE_EXTENSIONS = [
 
 
 def is_minified(text: Column) -> Column:
-    """A line over 2000 characters, or a tenth of the head not printable ASCII."""
+    """A line over 2000 characters, or a tenth of the head not printable ASCII.
+
+    An explicit guard: no scan leaves a file out unless ``skip_minified`` is set.
+    """
     head = F.substring(text, 1, 4096)
     # DEL counts as printable here.
     junk = F.length(F.regexp_replace(head, r"[\x20-\x7f\t\n\r]+", ""))
@@ -145,15 +148,16 @@ def line_secrets(line: Column, ext: Column) -> Column:
     return F.concat(named, bare)
 
 
-def first_by_prefix(items: Column, width: int) -> Column:
-    """Keep an item unless an earlier one starts with the same characters."""
+def first_by_prefix(items: Column, width: int | None = None) -> Column:
+    """Keep an item unless an earlier one has the same value, or the same first
+    ``width`` characters where a width is given."""
+
+    def part(item):
+        return item["value"] if width is None else F.substring(item["value"], 1, width)
+
     return F.filter(
         items,
-        lambda c, i: ~F.exists(
-            F.slice(items, 1, i),
-            lambda e: F.substring(e["value"], 1, width)
-            == F.substring(c["value"], 1, width),
-        ),
+        lambda c, i: ~F.exists(F.slice(items, 1, i), lambda e: part(e) == part(c)),
     )
 
 
@@ -162,10 +166,10 @@ def secret_hits(ext: Column, text: Column, post_filter: bool = True) -> Column:
 
     def of_line(x: Column) -> Column:
         def describe(items: Column) -> Column:
-            kept = first_by_prefix(items, 16)
+            kept = first_by_prefix(items)
             if post_filter:
                 kept = F.filter(
-                    first_by_prefix(items, 12),
+                    kept,
                     lambda c: survives_filter(c["value"], c["confidence"]),
                 )
             return F.transform(kept, lambda c, k: to_hit(c, k, x["n"]))
@@ -204,14 +208,16 @@ def to_hit(c: Column, k: Column, line: Column) -> Column:
     )
 
 
-def secret_file_hits(path_parts: Column, ext: Column, text: Column) -> Column:
-    """``secret_hits`` behind the file guards: type, folder, minified."""
+def secret_file_hits(
+    path_parts: Column, ext: Column, text: Column, skip_minified: bool = False
+) -> Column:
+    """``secret_hits`` behind the file guards: type, folder, and minified if asked for."""
     folders = F.array(*[F.lit(d) for d in SKIP_DIRS])
     # One test after the other, the cheap ones first.
     return (
         F.when(F.lower(ext).isin(SKIP_EXTENSIONS), no_hits())
         .when(F.arrays_overlap(path_parts, folders), no_hits())
         .when(~may_hold_secret(text), no_hits())
-        .when(is_minified(text), no_hits())
+        .when(is_minified(text) if skip_minified else F.lit(False), no_hits())
         .otherwise(secret_hits(F.lower(ext), text))
     )

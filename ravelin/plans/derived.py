@@ -228,8 +228,8 @@ def page_findings(spark, d) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared checkpoint directory of the cluster."""
+    """A fresh folder in the shared checkpoint directory of the cluster, else the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        base = spark.sparkContext.getCheckpointDir() or "/tmp/ravelin"
+        base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -42,11 +42,12 @@ def as_files(df: DataFrame) -> DataFrame:
 HIT_COLUMNS = ["file", "line", "rule_id", "severity", "cwe", "evidence"]
 
 
-def found(spark, d, packs, names=None, columns=HIT_COLUMNS) -> DataFrame:
-    files = seeded_files(spark, d)
-    if names:
-        files = files.where(T.basename(F.col("path")).rlike(names))
-    return scan.detect(files, packs).select(*columns)
+def found(spark, d, packs, rules=None, columns=HIT_COLUMNS) -> DataFrame:
+    """Hits of whole packs over all files; ``rules`` filters the result, not the files."""
+    hits = scan.detect(seeded_files(spark, d), packs)
+    if rules:
+        hits = hits.where(F.col("rule_id").rlike(rules))
+    return hits.select(*columns)
 
 
 # --- sources -----------------------------------------------------------------
@@ -213,7 +214,7 @@ def k02_sarif_results(spark, d):
 
 @query
 def k02_sarif_document(spark, d):
-    doc = report.sarif(D.event_findings(spark, d))
+    doc = report.sarif(D.event_findings(spark, d), report.SARIF_LIMIT)
     run = F.get_json_object("sarif", "$.runs[0]")
     return doc.select(
         F.get_json_object("sarif", "$.version").alias("version"),
@@ -256,9 +257,10 @@ def f02_skip_dirs(spark, d):
 
 @query
 def f03_size_cut(spark, d):
-    copies = F.repeat("content", 80)
-    big = seeded_files(spark, d).withColumn("length", F.octet_length(copies).cast("bigint"))
-    return big.where(S.is_scannable(F.col("rel"), F.col("ext"), F.col("length"))).select("path", "length")
+    size = F.octet_length("content").cast("bigint") * 80
+    big = seeded_files(spark, d).withColumn("length", size)
+    keep = S.is_scannable(F.col("rel"), F.col("ext"), F.col("length"), S.MAX_SOURCE_BYTES)
+    return big.where(keep).select("path", "length")
 
 
 @query
@@ -286,7 +288,7 @@ def f06_comments(spark, d):
 
 @query
 def f07_context_gate(spark, d):
-    return found(spark, d, ["lines"], r"\.java$").where("rule_id = 'A005'")
+    return found(spark, d, ["lines"]).where("rule_id = 'A005'")
 
 
 @query
@@ -303,7 +305,7 @@ def f09_rules_by_language(spark, d):
 
 @query
 def f10_text_presence(spark, d):
-    return found(spark, d, ["contracts", "iac"], r"\.(fc|func|tolk|sol|tf)$").where(
+    return found(spark, d, ["contracts", "iac"]).where(
         "rule_id IN ('SC-TON-001', 'SC-TON-004', 'SC-SOL-002', 'IAC-TF-001')"
     ).select("file", "rule_id")
 
@@ -507,12 +509,12 @@ def j06_authorization(spark, d):
 
 @query
 def j07_dynamic_variables(spark, d):
-    return found(spark, d, ["python"], r"^py-sql").where("rule_id = 'P010'")
+    return found(spark, d, ["python"]).where("rule_id = 'P010'")
 
 
 @query
 def j08_query_helpers(spark, d):
-    return found(spark, d, ["python"], r"^py-sql").where("rule_id = 'P015'")
+    return found(spark, d, ["python"]).where("rule_id = 'P015'")
 
 
 @query
@@ -553,8 +555,7 @@ def g02_risk_per_file(spark, d):
 
 @query
 def g03_risk_level(spark, d):
-    per_event = D.event_findings(spark, d).where("line < 4")
-    return algebra.risk(per_event, "file").select("file", "risk_score", "risk_level", "exit_code")
+    return algebra.risk(D.event_findings(spark, d), "file").select("file", "risk_score", "risk_level", "exit_code")
 
 
 @query
@@ -574,7 +575,7 @@ def g06_per_chain(spark, d):
 
 @query
 def g07_top_weaknesses(spark, d):
-    return algebra.top_weaknesses(D.event_findings(spark, d))
+    return algebra.top_weaknesses(D.event_findings(spark, d), algebra.TOP_CWE)
 
 
 @query
@@ -681,22 +682,22 @@ def w07_first_per_file(spark, d):
 
 @query
 def w08_ahead_four(spark, d):
-    return found(spark, d, ["contracts"], r"\.sol$").where("rule_id = 'SC-SOL-004'")
+    return found(spark, d, ["contracts"]).where("rule_id = 'SC-SOL-004'")
 
 
 @query
 def w09_ahead_eight(spark, d):
-    return found(spark, d, ["contracts"], r"\.sol$").where("rule_id = 'SC-SOL-001'")
+    return found(spark, d, ["contracts"]).where("rule_id = 'SC-SOL-001'")
 
 
 @query
 def w10_save_then_message(spark, d):
-    return found(spark, d, ["multichain"], r"\.rs$").where("rule_id = 'SC-CW-004'")
+    return found(spark, d, ["multichain"]).where("rule_id = 'SC-CW-004'")
 
 
 @query
 def w11_around(spark, d):
-    return found(spark, d, ["iac"], r"\.tf$").where("rule_id = 'IAC-TF-002'")
+    return found(spark, d, ["iac"]).where("rule_id = 'IAC-TF-002'")
 
 
 @query
@@ -714,7 +715,7 @@ def w12_behind(spark, d):
 
 @query
 def w13_severity_order(spark, d):
-    ordered = algebra.by_severity_rank(D.event_findings(spark, d)).limit(50)
+    ordered = algebra.by_severity_rank(D.event_findings(spark, d))
     return ordered.select("seq", "severity", "file")
 
 
@@ -725,12 +726,12 @@ def w14_first_findings(spark, d):
 
 @query
 def w14_tool_findings(spark, d):
-    return report.tool_findings(D.event_findings(spark, d), "medium")
+    return report.tool_findings(D.event_findings(spark, d), "medium", algebra.REPORT_LIMIT)
 
 
 @query
 def w14_explain_first(spark, d):
-    first = knowledge.explain_first(D.event_findings(spark, d))
+    first = knowledge.explain_first(D.event_findings(spark, d), knowledge.EXPLAIN_LIMIT)
     return first.select("seq", F.split("explanation", "\n")[0].alias("heading"))
 
 
@@ -740,10 +741,10 @@ def w14_validate_first(spark, d):
     targets = D.page_findings(spark, d).join(
         decisions.where("status = 'AUTHORIZED'").select("target"), "target", "left_semi"
     )
-    ordered = targets.withColumns({"severity": F.lit("HIGH"), "seq": F.xxhash64("target", "rule_id")})
-    return governance.assessment_audit(governance.validate(ordered, decisions)).select(
-        "action", F.col("organization").isNotNull().alias("granted")
-    )
+    place = F.substring("rule_id", 2, 9).cast("int")
+    ordered = targets.withColumns({"severity": F.lit("HIGH"), "seq": place})
+    rows = governance.assessment_audit(governance.validate(ordered, decisions, limit=2))
+    return rows.select("action", "target", "detail", "organization")
 
 
 @query
@@ -788,35 +789,34 @@ def u05_fallback(spark, d):
 
 # --- detection packs ---------------------------------------------------------
 
-def _pack_query(name, packs, names):
+def _pack_query(name, packs, rules=None, suffix=None):
     def run(spark, d):
-        return found(spark, d, packs, names)
+        hits = found(spark, d, packs, rules)
+        return hits.where(F.col("file").rlike(suffix)) if suffix else hits
 
     run.__name__ = name
     query(run)
 
 
-for _name, _packs, _files in [
-    ("d01_javascript", ["lines"], r"\.js$"),
-    ("d02_go", ["lines"], r"\.go$"),
-    ("d03_java", ["lines"], r"\.java$"),
-    ("d04_php", ["lines"], r"\.php$"),
-    ("d05_ruby", ["lines"], r"\.rb$"),
-    ("d06_csharp", ["lines"], r"\.cs$"),
-    ("d07_kotlin", ["lines"], r"\.kt$"),
-    ("d08_rust", ["lines"], r"\.rs$"),
-    ("d09_cpp", ["lines"], r"\.cpp$"),
-    ("d10_python", ["python"], r"\.py$"),
-    ("d16_terraform", ["iac"], r"\.tf$"),
-    ("d17_cloudformation", ["iac"], r"^cf(ref)?\.yaml$"),
-    ("d18_kubernetes", ["iac"], r"^(pod|bare|null)\.ya?ml$"),
-    ("d20_ton", ["contracts"], r"\.(fc|func|tolk)$"),
-    ("d21_evm", ["contracts"], r"\.sol$"),
-    ("d22_solidity", ["solidity"], r"\.sol$"),
-    ("d23_solana", ["multichain"], r"^(prog|good)\.rs$"),
-    ("d24_cosmwasm", ["multichain"], r"^(cw|cwok)\.rs$"),
+def _only(rule_ids) -> str:
+    return "^(" + "|".join(rule_ids) + ")$"
+
+
+# Every pack sees every file; rule ids (or, for rules of two dialects, the suffix) pick hits.
+for _i, _lang in enumerate(linerules.LANGUAGES):
+    _pack_query(f"d{_i + 1:02d}_{_lang}", ["lines"], _only(r for r, _ in linerules.RULES[_lang]))
+for _name, _packs, _rules, _suffix in [
+    ("d10_python", ["python"], None, None),
+    ("d16_terraform", ["iac"], "^IAC-TF-", None),
+    ("d17_cloudformation", ["iac"], "^IAC-CF-", None),
+    ("d18_kubernetes", ["iac"], "^IAC-K8S-", None),
+    ("d20_ton", ["contracts"], None, r"\.(fc|func|tolk)$"),
+    ("d21_evm", ["contracts"], None, r"\.sol$"),
+    ("d22_solidity", ["solidity"], None, None),
+    ("d23_solana", ["multichain"], "^SC-SOL-NA-", None),
+    ("d24_cosmwasm", ["multichain"], "^SC-CW-", None),
 ]:
-    _pack_query(_name, _packs, _files)
+    _pack_query(_name, _packs, _rules, _suffix)
 
 SECRET_COLUMNS = ["severity", "evidence", "encoding", "var_name", "context_type", "confidence"]
 
@@ -877,7 +877,7 @@ def d19_iac_dispatch(spark, d):
 
 @query
 def d25_web3(spark, d):
-    return scan.web3_findings(seeded_files(spark, d)).select("file", "line", "rule_id", "source")
+    return scan.web3_findings(seeded_files(spark, d), scan.WEB3_CAP).select("file", "line", "rule_id", "source")
 
 
 @query

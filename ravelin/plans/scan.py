@@ -147,7 +147,7 @@ def errors(files: DataFrame) -> DataFrame:
     )
 
 
-def web3_findings(files: DataFrame, cap: int | None = WEB3_CAP) -> DataFrame:
+def web3_findings(files: DataFrame, cap: int | None = None) -> DataFrame:
     """Contract findings; with ``cap`` 2 x cap from the contract pack and cap
     from the Solidity pack and from each further chain."""
     found = detect(files, ENGINE_PACKS["web3"])

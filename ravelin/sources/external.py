@@ -106,12 +106,12 @@ def semgrep_findings(df: DataFrame, column: str, order: str, default_path: str =
         F.coalesce("r.path", F.lit(default_path)).alias("file"),
         F.coalesce("r.start.line", F.lit(1)).alias("line"),
         F.coalesce("r.start.col", F.lit(1)).alias("col"),
-        F.substring(T.strip(F.coalesce(extra["lines"], F.lit(""))), 1, 200).alias("evidence"),
+        T.strip(F.coalesce(extra["lines"], F.lit(""))).alias("evidence"),
         F.coalesce(meta["fix"], F.try_element_at(refs, F.lit(1)), F.lit("")).alias("recommendation"),
         F.lit(75.0).alias("confidence"),
-        F.slice(refs, 1, 3).alias("refs"),
+        refs.alias("refs"),
         F.create_map(
-            F.lit("owasp"), F.substring(F.coalesce(first_owasp, F.lit("")), 1, 20),
+            F.lit("owasp"), F.coalesce(first_owasp, F.lit("")),
             F.lit("type"), F.element_at(F.split(rule, r"\."), -1),
         ).alias("extra"),
     )
@@ -222,10 +222,10 @@ def osv_advisories(df: DataFrame, column: str, skip_version: bool = False) -> Da
         vuln_id.alias("id"),
         F.coalesce(cve, vuln_id).alias("cve"),
         aliases.alias("aliases"),
-        F.coalesce(o["summary"], F.substring(o["details"], 1, 200), F.lit("")).alias("summary"),
+        F.coalesce(o["summary"], o["details"], F.lit("")).alias("summary"),
         osv_severity(o["severity"], o["database_specific"]["severity"], skip_version).alias("severity"),
         F.transform(
-            F.slice(F.coalesce(o["references"], F.array().cast("array<struct<url:string>>")), 1, 3),
+            F.coalesce(o["references"], F.array().cast("array<struct<url:string>>")),
             lambda r: F.coalesce(r["url"], F.lit("")),
         ).alias("refs"),
         o["affected"].alias("affected"),

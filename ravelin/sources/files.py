@@ -26,6 +26,7 @@ SOURCE_SKIP_DIRS = [
     "build", ".tox", ".mypy_cache", ".pytest_cache", "site-packages", "vendor",
     "target", "third_party",
 ]
+# The usual size cut; nothing applies it unless asked to.
 MAX_SOURCE_BYTES = 1_500_000
 # Languages of the histogram, by suffix.
 HISTOGRAM_LANGUAGE = {
@@ -94,12 +95,12 @@ def in_folder(rel: Column, folders: list) -> Column:
     return F.arrays_overlap(path_parts(rel), F.array(*[F.lit(d) for d in folders]))
 
 
-def is_scannable(rel: Column, ext: Column, length: Column) -> Column:
-    return (
-        language(ext).isNotNull()
-        & (length <= MAX_SOURCE_BYTES)
-        & ~in_folder(rel, SOURCE_SKIP_DIRS)
-    )
+def is_scannable(
+    rel: Column, ext: Column, length: Column, max_bytes: int | None = None
+) -> Column:
+    """Source files outside the skipped folders, up to ``max_bytes`` if that is given."""
+    small = F.lit(True) if max_bytes is None else length <= max_bytes
+    return language(ext).isNotNull() & small & ~in_folder(rel, SOURCE_SKIP_DIRS)
 
 
 def without_bad_bytes(content: Column, lossy: Column) -> Column:

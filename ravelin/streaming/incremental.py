@@ -39,6 +39,14 @@ def new_findings(
     return fresh.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
+def remember(spark: SparkSession, out: str, path: str) -> int:
+    """Add the fingerprints that ``run_once`` has emitted to a baseline; returns how many.
+
+    Later runs read the baseline, so a finding is reported once however long ago it was.
+    """
+    return baseline.add(spark.read.parquet(out).select("fingerprint"), path)
+
+
 def run_once(stream: DataFrame, out: str, checkpoint: str) -> None:
     """Process what has arrived, append to a parquet table, stop."""
     query = (
@@ -54,13 +62,16 @@ def run_once(stream: DataFrame, out: str, checkpoint: str) -> None:
 def log_decisions(stream: DataFrame, authorizations: DataFrame, out: str, checkpoint: str) -> None:
     """Decide on a stream of targets and append one log row per decision.
 
-    A batch is written to its own folder, so a retried batch replaces itself.
+    A batch is written to a folder of its own query and number, so a retried batch
+    replaces itself and no other query's rows, also under a new checkpoint.
     """
     from ravelin.operators import governance
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = governance.audit_rows(governance.decide(batch, authorizations))
-        rows.write.mode("overwrite").json(f"{out}/batch={batch_id}")
+        # The checkpoint names the query: its id survives restarts and is new with a new one.
+        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        rows.write.mode("overwrite").json(f"{out}/query={query_id}/batch={batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(write)

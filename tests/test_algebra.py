@@ -149,7 +149,8 @@ def test_baseline_round_trip(spark, tmp_path):
 
 def test_sarif(spark):
     df = findings(spark, [plain(i, rule_id=f"R{i % 7}", cwe="CWE-1", file="f", line=0, message="m") for i in range(300)])
-    doc = json.loads(report.sarif(df).first()[0])
+    assert len(json.loads(report.sarif(df).first()[0])["runs"][0]["results"]) == 300
+    doc = json.loads(report.sarif(df, report.SARIF_LIMIT).first()[0])
     run = doc["runs"][0]
     assert doc["version"] == "2.1.0" and len(run["results"]) == 200
     rules = [r["id"] for r in run["tool"]["driver"]["rules"]]
@@ -259,6 +260,31 @@ def test_rule_table(spark):
 
 
 def test_version_keys(spark):
-    pairs = [("1.2", "1.10", True), ("1.2.0", "1.2", False), ("2.0", "1.9.9", False), ("v1.0", "1.0.1", True), ("1.0-rc1", "1.0", False), ("0", "0.0.1", True)]
+    pairs = [("1.2", "1.10", True), ("1.2.0", "1.2", False), ("2.0", "1.9.9", False), ("v1.0", "1.0.1", True), ("1.0-rc1", "1.0", True), ("1.0", "1.0-rc1", False), ("0", "0.0.1", True)]
     df = spark.createDataFrame(pairs, "a string, b string, want boolean")
     assert df.where((T.version_key(F.col("a")) < T.version_key(F.col("b"))) != F.col("want")).count() == 0
+
+
+def test_rows_of_other_engines_are_all_kept(spark):
+    row = "'%s' AS engine, 0 AS engine_rank, 0 AS pack_rank, 'f.py' AS file, 3 AS line, 'R' AS rule_id, 'CWE-1' AS cwe, 't' AS title, %d AS seq"
+    rows = [spark.sql("SELECT " + row % (engine, 1)) for engine in ["iac"] * 4 + ["sast"] * 3 + ["secrets"] * 2]
+    kept = algebra.dedup_sast(schema.conform(algebra.union_all(rows)))
+    assert {r["engine"]: r["count"] for r in kept.groupBy("engine").count().collect()} == {
+        "iac": 4, "sast": 1, "secrets": 2,
+    }
+
+
+def test_limits_apply_only_when_given(spark):
+    found = spark.range(300).selectExpr("id AS seq", "'HIGH' AS severity", "concat('CWE-', id % 9) AS cwe")
+    assert algebra.limit_in_order(found).count() == 300
+    assert algebra.limit_in_order(found, 7).count() == 7
+    assert algebra.top_weaknesses(found).count() == 9
+    assert algebra.top_weaknesses(found, 5).count() == 5
+
+
+def test_versions_of_any_length_and_pre_releases(spark):
+    pairs = [("1.2.0-rc1", "1.2.0"), ("1.2", "1.10"), ("9" * 30, "1" + "0" * 30), ("1.0-a", "1.0-b"), ("1.1.9", "1.2.0-rc1")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert df.where(T.version_key(F.col("a")) < T.version_key(F.col("b"))).count() == len(pairs)
+    same = spark.createDataFrame([("1.2", "v1.2.0"), ("1.2+x", "1.2.0+y"), ("01.2", "1.2")], "a string, b string")
+    assert same.where(T.version_key(F.col("a")) == T.version_key(F.col("b"))).count() == 3

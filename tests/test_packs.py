@@ -13,6 +13,7 @@ from ravelin.functions import entropy as E
 from ravelin.functions import text as T
 from ravelin.operators import iac, secrets as S
 from ravelin.plans import scan
+from ravelin.sources.files import path_parts
 
 
 def entropy(s):
@@ -94,7 +95,11 @@ def test_secret_guards(spark, files):
         "bin.cfg": line + "\x01" * 30, "del.cfg": line + "\x7f" * 30, "long.cfg": line + "y" * 2000,
     }
     got = rows(scan.detect(files(texts), ["secrets"]), "file")
-    assert got == [("del.cfg",), ("long.cfg",), ("ok.cfg",)]
+    assert got == [("bin.cfg",), ("del.cfg",), ("long.cfg",), ("min.cfg",), ("ok.cfg",)]
+    guarded = files(texts).select(
+        "path", F.explode(S.secret_file_hits(path_parts(F.col("rel")), F.col("ext"), F.col("content"), True))
+    )
+    assert rows(guarded, "path") == [("del.cfg",), ("long.cfg",), ("ok.cfg",)]
 
 
 def test_secret_severity_and_mask(spark):

@@ -4,12 +4,13 @@ import re
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from ravelin.operators import linerules as L
 from ravelin.functions import text as T
 from ravelin.plans import scan
 from ravelin.plans.corpus import CORPUS, EXTENSION
-from ravelin.sources.files import LANGUAGE
+from ravelin.sources.files import LANGUAGE, MAX_SOURCE_BYTES, is_scannable
 
 NEAR_MISSES = {
     "javascript": ["x.eval(1)", "  // eval(x)", "medieval(x)", "a.innerHTML = b;", "eval (y)", "spawn('a' + b)"],
@@ -128,7 +129,9 @@ def test_size_and_folder_limits(spark, files):
         "a.go": code, "vendor/a.go": code, "x/build/a.go": code, "a.txt": code, "A.GO": code,
         "big.go": code + "//" + "x" * 1_500_000,
     }
-    assert rows(scan.detect(files(texts), ["lines"]), "file") == [("A.GO",), ("a.go",)]
+    assert rows(scan.detect(files(texts), ["lines"]), "file") == [("A.GO",), ("a.go",), ("big.go",)]
+    small = files(texts).where(is_scannable(F.col("rel"), F.col("ext"), F.col("length"), MAX_SOURCE_BYTES))
+    assert rows(small, "path") == [("A.GO",), ("a.go",)]
 
 
 @pytest.mark.parametrize("parts", [1, 7])
