@@ -63,7 +63,7 @@ def test_trust_and_distrust_flow_along_links(spark):
 
     def rank(edges, seed):
         score = {h: float(h == seed) for h in graph}
-        for _ in range(200):
+        for _ in range(30):
             got = {h: 0.0 for h in graph}
             for a, targets in edges.items():
                 for b in targets:
