@@ -475,12 +475,12 @@ FROM pages JOIN decisions ON url = target, (VALUES (0), (1), (2)) v(i) WHERE sta
 # Syntax facts need a grammar, so the Python hits are stated per snippet:
 # (file of the snippet, line, rule).  They hold wherever the snippet is seeded.
 PYTHON_HITS = [
-    ("py-hash-vulnerable.py", 2, "P001"), ("py-hash-new-vulnerable.py", 2, "P001"),
+    ("py-hash-vulnerable.py", 5, "P001"), ("py-hash-new-vulnerable.py", 5, "P001"),
     ("py-cipher-vulnerable.py", 2, "P002"), ("py-ecb-vulnerable.py", 1, "P003"),
-    ("py-verify-vulnerable.py", 2, "P004"), ("py-context-vulnerable.py", 2, "P004"),
-    ("py-pickle-vulnerable.py", 2, "P005"), ("py-yaml-vulnerable.py", 2, "P006"),
+    ("py-verify-vulnerable.py", 5, "P004"), ("py-context-vulnerable.py", 5, "P004"),
+    ("py-pickle-vulnerable.py", 5, "P005"), ("py-yaml-vulnerable.py", 6, "P006"),
     ("py-eval-vulnerable.py", 1, "P007"), ("py-os-vulnerable.py", 2, "P008"),
-    ("py-shell-vulnerable.py", 2, "P009"), ("py-sql-vulnerable.py", 1, "P010"),
+    ("py-shell-vulnerable.py", 5, "P009"), ("py-sql-vulnerable.py", 1, "P010"),
     ("py-sql-variable-vulnerable.py", 4, "P010"), ("py-sql-helper-vulnerable.py", 5, "P015"),
     ("py-template-vulnerable.py", 1, "P011"), ("py-random-vulnerable.py", 2, "P012"),
     ("py-xml-vulnerable.py", 2, "P013"), ("py-path-vulnerable.py", 1, "P014"),

@@ -39,6 +39,9 @@ XML_PARSERS = ["etree.fromstring", "etree.parse", "etree.xml"]
 OPENERS = ["os.open", "io.open", "codecs.open"]
 UNSAFE_LOADERS = ["", "Loader", "UnsafeLoader"]
 SAFE_LOADERS = ["SafeLoader", "FullLoader", "CSafeLoader"]
+# Methods that run a statement.
+STATEMENT_CALLS = ["execute", "executemany", "executescript"]
+
 
 def facts(is_python: Column, text: Column) -> Column:
     """Facts of the Python files; all other rows send a null to Python."""
@@ -68,6 +71,36 @@ def is_runtime_text(value: Column, call: Column, variables: Column) -> Column:
     return F.coalesce(value["dynamic"] | F.coalesce(seen, F.lit(False)), F.lit(False))
 
 
+def query_helpers(all_facts: Column) -> Column:
+    """Functions that run one of their parameters as a whole statement: name,
+    parameter names, and the parameters that are run."""
+
+    def runs_parameter(call, function):
+        only = first_arg(call)["var"]
+        return (
+            call["attr"].isin(STATEMENT_CALLS)
+            & (F.size(call["args"]) == 1)
+            & (F.size(call["kwargs"]) == 0)
+            & F.array_contains(call["scopes"], function["scopes"][0])
+            & F.coalesce(F.array_contains(function["names"], only), F.lit(False))
+        )
+
+    calls = of_kind(all_facts, "call")
+    functions = F.transform(
+        of_kind(all_facts, "function"),
+        lambda f: F.struct(
+            f["name"].alias("name"),
+            f["names"].alias("names"),
+            F.array_distinct(
+                F.transform(
+                    F.filter(calls, lambda c: runs_parameter(c, f)), lambda c: first_arg(c)["var"]
+                )
+            ).alias("sinks"),
+        ),
+    )
+    return F.filter(functions, lambda f: F.size(f["sinks"]) > 0)
+
+
 def feeds_helper(call: Column, helpers: Column, variables: Column) -> Column:
     """A run-time text reaches the SQL parameter of a helper of this file.
 
@@ -223,7 +256,7 @@ def python_hits(all_facts: Column, text: Column) -> Column:
     context = F.struct(
         all_facts.alias("facts"),
         of_kind(all_facts, "variable").alias("variables"),
-        of_kind(all_facts, "helper").alias("helpers"),
+        query_helpers(all_facts).alias("helpers"),
         T.splitlines(text).alias("lines"),
     )
     return F.when(F.size(all_facts) > 0, T.bind(context, of_context)).otherwise(no_hits())
