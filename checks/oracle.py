@@ -724,7 +724,7 @@ SEMGREP = ORACLE["s12_semgrep"]
 add("d27_scan_with_semgrep", f"""
 SELECT source, file, line, rule_id, cwe FROM ({SAST})
 UNION ALL SELECT 'semgrep', file, line, rule_id, cwe FROM (SELECT * FROM ({SEMGREP}) QUALIFY row_number() OVER (PARTITION BY cwe, file, line ORDER BY first_id) = 1)""".replace("AS category", "AS category, event_id AS first_id"), BASE, [NL_LINES])
-add("d27_scan_errors", "SELECT path, 'iac' AS engine, '''NoneType'' object has no attribute ''get''' AS reason FROM seeded WHERE name = 'null.yaml'", ["seeded"])
+add("d27_scan_errors", "SELECT path, 'iac' AS engine, 'yaml-shape' AS reason FROM seeded WHERE name = 'null.yaml'", ["seeded"])
 SOURCE_DEDUP = f"SELECT * FROM (SELECT *, {PACK_POS} AS pos FROM ({SOURCE}) JOIN rules USING (rule_id)) QUALIFY row_number() OVER (PARTITION BY cwe, file, line ORDER BY pos) = 1"
 add("flagship_risk_by_language", f"""
 SELECT {LANG_OF} AS language, count(*) AS total, {SCORE} AS risk_score, {COUNTS}, {LEVEL} AS risk_level, {EXIT} AS exit_code

@@ -57,8 +57,8 @@ def facts_of(kind, content, loader):
             continue
         try:
             found += list(_ingress(doc) if kind == "cloudformation" else _containers(doc))
-        except (AttributeError, TypeError) as error:
-            found.append(("error", str(error), None, None, None))
+        except (AttributeError, TypeError):
+            found.append(("error", "yaml-shape", None, None, None))
     return found
 
 

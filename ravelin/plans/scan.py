@@ -139,12 +139,27 @@ def as_findings(rows: DataFrame, rules: DataFrame | None = None) -> DataFrame:
 
 
 def errors(files: DataFrame) -> DataFrame:
-    """(path, engine, reason) of documents that a pack could not read."""
-    facts = with_facts(files.where(F.col("ext").isin(".yml", ".yaml")), ["iac"])
-    bad = facts.select("path", F.explode("yaml_facts").alias("f")).where("f.kind = 'error'")
-    return bad.select(
-        "path", F.lit("iac").alias("engine"), F.col("f.name").alias("reason")
-    )
+    """(path, engine, reason) of files that a pack could not read as they stand.
+
+    Reasons: ``python-unparsed`` (no Python facts), ``yaml-shape`` (a document of the
+    file gave no facts), ``bad-bytes`` (text was decoded with replacements).
+    """
+    facts = with_facts(files, ["python", "iac"])
+
+    def told(column, engine):
+        reasons = F.array_distinct(
+            F.transform(F.filter(column, lambda f: f["kind"] == "error"), lambda f: f["name"])
+        )
+        return F.transform(
+            F.coalesce(reasons, F.array().cast("array<string>")),
+            lambda r: F.struct(F.lit(engine).alias("engine"), r.alias("reason")),
+        )
+
+    lossy = F.when(
+        F.col("lossy"), F.array(F.struct(F.lit("all").alias("engine"), F.lit("bad-bytes").alias("reason")))
+    ).otherwise(F.array().cast("array<struct<engine:string,reason:string>>"))
+    bad = F.concat(told(F.col("py_facts"), "sast"), told(F.col("yaml_facts"), "iac"), lossy)
+    return facts.select("path", F.inline(bad))
 
 
 def web3_findings(files: DataFrame, cap: int | None = None) -> DataFrame:
