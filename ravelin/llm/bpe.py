@@ -25,7 +25,7 @@ WIDTHS = (6, 8, 10, 12, 16, 32, 64, 128, 256)
 #: Cells of one matrix.
 CELLS = 1 << 17
 #: Pieces remembered by one worker before it starts afresh.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Texts coded at a time.
 SLICE = 500
 #: Texts above this many characters are split into pieces block by block.

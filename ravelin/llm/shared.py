@@ -28,6 +28,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def sliced(batches, rows: int = 500):
+    """Arrow batches in slices, so that a task holds the results of a few hundred texts."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that nothing reads any more.
 

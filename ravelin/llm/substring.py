@@ -25,13 +25,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.shared import dropped, written
+from ravelin.llm.shared import dropped, sliced, written
 
 #: Words of an anchor k-mer.
 ANCHOR = 6
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Word hashes remembered by one worker before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -120,7 +120,7 @@ def scanned(docs: DataFrame, window: int, seed: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = WordHashes(seed)
-        for batch in batches:
+        for batch in sliced(batches):
             words, z, found = [], [], []
             for text in batch.column("_text"):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else None
@@ -159,7 +159,7 @@ def opened(texts: DataFrame, wanted: DataFrame, window: int, seed: int) -> DataF
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = WordHashes(seed)
-        for batch in batches:
+        for batch in sliced(batches):
             hashes, places, counts = [], [], []
             rows = zip(batch.column("z"), batch.column("segs"), strict=True)
             for z, segs in rows:
@@ -210,7 +210,7 @@ def applied(texts: DataFrame, asked: DataFrame, window: int) -> DataFrame:
     kind = texts.schema["_key"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             removed, kept, counts, digests = [], [], [], []
             for z, spans in zip(batch.column("z"), batch.column("spans"), strict=True):
                 spans = spans.as_py()
@@ -320,7 +320,7 @@ def judged(docs: DataFrame, window: int, seed: int, joined: bool) -> DataFrame:
         return zstandard.decompress(z).decode() if z is not None else None
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             kept = [text(z.as_py()) for z in batch.column("kept")]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(4)), pa.array(kept, pa.string())],

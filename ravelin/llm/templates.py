@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.shared import written
+from ravelin.llm.shared import sliced, written
 
 #: Template tokens of a window; share of an item's windows that counts as containing it.
 WINDOW, LEAST = 5, 0.8
@@ -27,7 +27,7 @@ LITERALS = 2
 #: log2 of the bits of the map of benchmark windows: 1 MB whatever the benchmark holds.
 MAP_BITS = 23
 #: Words remembered by one worker before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hrs ms day days week weeks month"
@@ -126,7 +126,7 @@ def windows(rows: DataFrame, ids: list[str], text: str, size: int, bits: np.ndar
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
-        for batch in batches:
+        for batch in sliced(batches):
             counts, hashes, places, slots, sizes = [], [], [], [], []
             for text in batch.column(batch.num_columns - 1):
                 found, slot, words = reader.windows(text.as_py(), size)
@@ -162,7 +162,7 @@ def bit_map(hashes: DataFrame) -> np.ndarray:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << MAP_BITS, bool)
-        for batch in batches:
+        for batch in sliced(batches):
             own = np.asarray(batch.column(0)).view(np.uint64)
             bits[(own & mask).astype(np.int64)] = True
         packed = np.packbits(bits, bitorder="little").tobytes()

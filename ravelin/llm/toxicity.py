@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ravelin.llm.shared import sliced
+
 #: Labelled rows to learn from, per class, and the longest text (characters) among them.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 4000, 8000, 20_000
 #: Words of a window and between windows; largest gain told apart.
@@ -26,7 +28,7 @@ WINDOW, STEP, TOP = 8, 4, 16
 ORDINARY_BYTES, TOXIC_BYTES = 32_768, 8_192
 #: Share of toxic texts a telling word is in, and how much more often than in ordinary ones.
 SUPPORT, LIFT = 0.01, 20.0
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 STRIPPED = ".,!?;:\"'()[]{}…“”„«»¡¿"
 
 
@@ -166,7 +168,7 @@ def learned(
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder()
-        for batch in batches:
+        for batch in sliced(batches):
             coded = [coder.code(t.as_py()) for t in batch.column("_text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_hash"), batch.column("_label"), pa.array(coded, pa.binary())],
@@ -196,7 +198,7 @@ def scored(docs: DataFrame, text: str, model: Model, name: str = "score") -> Dat
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder()
         one, two = compressor(model.ordinary), compressor(model.ordinary + model.toxic)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [gains(coder.code(t.as_py()), one, two) for t in batch.column(at)]
             found = model.score(np.array(rows).reshape(len(rows), TOP + 1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, name])
