@@ -2,8 +2,9 @@
 
 Numbers, names (capitalised words inside a sentence) and units after numbers become typed
 placeholders.  Windows of five template tokens are joined by hash.  A document contains an item
-if it holds at least four fifths of the item's windows in alignments whose slots are consistent:
-each value of the item stands for one value of the document, and the other way round.
+if it holds at least four fifths of the item's windows in alignments with consistent slots: each
+value of the item stands for one value of the document, the one at most of its places (two values
+may stand for the same one), and windows that show another value do not count.
 
 An item of n windows of which m may be missing must show one of any m + 1, so candidates come
 from the m + 1 windows that fewest items share, and a phrase common to all items joins nothing.
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.shared import sliced, written
@@ -116,9 +117,9 @@ class Reader:
 
 
 def windows(rows: DataFrame, ids: list[str], text: str, size: int, bits: np.ndarray | None) -> DataFrame:
-    """(ids..., w, pos, slots): windows of column ``text``, only those on the bit map if there is one.
+    """(ids..., w, pos, slots, places): windows of column ``text``, only those on the bit map if there is one.
 
-    ``slots`` are the words in the placeholders of a window, in order.
+    ``slots`` are the words in the placeholders of a window, in order, ``places`` their word numbers.
     """
     schema = rows.select(*ids).schema
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
@@ -127,7 +128,7 @@ def windows(rows: DataFrame, ids: list[str], text: str, size: int, bits: np.ndar
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for batch in sliced(batches):
-            counts, hashes, places, slots, sizes = [], [], [], [], []
+            counts, hashes, starts, slots, places, sizes = [], [], [], [], [], []
             for text in batch.column(batch.num_columns - 1):
                 found, slot, words = reader.windows(text.as_py(), size)
                 at = np.arange(len(found))
@@ -136,24 +137,28 @@ def windows(rows: DataFrame, ids: list[str], text: str, size: int, bits: np.ndar
                     at = np.flatnonzero(bits[low >> 3] >> (low & 7).astype(np.uint8) & 1)
                 counts.append(len(at))
                 hashes.append(found[at])
-                places.append(at)
+                starts.append(at)
                 for i in at.tolist():
-                    own = [words[k].strip(STRIPPED).lower() for k in np.flatnonzero(slot[i : i + size]) + i]
+                    own = (np.flatnonzero(slot[i : i + size]) + i).tolist()
                     sizes.append(len(own))
-                    slots.extend(own)
+                    slots.extend(words[k].strip(STRIPPED).lower() for k in own)
+                    places.extend(own)
             row = pa.array(np.repeat(np.arange(batch.num_rows), counts))
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(i).take(row) for i in range(len(ids))),
                     pa.array(np.concatenate([np.zeros(0, np.uint64), *hashes]).view(np.int64)),
-                    pa.array(np.concatenate([np.zeros(0, np.int64), *places]).astype(np.int32)),
+                    pa.array(np.concatenate([np.zeros(0, np.int64), *starts]).astype(np.int32)),
                     pa.ListArray.from_arrays(offsets, pa.array(slots, pa.string())),
+                    pa.ListArray.from_arrays(offsets, pa.array(places, pa.int32())),
                 ],
-                [*ids, "w", "pos", "slots"],
+                [*ids, "w", "pos", "slots", "places"],
             )
 
-    return rows.select(*ids, text).mapInArrow(read, f"{names}, w long, pos int, slots array<string>")
+    return rows.select(*ids, text).mapInArrow(
+        read, f"{names}, w long, pos int, slots array<string>, places array<int>"
+    )
 
 
 def bit_map(hashes: DataFrame) -> np.ndarray:
@@ -175,6 +180,47 @@ def bit_map(hashes: DataFrame) -> np.ndarray:
     return out
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def agreeing(met: Column) -> Column:
+    """Of the matches ``met`` (w, slots of p, a, b) of one alignment those that agree on all slots.
+
+    A value a takes the value b that stands at most of its places p.  Of equally frequent ones it
+    takes itself, so one changed value costs its windows; without itself among them it takes none.
+    """
+    marks = F.array_distinct(F.flatten(F.transform(met, lambda m: m["slots"])))
+    pair = lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))
+
+    def taken(s):
+        votes = F.transform(
+            F.array_distinct(F.transform(s, pair)),
+            lambda x: F.struct(
+                x["a"].alias("a"), x["b"].alias("b"),
+                F.size(F.filter(s, lambda y: (y["a"] == x["a"]) & (y["b"] == x["b"]))).alias("n"),
+            ),
+        )
+        beats = lambda y, x: (y["a"] == x["a"]) & (y["b"] != x["b"]) & (
+            (y["n"] > x["n"]) | ((y["n"] == x["n"]) & (x["a"] != x["b"]))
+        )
+        return bound(votes, lambda v: F.transform(
+            F.filter(v, lambda x: ~F.exists(v, lambda y: beats(y, x))), pair
+        ))
+
+    def kept(s):
+        return bound(taken(s), lambda good: F.filter(
+            met, lambda m: F.forall(m["slots"], lambda x: F.array_contains(good, pair(x)))
+        ))
+
+    def single(s):
+        values = F.size(F.array_distinct(F.transform(s, lambda x: x["a"])))
+        return values == F.size(F.array_distinct(F.transform(s, pair)))
+
+    return bound(marks, lambda s: F.when(single(s), met).otherwise(kept(s)))
+
+
 def contaminated(
     docs: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str,
     window: int = WINDOW, least: float = LEAST,
@@ -182,7 +228,8 @@ def contaminated(
     """(_key, _hash, _item, n_windows, n_matched, same_words) of contained items.
 
     Documents are known by key and text hash, so rows that share a key are judged by their own
-    texts and repeated rows once.  ``same_words`` says that all slots hold the item's own values.
+    texts and repeated rows once.  ``same_words`` says that all slots of the matched windows hold
+    the item's own values.
     Texts shorter than a window match only whole; empty or null texts and items match nothing;
     null keys are kept as keys; repeated items count once.
     """
@@ -191,7 +238,7 @@ def contaminated(
     asked = written(windows(bench, ["_item"], "_text", window, None), "items")
     bits = bit_map(asked)
     texts = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
-    hits = written(windows(texts, ["_key", "_hash"], "_text", window, bits), "hits")
+    hits = written(windows(texts, ["_key", "_hash"], "_text", window, bits).drop("places"), "hits")
 
     need = asked.select("_item", "w").distinct()
     total = need.groupBy("_item").agg(F.count("*").alias("n_windows"))
@@ -205,28 +252,23 @@ def contaminated(
     probes = written(probes, "probes")
     pairs = hits.select("_key", "_hash", "w").join(probes, "w").select("_key", "_hash", "_item").distinct()
     wanted = pairs.join(
-        asked.select("_item", "w", F.col("pos").alias("at"), F.col("slots").alias("values")), "_item"
+        asked.select("_item", "w", F.col("pos").alias("at"), F.col("slots").alias("values"), "places"), "_item"
     )
     same = [F.col("h._key").eqNullSafe(F.col("p._key"))] + [
         F.col(f"h.{c}") == F.col(f"p.{c}") for c in ("_hash", "w")
     ]
+    slots = F.arrays_zip(F.col("p.places").alias("p"), F.col("p.values").alias("a"), F.col("h.slots").alias("b"))
     met = (
         hits.alias("h").join(wanted.alias("p"), same)
-        .select("p._key", "p._hash", "p._item", "p.w", "p.at", (F.col("h.pos") - F.col("p.at")).alias("shift"),
-                F.arrays_zip(F.col("p.values").alias("a"), F.col("h.slots").alias("b")).alias("slots"))
-    )
-    # A shift holds at most one match per window of the item, so these sets are small.
-    aligned = met.groupBy("_key", "_hash", "_item", "shift").agg(
-        F.collect_set("w").alias("ws"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("s")
+        .select("p._key", "p._hash", "p._item", (F.col("h.pos") - F.col("p.at")).alias("shift"),
+                F.struct("p.w", slots.cast("array<struct<p:int,a:string,b:string>>").alias("slots")).alias("m"))
     )
-    names = aligned.schema["s"].dataType.elementType.names
-    one = lambda i: F.size(F.array_distinct(F.transform("s", lambda x: x[names[i]])))
-    fair = aligned.where((one(0) == F.size("s")) & (one(1) == F.size("s")))
-    differ = F.exists("s", lambda x: x[names[0]] != x[names[1]])
+    # A shift holds at most one match per window of the item, so these lists are small.
+    aligned = met.groupBy("_key", "_hash", "_item", "shift").agg(F.collect_list("m").alias("met"))
     found = (
-        fair.withColumn("differ", differ)
-        .select("_key", "_hash", "_item", F.explode("ws").alias("w"), "differ")
-        .groupBy("_key", "_hash", "_item", "w").agg(F.min("differ").alias("differ"))
+        aligned.select("_key", "_hash", "_item", F.explode(agreeing(F.col("met"))).alias("m"))
+        .groupBy("_key", "_hash", "_item", F.col("m.w").alias("w"))
+        .agg(F.min(F.exists("m.slots", lambda x: x["a"] != x["b"])).alias("differ"))
         .groupBy("_key", "_hash", "_item")
         .agg(F.count("*").alias("n_matched"), (~F.max("differ")).alias("same_words"))
     )

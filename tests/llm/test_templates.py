@@ -82,3 +82,26 @@ def test_reader_forgets_without_harm(limit, monkeypatch):
     first = reader.windows(ITEM, 5)[0].tolist()
     reader.windows(FILL, 5)
     assert reader.windows(ITEM, 5)[0].tolist() == first
+
+
+YEARS = ITEM + " The line was built in 1901 and the bridge was built in 1901 as well by workers from Leeds."
+LOOSE = [
+    ("two values become one", swap(ITEM, ("at 9", "at 30"), ("45", "30"), ("Alice", "Maria"), ("Bob", "Maria")), 0, True, False),
+    ("one of two years changed", YEARS.replace("1901", "1902", 1), 1, True, True),
+    ("name misspelt once", swap(ITEM + " Alice waves and then Alice sleeps in the quiet old station.", ("of Alice", "of Alcie")), 2, True, True),
+    ("misspelt under other names", swap(ITEM + " Now Alice waves and then Alice sleeps in the quiet old station.",
+                                        ("of Alice", "of Maira"), ("Alice", "Maria")), 3, True, False),
+    ("no value for most places", swap(YEARS, ("in 1901 and", "in 1850 and"), ("in 1901 as", "in 1860 as"),
+                                      ("120 km", "75 miles"), ("60 km", "75 kg")), 1, False, False),
+]
+
+
+def test_slots_are_judged_by_window(spark):
+    bench = [ITEM, YEARS, ITEM + " Alice waves and then Alice sleeps in the quiet old station.",
+             ITEM + " Now Alice waves and then Alice sleeps in the quiet old station."]
+    docs = spark.createDataFrame([(i, t) for i, (_, t, *_) in enumerate(LOOSE)], "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    found = templates.contaminated(docs, "doc_id", "text", items, "item_id", "text").collect()
+    got = {(r["_key"], r["_item"]): r["same_words"] for r in found}
+    for i, (name, _, item, hit, same) in enumerate(LOOSE):
+        assert got.get((i, item)) == (same if hit else None), name
