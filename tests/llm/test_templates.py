@@ -105,3 +105,27 @@ def test_slots_are_judged_by_window(spark):
     got = {(r["_key"], r["_item"]): r["same_words"] for r in found}
     for i, (name, _, item, hit, same) in enumerate(LOOSE):
         assert got.get((i, item)) == (same if hit else None), name
+
+
+DENSE = "mix 5 g 7 ml salt 30 g 9 ml rice 12 kg 8 cm oil 4 l 3 mm tea 6 lb 2 oz"
+BENCH = [
+    (1, "the first question has nine quite ordinary words here"), (1, "another text of that same id is asked about rain"),
+    (None, "an item that has no id at all is still an item"), (None, "some second item without any id asks about snow"),
+    (2, "purple elephants dance"), (3, "xylophone"), (4, DENSE), (5, "saw Paris 1789"), (6, "71 72 73 74 75 76"),
+]
+HELD = [
+    (f"{FILL} {BENCH[0][1]} {FILL}", {1}), (f"{FILL} {BENCH[1][1]} {FILL}", {1}), (f"{FILL} {BENCH[2][1]} {FILL}", {None}),
+    (f"{FILL} {BENCH[3][1]}", {None}), (f"{FILL} Purple elephants dance, {FILL}", {2}), (f"{FILL} xylophone {FILL}", {3}),
+    (f"{FILL} {swap(DENSE, ('5 g', '15 g'), ('30 g', '31 g'), ('9 ml', '19 ml'), ('12 kg', '22 kg'), ('8 cm', '18 cm'))} {FILL}", {4}),
+    (f"{FILL} saw Paris 1789 {FILL}", {5}), (f"{FILL} saw Berlin 1848 {FILL}", set()), ("purple elephants", set()),
+    (f"{FILL} 71 72 73 74 75 76 {FILL}", {6}), (f"{FILL} 1 2 3 4 5 6 {FILL}", set()), (FILL, set()),
+]
+
+
+def test_every_item_can_be_found(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(HELD)], "doc_id long, text string")
+    items = spark.createDataFrame(BENCH, "item_id long, text string")
+    found = templates.contaminated(docs, "doc_id", "text", items, "item_id", "text").collect()
+    assert len({(r["_key"], r["_item"], r["_item_hash"]) for r in found}) == len(found)
+    for i, (text, wanted) in enumerate(HELD):
+        assert {r["_item"] for r in found if r["_key"] == i} == wanted, text
