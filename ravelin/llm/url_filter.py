@@ -10,7 +10,7 @@ hosts), and a threshold on the two.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.shared import written
+from ravelin.llm.shared import dropped, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
@@ -80,18 +80,19 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def propagated(
-    seeds: DataFrame, edges: DataFrame, keep: float = 0.85, rounds: int = 30, settled: float = 1e-6
+    seeds: DataFrame, edges: DataFrame, keep: float = 0.85, rounds: int = 1000, settled: float = 1e-6
 ) -> DataFrame:
     """(host, score): personalised PageRank; ``seeds`` (host, mass) may have any total mass.
 
     A host passes ``keep`` of its score along its edges; what hosts without edges hold, and the
-    rest, returns to the seeds.  Ends when scores move by less than ``settled`` in total.
+    rest, returns to the seeds.  Ends when scores move by less than ``settled`` in total; an error
+    if they still do after ``rounds``.
     """
     whole = seeds.agg(F.sum("mass")).first()[0]
     if not whole:
         return seeds.select("host", F.lit(0.0).alias("score"))
     seeds = written(seeds.select("host", (F.col("mass") / whole).alias("mass")), "seeds")
-    score = seeds.select("host", F.col("mass").alias("score"))
+    score, last = seeds.select("host", F.col("mass").alias("score")), None
     for _ in range(rounds):
         passed = (
             score.join(edges, score.host == edges.src)
@@ -106,10 +107,12 @@ def propagated(
         gap = after.join(score.withColumnRenamed("score", "old"), "host", "full").agg(
             F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))
         ).first()[0]
-        score = after
+        if last is not None:
+            dropped(last)
+        score = last = after
         if not gap or gap < settled:
-            break
-    return score
+            return score
+    raise RuntimeError(f"scores did not settle in {rounds} rounds")
 
 
 def judged(

@@ -1,5 +1,7 @@
 """Rules by longest match, verdicts by flow along links, against plain Python."""
 
+import pytest
+
 from ravelin.llm import url_filter
 
 RULES = [
@@ -76,3 +78,16 @@ def test_trust_and_distrust_flow_along_links(spark):
     trust, distrust = rank(graph, "good.com"), rank(back, "bad.com")
     for h, r in out.items():
         assert abs(r["trust"] - trust[h]) < 1e-4 and abs(r["distrust"] - distrust[h]) < 1e-4
+
+
+def test_scores_flow_until_they_settle(spark):
+    hosts = [f"h{i}" for i in range(34)]
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in zip(hosts, hosts[1:])], "src string, dst string, share double")
+    seeds = spark.createDataFrame([("h0", 1.0)], "host string, mass double")
+    out = {r["host"]: r["score"] for r in url_filter.propagated(seeds, edges).collect()}
+    start = (1 - 0.85) / (1 - 0.85 ** len(hosts))  # the chain's end returns all to the seed
+    for i, h in enumerate(hosts):
+        assert abs(out.get(h, 0.0) - start * 0.85**i) < 1e-4, h
+    assert out["h33"] > 0
+    with pytest.raises(RuntimeError, match="settle"):
+        url_filter.propagated(seeds, edges, rounds=3)
