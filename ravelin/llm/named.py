@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ravelin.llm import (
-    bpe, chat, grid_join, quality, simhash, substring, templates, token_files, toxicity,
+    bpe, chat, exact_dedup, grid_join, quality, simhash, substring, templates, token_files, toxicity,
     url_filter,
 )
 from ravelin.llm.shared import shared_folder
@@ -207,6 +207,26 @@ def op10_templates(spark, sf_dir):
     )
 
 
+@query
+def op11_exact_dedup(spark, sf_dir):
+    """Every document with the document that stays for its text."""
+    found = exact_dedup.duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
+ORACLE["op11_exact_dedup"] = """
+    WITH d AS (
+        SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+    )
+    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+           doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+    FROM d WINDOW same AS (PARTITION BY t)
+"""
+
+
 @query
 def pipeline(spark, sf_dir):
     """All stages of the corpus pipeline over all documents."""

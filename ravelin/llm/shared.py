@@ -2,21 +2,32 @@
 
 import tempfile
 import uuid
+from functools import cache
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folder of each table of ``written`` that is still in use.
+FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below the folder that the cluster names in spark.checkpoint.dir.
 
-    Where the setting is missing (a local session) a temporary folder takes its place.
+@cache
+def local_root() -> str:
+    return tempfile.mkdtemp(prefix="ravelin-")
+
+
+def shared_folder(spark: SparkSession, name: str, root: str | None = None) -> str:
+    """A new folder name below ``root``, else below the folder that the cluster names in
+    spark.checkpoint.dir.
+
+    Where neither is given and driver and tasks share one machine, a temporary folder takes its
+    place; on a cluster that is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="ravelin-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = root or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(root or local_root()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -25,7 +36,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = shared_folder(spark, name)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    table = spark.read.schema(df.schema).parquet(folder)
+    FOLDERS[table] = folder
+    return table
 
 
 def sliced(batches, rows: int = 500):
@@ -43,9 +56,8 @@ def dropped(*tables: DataFrame) -> None:
     for table in tables:
         jvm = table.sparkSession.sparkContext._jvm
         conf = table.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        path = jvm.org.apache.hadoop.fs.Path(FOLDERS.pop(table))
+        path.getFileSystem(conf).delete(path, True)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -74,7 +86,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.where("u <> v").union(least.select("u", "m"))
-        stars = written(small.distinct(), "stars")
+        last, stars = stars, written(small.distinct(), "stars")
+        dropped(last)
         now = stars.agg(
             F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
         ).first()
