@@ -9,11 +9,8 @@ from checks.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    session = local_session(4)
-    if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-    return session
+def spark():
+    return local_session(4)
 
 
 @pytest.fixture(scope="session")
