@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ravelin.llm import (
-    bpe, chat, exact_dedup, grid_join, quality, simhash, substring, templates, token_files, toxicity,
+    bpe, chat, exact_dedup, grid_join, quality, repair, simhash, substring, templates, token_files, toxicity,
     url_filter,
 )
 from ravelin.llm.shared import shared_folder
@@ -227,6 +227,39 @@ ORACLE["op11_exact_dedup"] = """
 """
 
 
+def damaged(logs):
+    """Conversation rows with a fault in every fifth, by the checksum of ``conv_id:turn``."""
+    space = F.lit(" ")
+    key = F.concat(
+        F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space)
+    )
+    draw = F.crc32(key.cast("binary")) % 20
+    text = F.coalesce("text", space)
+    return logs.withColumn("_draw", draw).where("_draw <> 0").select(
+        "conv_id", "turn", F.when(F.col("_draw") == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(F.col("_draw") == 1, "").when(F.col("_draw") == 2, F.regexp_replace(text, "[.!?]", ""))
+        .otherwise(text).alias("text"),
+        F.explode(F.when(F.col("_draw") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_copy"),
+    )
+
+
+@query
+def op13_structure_repair(spark, sf_dir):
+    """Faults, cheapest edits and repaired turns of every damaged conversation."""
+    logs = table(spark, sf_dir, "conversations")
+    done = repair.repair(damaged(logs), "conv_id", "turn", "role", "text")
+    hashes = repair.digests(done.turns)
+    every = logs.select("conv_id").distinct()
+    known = every.join(done.report, every["conv_id"].eqNullSafe(done.report["conversation"]), "left").drop("conversation")
+    known = known.join(hashes, known["conv_id"].eqNullSafe(hashes["conversation"]), "left")
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return known.select(
+        "conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 @query
 def pipeline(spark, sf_dir):
     """All stages of the corpus pipeline over all documents."""
