@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ravelin.llm import (
     bpe, chat, exact_dedup, grid_join, quality, repair, simhash, substring, templates, token_files, toxicity,
-    url_filter,
+    url_filter, whitening,
 )
 from ravelin.llm.shared import shared_folder
 
@@ -227,6 +227,13 @@ ORACLE["op11_exact_dedup"] = """
 """
 
 
+@query
+def op12_whitening(spark, sf_dir):
+    """Whitened components of every vector, with exact deviations and the measured identity error."""
+    done = whitening.whitened(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 32)
+    return done.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def damaged(logs):
     """Conversation rows with a fault in every fifth, by the checksum of ``conv_id:turn``."""
     space = F.lit(" ")
