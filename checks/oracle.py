@@ -11,6 +11,7 @@ from ravelin.operators import contracts as C
 from ravelin.operators import evasion as V
 from ravelin.operators import governance as G
 from ravelin.operators import iac as I
+from ravelin.operators import linepass
 from ravelin.operators import linerules as L
 from ravelin.operators import secrets as S
 from ravelin.plans import derived as D
@@ -527,7 +528,7 @@ def union(parts):
     return " UNION ALL ".join(f"({p})" for p in parts)
 
 
-REDACTED = f"regexp_replace({strip('line')}, {q(C.QUOTED_VALUE)}, '\"***\"', 'g')"
+REDACTED = f"regexp_replace({strip('line')}, {q(linepass.QUOTED_VALUE)}, '\"***\"', 'g')"
 TON = "lower(ext) IN ('.fc', '.func', '.tolk')"
 TON_SQL = union([
     file_hit("SC-TON-001", f"{TON} AND NOT {m('content', C.TON['sender'])}"),

@@ -79,7 +79,7 @@ def mask(value: Column) -> Column:
 
 def is_secret_name(name: Column) -> Column:
     """Plain substring test, so 'key' is also found in 'monkey'."""
-    return contains_any(F.lower(name), SECRET_NAMES)
+    return F.exists(F.array(F.lower(name)), lambda low: contains_any(low, SECRET_NAMES))
 
 
 def secret_severity(entropy: Column, name: Column) -> Column:

@@ -1,19 +1,21 @@
 """Smart-contract packs: TON, EVM, Solana and CosmWasm.
 
-Rules test the whole text, a line, or a frame of lines around one.  Frames are
-slices of the file's line array, so a file needs no window and no shuffle.
+Rules test the whole text, a line, or a frame of lines around one.  Line rules are
+predicates of the shared line pass; rules on the whole text or on its first line
+of a kind are columns over the file.  Frames are slices of the file's line array,
+so a file needs no window and no shuffle.
 """
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ravelin.functions import text as T
+from ravelin.operators.linepass import Group, Rule, after, around, found, has_any, quoted
 from ravelin.schema import hit, no_hits
 
 # File types and patterns.
 TON_EXTENSIONS = [".fc", ".func", ".tolk"]
 CREDENTIAL = r"(?i:(private_key|secret_key|mnemonic|seed)\s*=\s*\"[^\"]{8,}\")"
-QUOTED_VALUE = r"\"[^\"]{4,}\""
 TON = {
     "sender": r"(?i:get_sender\(\)|sender_address)|load_msg_addr\b",
     "bounce": r"(?i:bounced\$)",
@@ -32,6 +34,8 @@ EVM = {
     "low_level": r"\.call\{[^}]*\}\s*\(|\.call\s*\(",
     "write": r"\b\w+\s*[\+\-]?=\s*\w+|\bbalances?\s*\[",
 }
+# Words of which a line must hold one to match any line rule.
+EVM_WORDS = ["tx.origin", "selfdestruct", "suicide", "block.timestamp", "now", ".call", "\""]
 EVM_GUARDS = ["onlyOwner", "require(msg.sender", "modifier"]
 SOLANA = {
     "signer": r"(?i:\.is_signer)",
@@ -75,7 +79,7 @@ def is_old_compiler(text: Column) -> Column:
     return F.coalesce((major == 0) & (minor < 8), F.lit(False))
 
 
-def after(lines: Column, n: Column, count: int) -> Column:
+def after_lines(lines: Column, n: Column, count: int) -> Column:
     """The ``count`` lines that follow line ``n``, as one text."""
     return F.array_join(F.slice(lines, n + 1, F.lit(count)), "\n")
 
@@ -86,10 +90,6 @@ def window(lines: Column, n: Column, back: int, ahead: int) -> Column:
     return F.slice(lines, start, n + ahead - start + 1)
 
 
-def redact(line: Column) -> Column:
-    return F.regexp_replace(T.strip(line), QUOTED_VALUE, '"***"')
-
-
 def at_line(rule_id, x: Column, seq: Column, evidence: Column | None = None, **more):
     rule = F.lit(rule_id) if isinstance(rule_id, str) else rule_id
     return hit(
@@ -107,25 +107,70 @@ def at_file(rule_id: str, when: Column, seq: int) -> Column:
     )
 
 
-def line_seq(x: Column, k: int) -> Column:
-    return x["n"].cast("bigint") * 100 + k
-
-
 def _matching(lines: Column, pattern: str) -> Column:
     return F.filter(T.numbered(lines), lambda x: T.search(x["s"], pattern))
 
 
-def _per_line(lines: Column, tests) -> Column:
-    """Hits of several line tests; ``tests(x)`` lists nullable hits."""
-    return F.flatten(
-        F.transform(
-            T.numbered(lines), lambda x: F.array_compact(F.array(*tests(x)))
-        )
-    )
+def _credential(shift: int, scale: int = 100, title: str | None = None) -> Rule:
+    return Rule("SC-COM-001", found("{s}", CREDENTIAL), scale, shift, redacted=True, title=title)
 
 
-def ton_hits(text: Column) -> Column:
-    file_level = F.array_compact(
+def groups(substring_guards: bool = False) -> list:
+    """Line rules of TON and EVM files.
+
+    The guard of SC-SOL-005 only counts when a whole line equals it; with
+    ``substring_guards`` it may stand anywhere in the ten lines.
+    """
+    frame = around(9, 0)
+    if substring_guards:
+        guarded = has_any(f"array_join({frame}, '\\n')", EVM_GUARDS)
+    else:
+        guarded = f"arrays_overlap({frame}, array({', '.join(map(quoted, EVM_GUARDS))}))"
+    unchecked = f"NOT {found(after(4), 'success|require')}"
+    ton = [
+        Rule("SC-TON-002", found("{s}", TON["random"]), 100, 0),
+        Rule("SC-TON-003", found("{s}", TON["loop"]), 100, 1),
+        Rule("SC-TON-005", found("{s}", TON["address"]), 100, 2),
+        _credential(3),
+    ]
+    evm = [
+        Rule("SC-SOL-003", f"{found('{s}', EVM['origin'])} AND {found('{s}', EVM['guarded'])}", 100, 0),
+        Rule("SC-SOL-005", f"{found('{s}', EVM['destroy'])} AND NOT {guarded}", 100, 1),
+        Rule("SC-SOL-006", f"{found('{s}', EVM['time'])} AND {found('{s}', EVM['decision'])}", 100, 2),
+        Rule("SC-SOL-004", f"{found('{s}', EVM['low_level'])} AND {unchecked}", 100, 3),
+        _credential(2 * LATE, 1, "Credential fixed in Solidity source"),
+    ]
+    return [
+        Group(f"lower(ext) IN ({', '.join(map(quoted, TON_EXTENSIONS))})", has_any("{s}", ["(", "\"", "addr_none"]), "true", ton),
+        Group("lower(ext) = '.sol'", has_any("{s}", ["(", "=", "<", ">", "\"", "require"]), has_any("{s}", EVM_WORDS), evm),
+    ]
+
+
+def multichain_groups() -> list:
+    """Line rules of Solana and CosmWasm sources."""
+    solana = Rule("SC-SOL-NA-006", found("{s}", SOLANA["unchecked"]), 100, 0)
+    cosmwasm = Rule("SC-CW-005", found("{s}", COSMWASM["address"]), 100, 0)
+    return [
+        Group("chain <=> 'SOLANA'", "contains({s}, '_')", "true", [solana]),
+        Group("chain <=> 'COSMWASM'", "contains({s}, '\"')", "true", [cosmwasm]),
+    ]
+
+
+def first_hit(text: Column, pattern: str, make, frame=None) -> Column:
+    """``make(x)`` for the first line with the pattern (and ``frame(lines, x)``), for texts that hold the
+    pattern at all: those without it are not split."""
+
+    def of_lines(lines):
+        matching = _matching(lines, pattern)
+        if frame is not None:
+            matching = F.filter(matching, lambda x: frame(lines, x))
+        return F.transform(F.slice(matching, 1, 1), make)
+
+    return F.when(T.search(text, pattern), T.bind(T.splitlines(text), of_lines)).otherwise(no_hits())
+
+
+def ton_file_hits(text: Column) -> Column:
+    return F.array_compact(
         F.array(
             at_file("SC-TON-001", ~T.search(text, TON["sender"]), 0),
             at_file(
@@ -136,82 +181,17 @@ def ton_hits(text: Column) -> Column:
         )
     )
 
-    def tests(x):
-        return [
-            F.when(T.search(x["s"], TON["random"]), at_line("SC-TON-002", x, line_seq(x, 0))),
-            F.when(T.search(x["s"], TON["loop"]), at_line("SC-TON-003", x, line_seq(x, 1))),
-            F.when(T.search(x["s"], TON["address"]), at_line("SC-TON-005", x, line_seq(x, 2))),
-            F.when(
-                T.search(x["s"], CREDENTIAL),
-                at_line("SC-COM-001", x, line_seq(x, 3), redact(x["s"])),
-            ),
-        ]
-
-    return F.concat(
-        file_level, T.bind(T.splitlines(text), lambda lines: _per_line(lines, tests))
-    )
-
 
-def evm_hits(text: Column, substring_guards: bool = False) -> Column:
-    """EVM rules.
-
-    The guard of SC-SOL-005 only counts when a whole line equals it; with
-    ``substring_guards`` it may stand anywhere in the ten lines.
-    """
+def evm_file_hits(text: Column) -> Column:
     old = at_file("SC-SOL-002", is_old_compiler(text) & ~text.contains("SafeMath"), 0)
-
-    def guarded(lines, x):
-        frame = window(lines, x["n"], 9, 0)
-        if substring_guards:
-            return F.exists(frame, lambda s: T.contains_any(s, EVM_GUARDS))
-        return F.arrays_overlap(frame, F.array(*[F.lit(g) for g in EVM_GUARDS]))
-
-    def unchecked(lines, x):
-        return ~T.search(after(lines, x["n"], 4), "success|require")
-
-    def of_lines(lines):
-        def tests(x):
-            s = x["s"]
-            return [
-                F.when(
-                    T.search(s, EVM["origin"]) & T.search(s, EVM["guarded"]),
-                    at_line("SC-SOL-003", x, line_seq(x, 0)),
-                ),
-                F.when(
-                    T.search(s, EVM["destroy"]) & ~guarded(lines, x),
-                    at_line("SC-SOL-005", x, line_seq(x, 1)),
-                ),
-                F.when(
-                    T.search(s, EVM["time"]) & T.search(s, EVM["decision"]),
-                    at_line("SC-SOL-006", x, line_seq(x, 2)),
-                ),
-                F.when(
-                    T.search(s, EVM["low_level"]) & unchecked(lines, x),
-                    at_line("SC-SOL-004", x, line_seq(x, 3)),
-                ),
-            ]
-
-        reentrant = F.filter(
-            _matching(lines, EVM["external"]),
-            lambda x: T.search(after(lines, x["n"], 8), EVM["write"]),
-        )
-        first_reentrant = F.transform(
-            F.slice(reentrant, 1, 1),
-            lambda x: at_line("SC-SOL-001", x, F.lit(LATE), F.lit(None)),
-        )
-        credentials = F.transform(
-            _matching(lines, CREDENTIAL),
-            lambda x: at_line(
-                "SC-COM-001", x, F.lit(2 * LATE) + x["n"], redact(x["s"]),
-                title=F.lit("Credential fixed in Solidity source"),
-            ),
-        )
-        return F.concat(_per_line(lines, tests), first_reentrant, credentials)
-
-    return F.concat(F.array_compact(F.array(old)), T.bind(T.splitlines(text), of_lines))
+    first_reentrant = first_hit(
+        text, EVM["external"], lambda x: at_line("SC-SOL-001", x, F.lit(LATE), F.lit(None)),
+        lambda lines, x: T.search(after_lines(lines, x["n"], 8), EVM["write"]),
+    )
+    return F.concat(F.array_compact(F.array(old)), first_reentrant)
 
 
-def solana_hits(text: Column) -> Column:
+def solana_file_hits(text: Column) -> Column:
     entry = text.contains("process_instruction")
     framework_signer = T.search(text, SOLANA["framework_signer"])
     file_level = F.array_compact(
@@ -230,35 +210,26 @@ def solana_hits(text: Column) -> Column:
             ),
         )
     )
-
-    def of_lines(lines):
-        arithmetic = F.transform(
-            F.slice(_matching(lines, SOLANA["arithmetic"]), 1, 1),
-            lambda x: at_line("SC-SOL-NA-003", x, F.lit(2)),
-        )
-        invoke = F.transform(
-            F.slice(_matching(lines, SOLANA["invoke"]), 1, 1),
-            lambda x: at_line(
-                F.when(T.search(x["s"], SOLANA["any_target"]), "SC-SOL-NA-005")
-                .otherwise("SC-SOL-NA-004"),
-                x,
-                F.lit(3),
-            ),
-        )
-        unchecked = F.transform(
-            _matching(lines, SOLANA["unchecked"]),
-            lambda x: at_line("SC-SOL-NA-006", x, line_seq(x, 0)),
-        )
-        return F.concat(
-            F.when(T.search(text, SOLANA["checked"]), no_hits()).otherwise(arithmetic),
-            invoke,
-            unchecked,
-        )
-
-    return F.concat(file_level, T.bind(T.splitlines(text), of_lines))
+    arithmetic = first_hit(
+        text, SOLANA["arithmetic"], lambda x: at_line("SC-SOL-NA-003", x, F.lit(2))
+    )
+    invoke = first_hit(
+        text, SOLANA["invoke"],
+        lambda x: at_line(
+            F.when(T.search(x["s"], SOLANA["any_target"]), "SC-SOL-NA-005")
+            .otherwise("SC-SOL-NA-004"),
+            x,
+            F.lit(3),
+        ),
+    )
+    return F.concat(
+        file_level,
+        F.when(T.search(text, SOLANA["checked"]), no_hits()).otherwise(arithmetic),
+        invoke,
+    )
 
 
-def cosmwasm_hits(text: Column) -> Column:
+def cosmwasm_file_hits(text: Column) -> Column:
     execute = T.search(text, COSMWASM["execute"])
     file_level = F.array_compact(
         F.array(
@@ -272,41 +243,27 @@ def cosmwasm_hits(text: Column) -> Column:
             ),
         )
     )
-
-    def of_lines(lines):
-        early_save = F.filter(
-            _matching(lines, COSMWASM["save"]),
-            lambda x: T.search(after(lines, x["n"], 8), COSMWASM["sub_message"]),
-        )
-        return F.concat(
-            F.transform(
-                F.slice(early_save, 1, 1),
-                lambda x: at_line("SC-CW-004", x, F.lit(3)),
-            ),
-            F.transform(
-                _matching(lines, COSMWASM["address"]),
-                lambda x: at_line("SC-CW-005", x, line_seq(x, 0)),
-            ),
-        )
-
-    return F.concat(file_level, T.bind(T.splitlines(text), of_lines))
+    early_save = first_hit(
+        text, COSMWASM["save"], lambda x: at_line("SC-CW-004", x, F.lit(3)),
+        lambda lines, x: T.search(after_lines(lines, x["n"], 8), COSMWASM["sub_message"]),
+    )
+    return F.concat(file_level, early_save)
 
 
-def contract_hits(ext: Column, text: Column) -> Column:
-    """TON and EVM files."""
+def contract_file_hits(ext: Column, text: Column) -> Column:
+    """Rules of TON and EVM files that look at the whole text or want its first line."""
     return (
-        F.when(ext.isin(TON_EXTENSIONS), ton_hits(text))
-        .when(ext == ".sol", evm_hits(text))
+        F.when(ext.isin(TON_EXTENSIONS), ton_file_hits(text))
+        .when(ext == ".sol", evm_file_hits(text))
         .otherwise(no_hits())
     )
 
 
-def multichain_hits(ext: Column, text: Column) -> Column:
-    """Solana and CosmWasm sources in Rust."""
-    chain = F.when(ext == ".rs", chain_of(text))
+def multichain_file_hits(chain: Column, text: Column) -> Column:
+    """The same for Solana and CosmWasm sources in Rust."""
     return (
-        F.when(chain == "SOLANA", solana_hits(text))
-        .when(chain == "COSMWASM", cosmwasm_hits(text))
+        F.when(chain == "SOLANA", solana_file_hits(text))
+        .when(chain == "COSMWASM", cosmwasm_file_hits(text))
         .otherwise(no_hits())
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ravelin.functions import text as T
+from ravelin.operators.linepass import JOINED, Group, found, has_any
 from ravelin.schema import hit, no_hits
 
 # Dangerous tokens and the shapes that are decoded.
@@ -150,7 +151,7 @@ def _spanning(text: Column, pattern: str, codes, rank: int, word: str) -> Column
         )
 
     return F.when(
-        F.lower(text).contains(word) & text.rlike(pattern),
+        text.contains("(") & F.lower(text).contains(word) & text.rlike(pattern),
         T.bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), with_matches),
     ).otherwise(no_hits())
 
@@ -170,30 +171,20 @@ def charcode_hits(text: Column) -> Column:
     )
 
 
-def concat_hits(text: Column) -> Column:
-    """Fragments of a line that spell a token the line itself does not show."""
-    lines = F.filter(
-        T.numbered(T.splitlines(text)),
-        lambda x: T.search(x["s"], CONCAT) & ~is_dangerous(x["s"]),
-    )
+def file_hits(text: Column) -> Column:
+    """Decoders that count line ends themselves or span lines."""
+    return F.concat(base64_hits(text), hex_hits(text), charcode_hits(text))
 
-    def joined(line: Column) -> Column:
-        return F.array_join(F.regexp_extract_all(line, F.lit(FRAGMENT), F.lit(1)), "")
-
-    hits = F.transform(
-        lines,
-        lambda x: _hit(
-            "concat",
-            4,
-            F.when(is_dangerous(joined(x["s"])), joined(x["s"])),
-            x["n"],
-            F.lit(0),
-        ),
-    )
-    return F.when(T.search(text, CONCAT), _kept(hits)).otherwise(no_hits())
 
+def groups() -> list:
+    """Lines of source files where strings are joined."""
+    return [Group("language IS NOT NULL", has_any("{s}", ["\"", "'"]), found("{s}", CONCAT), [], clean=True, code=JOINED)]
 
-def evasion_hits(text: Column) -> Column:
-    return F.concat(
-        base64_hits(text), hex_hits(text), charcode_hits(text), concat_hits(text)
-    )
+
+def joined_hits(line: Column, n: Column) -> Column:
+    """The fragments of one line, if they spell a token the line itself does not show."""
+    spelled = F.array_join(F.regexp_extract_all(line, F.lit(FRAGMENT), F.lit(1)), "")
+    shown = F.when(is_dangerous(spelled), spelled)
+    return F.when(
+        ~is_dangerous(line) & shown.isNotNull(), F.array(_hit("concat", 4, shown, n, F.lit(0)))
+    ).otherwise(no_hits())

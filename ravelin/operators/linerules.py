@@ -1,16 +1,12 @@
 """Line-pattern rules: nine language packs and the Solidity line pack.
 
-A pack is a short list of (rule id, pattern).  Patterns are inlined as literals,
-so each is compiled once per task.  Every pattern needs one of a few plain words;
-only texts that hold such a word are split into lines, and only such lines are
-tested rule by rule.  Nothing is shuffled.
+A pack is a short list of (rule id, pattern).  Every pattern needs one of a few
+plain words; only texts that hold such a word are split into lines, and only such
+lines are tested rule by rule (``linepass``).  Nothing is shuffled.
 """
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ravelin.functions import text as T
-from ravelin.schema import hit, no_hits
+from ravelin.operators.linepass import Group, Rule, found, has_any, quoted
 
 # Patterns per language, in the order they are tested.
 JAVASCRIPT = [
@@ -132,109 +128,54 @@ WORDS = {
         "encodePacked", "init", "revert", "ecrecover",
     ],
 }
+# Signs of which a line must hold one; nearly as cheap to look for as reading the text.
+SIGNS = {
+    "javascript": ["(", "=", "rejectUnauthorized"], "go": ["(", "InsecureSkipVerify"], "java": ["("],
+    "php": ["("], "ruby": ["(", "#", "eval", "Digest"], "csharp": ["(", "\"", "CryptoServiceProvider"],
+    "kotlin": ["("], "rust": ["(", "::"], "cpp": ["("], "solidity": ["(", "=", "block."],
+}
 # The same, for rules that ignore case; compared in lower case.
 FOLDED_WORDS = {"java": ["getinstance"], "kotlin": ["getinstance"]}
 # The Solidity pack numbers hits rule by rule, the others line by line.
 RULE_STRIDE = 1_000_000_000
 
 
-def line_matches(text: Column, pack: str, comment: str = T.COMMENT_CODE) -> Column:
-    """``match_lines`` for a built-in pack."""
-
-    def words_in(value: Column) -> Column:
-        found = T.contains_any(value, WORDS[pack])
-        if pack in FOLDED_WORDS:
-            found = found | T.contains_any(F.lower(value), FOLDED_WORDS[pack])
-        return found
-
-    return match_lines(text, RULES[pack], words_in, comment)
-
-
-def match_lines(
-    text: Column, rules: list, possible=lambda value: F.lit(True), comment: str = T.COMMENT_CODE
-) -> Column:
-    """array<struct<rule, n, s>>: the rule's place in the pack, line number, line.
-
-    ``possible`` is a cheap test that decides which texts are split and which
-    lines are tested.
-    """
-
-    def test(x: Column, place: int, rule_id: str, pattern: str) -> Column:
-        matched = T.search(x["s"], pattern)
-        if rule_id in GATES:
-            matched = matched & T.search(x["s"], GATES[rule_id])
-        return F.when(matched, F.lit(place))
-
-    lines = F.filter(
-        T.numbered(T.splitlines(text)),
-        lambda x: possible(x["s"]) & ~T.is_comment(x["s"], comment),
-    )
-    matches = F.flatten(
-        F.transform(
-            lines,
-            lambda x: F.transform(
-                F.array_compact(
-                    F.array(*[test(x, k, rid, p) for k, (rid, p) in enumerate(rules)])
-                ),
-                lambda place: F.struct(
-                    place.alias("rule"), x["n"].alias("n"), x["s"].alias("s")
-                ),
-            ),
-        )
-    )
-    return F.when(possible(text), matches)
-
 
-def to_hits(
-    matches: Column, rule_ids: Column, rule_major: bool = False,
-    confidence: float | None = None,
-) -> Column:
-    """Matches to hits; seq counts line by line or rule by rule."""
 
-    def one(m: Column) -> Column:
-        rule, n = m["rule"].cast("bigint"), m["n"].cast("bigint")
-        return hit(
-            rule_id=rule_ids[m["rule"]],
-            line=m["n"],
-            evidence=T.strip(m["s"]),
-            seq=rule * RULE_STRIDE + n if rule_major else n * 100 + rule,
-            confidence=F.lit(confidence),
-        )
+def _test(rule_id: str, pattern: str) -> str:
+    test = found("{s}", pattern)
+    return f"{test} AND {found('{s}', GATES[rule_id])}" if rule_id in GATES else test
 
-    return F.coalesce(F.transform(matches, one), no_hits())
 
-
-def rule_ids(pack: str) -> Column:
-    return F.array(*[F.lit(rule_id) for rule_id, _ in RULES[pack]])
-
-
-def by_language(language: Column, value) -> Column:
-    routed = F
+def language_groups() -> list:
+    """The nine line-pattern languages, routed by language."""
+    groups = []
     for name in LANGUAGES:
-        routed = routed.when(language == name, value(name))
-    return routed
-
-
-def source_hits(language: Column, text: Column) -> Column:
-    """Hits of the nine line-pattern languages, routed by language."""
-    matches = by_language(language, lambda name: line_matches(text, name))
-    return to_hits(matches, by_language(language, rule_ids))
-
-
-def solidity_hits(ext: Column, text: Column) -> Column:
-    """Hits of the Solidity line pack for ``.sol`` files."""
-    matches = line_matches(text, "solidity", T.COMMENT_SOLIDITY)
-    return to_hits(
-        F.when(ext == ".sol", matches), rule_ids("solidity"),
-        rule_major=True, confidence=75.0,
-    )
-
-
-def added_hits(language: Column, text: Column, added: list) -> Column:
-    """Hits of rules added by a user: (rule id, language, pattern, ...) rows."""
-    matches, ids = F, F
+        hint = has_any("{s}", WORDS[name])
+        if name in FOLDED_WORDS:
+            hint = f"({hint} OR {has_any('lower({s})', FOLDED_WORDS[name])})"
+        rules = [Rule(rid, _test(rid, pattern), 100, k) for k, (rid, pattern) in enumerate(RULES[name])]
+        groups.append(Group(f"language <=> '{name}'", has_any("{s}", SIGNS[name]), hint, rules, T.COMMENT_CODE, clean=True))
+    return groups
+
+
+def solidity_groups() -> list:
+    """The Solidity line pack for ``.sol`` files outside ``.git``; it counts hits rule by rule."""
+    rules = [
+        Rule(rid, _test(rid, pattern), 1, k * RULE_STRIDE, confidence=75.0)
+        for k, (rid, pattern) in enumerate(SOLIDITY)
+    ]
+    files = "lower(ext) = '.sol' AND NOT array_contains(split(rel, '/'), '.git')"
+    return [Group(files, has_any("{s}", SIGNS["solidity"]), has_any("{s}", WORDS["solidity"]), rules, T.COMMENT_SOLIDITY)]
+
+
+def added_groups(added: list) -> list:
+    """Rules added by a user: (rule id, language, pattern, ...) rows."""
+    groups = []
     for name in sorted({row[1] for row in added}):
-        mine = [(row[0], row[2]) for row in added if row[1] == name]
-        matches = matches.when(language == name, match_lines(text, mine))
-        ids = ids.when(language == name, F.array(*[F.lit(rule_id) for rule_id, _ in mine]))
-    return to_hits(matches, ids)
+        rules = [
+            Rule(rid, found("{s}", pattern), 100, k)
+            for k, (rid, pattern) in enumerate((r[0], r[2]) for r in added if r[1] == name)
+        ]
+        groups.append(Group(f"language <=> {quoted(name)}", "true", "true", rules, T.COMMENT_CODE, clean=True))
+    return groups

@@ -1,7 +1,7 @@
 """Entropy-based secret detection over files or any text column.
 
-The work per file is one expression over its lines: candidates by regex, a
-typed struct per candidate, acceptance as boolean columns, first-wins inside the
+The work per line is one expression: candidates by regex, a typed struct per
+candidate, acceptance as boolean columns, first-wins inside the
 line.  The de-duplication keys hold the line number, so no shuffle is needed.
 """
 
@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from ravelin.functions import entropy as E
 from ravelin.functions import text as T
-from ravelin.schema import hit, no_hits
+from ravelin.operators.linepass import SECRET, Group, has_any, quoted
+from ravelin.schema import hit
 
 # What counts as an assignment, as a quoted string, as benign.
 ASSIGNMENT = r"([a-zA-Z_][\w.]*?)\s*[:=]\s*[\"']([A-Za-z0-9+/=_\-]{10,})[\"']"
 QUOTED = r"[\"']([A-Za-z0-9+/=_\-]{20,})[\"']"
+QUOTED_RUN = r"[\"'][A-Za-z0-9+/=_\-]{10,}[\"']"
 BENIGN = [
     r"^(?i:[0-9a-f]{32,64})$",
     r"^[0-9a-fA-F]{64}$",
@@ -57,7 +59,7 @@ def is_minified(text: Column) -> Column:
 
 def may_hold_secret(text: Column) -> Column:
     """A quoted run of ten characters is part of every candidate."""
-    return text.rlike(r"[\"'][A-Za-z0-9+/=_\-]{10,}[\"']")
+    return text.rlike(QUOTED_RUN)
 
 
 def is_likely_secret(
@@ -161,28 +163,25 @@ def first_by_prefix(items: Column, width: int | None = None) -> Column:
     )
 
 
-def secret_hits(ext: Column, text: Column, post_filter: bool = True) -> Column:
-    """array<HIT> for one text; ``post_filter=False`` gives the raw candidates."""
+def groups(skip_minified: bool = False) -> list:
+    """Lines that may hold a secret, behind the file guards: type, folder, minified if asked for."""
+    folders = f"arrays_overlap(split(rel, '/'), array({', '.join(map(quoted, SKIP_DIRS))}))"
+    files = f"lower(ext) NOT IN ({', '.join(map(quoted, SKIP_EXTENSIONS))}) AND NOT {folders}"
+    if skip_minified:
+        files += " AND NOT minified"
+    return [Group(files, has_any("{s}", ["\"", "'"]), f"{{s}} RLIKE {quoted(QUOTED_RUN)}", [], T.COMMENT_SECRETS, code=SECRET)]
 
-    def of_line(x: Column) -> Column:
-        def describe(items: Column) -> Column:
-            kept = first_by_prefix(items)
-            if post_filter:
-                kept = F.filter(
-                    kept,
-                    lambda c: survives_filter(c["value"], c["confidence"]),
-                )
-            return F.transform(kept, lambda c, k: to_hit(c, k, x["n"]))
 
-        return T.bind(line_secrets(x["s"], ext), describe)
+def line_hits(line: Column, n: Column, ext: Column, post_filter: bool = True) -> Column:
+    """array<HIT> for one line; ``post_filter=False`` gives the raw candidates."""
 
-    candidates = F.filter(
-        T.numbered(T.splitlines(text)),
-        lambda x: may_hold_secret(x["s"])
-        & ~T.is_comment(x["s"], T.COMMENT_SECRETS),
-    )
-    hits = F.flatten(F.transform(candidates, of_line))
-    return F.when(may_hold_secret(text), hits).otherwise(no_hits())
+    def describe(items: Column) -> Column:
+        kept = first_by_prefix(items)
+        if post_filter:
+            kept = F.filter(kept, lambda c: survives_filter(c["value"], c["confidence"]))
+        return F.transform(kept, lambda c, k: to_hit(c, k, n))
+
+    return T.bind(line_secrets(line, F.lower(ext)), describe)
 
 
 def to_hit(c: Column, k: Column, line: Column) -> Column:
@@ -206,18 +205,3 @@ def to_hit(c: Column, k: Column, line: Column) -> Column:
         var_name=c["name"],
         context_type=c["context"],
     )
-
-
-def secret_file_hits(
-    path_parts: Column, ext: Column, text: Column, skip_minified: bool = False
-) -> Column:
-    """``secret_hits`` behind the file guards: type, folder, and minified if asked for."""
-    folders = F.array(*[F.lit(d) for d in SKIP_DIRS])
-    # One test after the other, the cheap ones first.
-    return (
-        F.when(F.lower(ext).isin(SKIP_EXTENSIONS), no_hits())
-        .when(F.arrays_overlap(path_parts, folders), no_hits())
-        .when(~may_hold_secret(text), no_hits())
-        .when(is_minified(text) if skip_minified else F.lit(False), no_hits())
-        .otherwise(secret_hits(F.lower(ext), text))
-    )

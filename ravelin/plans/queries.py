@@ -702,14 +702,11 @@ def w11_around(spark, d):
 
 @query
 def w12_behind(spark, d):
-    sol = seeded_files(spark, d).where("ext = '.sol'")
+    files = seeded_files(spark, d)
     both = []
     for name, loose in (("whole_line", False), ("substring", True)):
-        hits = contracts.evm_hits(F.col("content"), substring_guards=loose)
-        both.append(
-            sol.select("path", F.explode(hits).alias("h")).where("h.rule_id = 'SC-SOL-005'")
-            .select("path", F.col("h.line").alias("line"), F.lit(name).alias("guards"))
-        )
+        hits = scan.detect(files, ["contracts"], substring_guards=loose).where("rule_id = 'SC-SOL-005'")
+        both.append(hits.select(F.col("file").alias("path"), "line", F.lit(name).alias("guards")))
     return algebra.union_all(both)
 
 
@@ -864,7 +861,8 @@ def d14_charcode(spark, d):
 
 @query
 def d15_split_strings(spark, d):
-    return evasions(spark, d, evasion.concat_hits)
+    hits = scan.detect(seeded_files(spark, d), ["evasion"]).where("encoding = 'concat'")
+    return hits.select("file", "line", "evidence", F.col("encoding").alias("kind"))
 
 
 @query

@@ -1,8 +1,9 @@
 """Scan plans: files -> findings.
 
-All packs of a scan are one projection over the ``files`` row, so the source is
-read once and nothing is shuffled until findings (a tiny share of the input)
-are de-duplicated or counted.
+All packs of a scan share one pass: parsed facts and rules on whole texts are columns
+over the ``files`` row, line rules are predicates over its lines, split once for all
+packs.  The source is read once and nothing is shuffled until findings (a tiny share
+of the input) are de-duplicated or counted.
 """
 
 from functools import lru_cache
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ravelin import catalog, schema
 from ravelin.operators import (
-    algebra, contracts, evasion, iac, linerules, pyrules, secrets,
+    algebra, contracts, evasion, iac, linepass, linerules, pyrules, secrets,
 )
 from ravelin.operators import dependencies as deps
 from ravelin.sources import files as S
@@ -43,6 +44,9 @@ def with_facts(files: DataFrame, packs: list, tolerant_yaml: bool = False) -> Da
             "yaml_kind": iac.yaml_kind(F.col("ext"), F.col("content")),
         }
     )
+    if "multichain" in packs:
+        rust = (ext == ".rs") & ~S.in_folder(F.col("rel"), ["__pycache__", "target"])
+        out = out.withColumn("chain", F.when(rust, contracts.chain_of(F.col("content"))))
     # Both readers in one step, so that rows pass Python once.
     parsed = {}
     if "python" in packs:
@@ -54,59 +58,87 @@ def with_facts(files: DataFrame, packs: list, tolerant_yaml: bool = False) -> Da
     return out
 
 
-def pack_hits(pack: str) -> Column:
-    """Hits of a pack over the columns of ``with_facts``.
+def line_groups(packs: list, substring_guards: bool = False, skip_minified: bool = False) -> list:
+    """Line rules of the packs that have some."""
+    groups = []
+    if "lines" in packs:
+        groups += linerules.language_groups()
+    if "evasion" in packs:
+        groups += evasion.groups()
+    if "secrets" in packs:
+        groups += secrets.groups(skip_minified)
+    if "contracts" in packs:
+        groups += contracts.groups(substring_guards)
+    if "solidity" in packs:
+        groups += linerules.solidity_groups()
+    if "multichain" in packs:
+        groups += contracts.multichain_groups()
+    return groups
+
+
+def file_hits(pack: str) -> Column:
+    """Hits of a pack's rules on whole texts, over the columns of ``with_facts``.
 
     Building the expression takes longer than planning it, so it is kept.
     """
-    return _pack_hits(pack, id(SparkContext._gateway))
+    return _file_hits(pack, id(SparkContext._gateway))
 
 
 @lru_cache(maxsize=None)
-def _pack_hits(pack: str, gateway: int) -> Column:
+def _file_hits(pack: str, gateway: int) -> Column:
     ext, low, content = F.col("ext"), F.lower("ext"), F.col("content")
-    source, language = F.col("source_text"), F.col("language")
+    source, language = S.without_bad_bytes(content, F.col("lossy")), F.col("language")
     none = schema.no_hits()
     if pack == "python":
         return pyrules.python_hits(F.col("py_facts"), source)
-    if pack == "lines":
-        return linerules.source_hits(language, source)
     if pack == "evasion":
-        return F.when(language.isNotNull(), evasion.evasion_hits(source)).otherwise(none)
-    if pack == "secrets":
-        return secrets.secret_file_hits(S.path_parts(F.col("rel")), ext, content)
+        return F.when(language.isNotNull(), evasion.file_hits(source)).otherwise(none)
     if pack == "iac":
         return iac.iac_hits(ext, content, F.col("yaml_facts"))
     if pack == "contracts":
-        return contracts.contract_hits(low, content)
-    if pack == "solidity":
-        return F.when(
-            S.in_folder(F.col("rel"), [".git"]), none
-        ).otherwise(linerules.solidity_hits(low, content))
+        return contracts.contract_file_hits(low, content)
     if pack == "multichain":
-        return F.when(
-            S.in_folder(F.col("rel"), ["__pycache__", "target"]), none
-        ).otherwise(contracts.multichain_hits(low, content))
+        return contracts.multichain_file_hits(F.col("chain"), content)
+    if pack in ("lines", "secrets", "solidity"):
+        return none
     raise ValueError(f"unknown pack {pack!r}")
 
 
-def detect(files: DataFrame, packs: list | None = None, tolerant_yaml: bool = False) -> DataFrame:
-    """Findings of the given packs, before de-duplication."""
+def detect(
+    files: DataFrame, packs: list | None = None, tolerant_yaml: bool = False,
+    substring_guards: bool = False, skip_minified: bool = False,
+) -> DataFrame:
+    """Findings of the given packs, before de-duplication.  No file is left out unless
+    ``skip_minified`` keeps minified ones from the secrets pack."""
     packs = PACKS if packs is None else packs
-    hits = F.concat(*[pack_hits(p) for p in packs])
-    rows = (
-        with_facts(files, packs, tolerant_yaml)
-        .select("path", F.explode(hits).alias("h"))
-        .select("path", "h.*")
-    )
-    return as_findings(rows)
+    whole = F.concat(*[file_hits(p) for p in packs])
+    facts = with_facts(files, packs, tolerant_yaml)
+    if skip_minified:
+        facts = facts.withColumn("minified", secrets.is_minified(F.col("content")))
+    return as_findings(_hits(facts, line_groups(packs, substring_guards, skip_minified), whole))
+
+
+def _hits(facts: DataFrame, groups: list, whole: Column) -> DataFrame:
+    """(path, hit...) of line rules and of the columns over whole files."""
+    if not groups:
+        return facts.select("path", F.inline(whole))
+    kept = [c for c in ("path", "rel", "ext", "language", "chain") if c in facts.columns]
+    rows = linepass.matched_lines(facts, groups, kept)
+    code, line, n = F.col("code"), F.col("s"), F.col("n")
+    hits = F.when(code == linepass.FILE, whole)
+    if any(g.code == linepass.SECRET for g in groups):
+        hits = hits.when(code == linepass.SECRET, secrets.line_hits(line, n, F.col("ext")))
+    if any(g.code == linepass.JOINED for g in groups):
+        hits = hits.when(code == linepass.JOINED, evasion.joined_hits(line, n))
+    if linepass.codes(groups):
+        hits = hits.otherwise(linepass.rule_hits(groups))
+    return rows.select("path", F.inline(hits))
 
 
 def detect_added(files: DataFrame, added: list) -> DataFrame:
     """Findings of rules given as rows (rule id, language, pattern, cwe, severity,
     title).  The rows are part of the plan, as the built-in rules are."""
-    hits = linerules.added_hits(F.col("language"), F.col("source_text"), added)
-    rows = with_facts(files, []).select("path", F.explode(hits).alias("h")).select("path", "h.*")
+    rows = _hits(with_facts(files, []), linerules.added_groups(added), schema.no_hits())
     table = files.sparkSession.createDataFrame(
         [(r[0], r[3], r[4], r[5], None, None, None, r[1], "sast", 0, 0, "sast") for r in added],
         catalog.RULE_SCHEMA,

@@ -146,3 +146,34 @@ def test_added_rules(spark, files):
     found = scan.detect_added(files({"a.go": "panic(x)\n// panic(y)", "b.rb": "raise", "c.py": "raise"}), added)
     assert rows(found, "file", "line", "rule_id", "cwe", "severity") == [
         ("a.go", 1, "MY1", "CWE-1", "LOW"), ("a.go", 1, "MY3", "CWE-3", "LOW"), ("b.rb", 1, "MY2", "CWE-2", "HIGH")]
+
+
+def test_split_prefilter_and_patterns_are_one_generated_stage(spark, files, capsys):
+    """Patterns stand in generated code above the scan, and the text is split once for all packs."""
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        scan.detect(files({"a.go": "x"}), ["lines", "solidity", "contracts", "secrets"]).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", True)
+    out = capsys.readouterr().out
+    stage = next(s for s in out.split("== Subtree") if "posexplode" in s)
+    plan, code = stage.split("Generated code:")
+    lines = [line for line in plan.splitlines() if re.search(r"Generate |Filter |Project ", line)]
+    assert lines and all("*(" in line for line in lines)
+    assert "InsecureSkipVerify" in plan and "RLIKE" in plan and ".matcher(" in code
+    assert plan.count("posexplode(") == 1
+
+
+def test_packs_of_one_pass_do_not_disturb_each_other(spark, files):
+    """All packs together find what each finds alone, with rare line ends, bad bytes and long files."""
+    texts = {
+        "a.sol": "x = tx.origin == y;\r\nrequire(tx.origin == z); selfdestruct(a);\n" + "a.call(x);\n" * 400,
+        "b.rs": "use solana_program::x;\nlet d = try_from_slice_unchecked(&a);\x0ctotal += 1;\nMd5::new();",
+        "c.js": "eval(x); // token = 'Zx81kQ0pLm29VbTr5-Yw'\nrun('ev' + 'al', token = \"Zx81kQ0pLm29VbTr5-Yw\");\x85eval(y)",
+        "d.go": "md5.New()\n# md5.New()\n" + "plain\n" * 1000 + "md5.New()", "e.fc": "() f() { int r = random(); }", "f.js": "",
+    }
+    df = files(texts)
+    columns = ["file", "line", "rule_id", "seq", "evidence"]
+    apart = sorted(r for p in scan.PACKS for r in rows(scan.detect(df, [p]), *columns))
+    assert rows(scan.detect(df), *columns) == apart and len(apart) > 400
+    assert ("d.go", 1003, "G001") in [r[:3] for r in apart]
