@@ -143,11 +143,27 @@ SELECT target, CASE WHEN granted IS NULL THEN 'DENIED' ELSE 'AUTHORIZED' END AS
   CASE WHEN granted IS NOT NULL THEN 'scope match' WHEN covered > 0 THEN 'authorization expired' ELSE 'out of scope' END AS detail,
   fingerprint AS authorization, organization
 FROM decided LEFT JOIN auths_fp ON granted = k""",
+    "requests": f"""
+SELECT event_id, 'h' || (user_id % 97) || '.example.com/' || event_type || '/x' || (event_id % 400) AS target,
+  event_id % 5 = 0 AS forbidden FROM events""",
+    "wild_scopes": f"""
+SELECT s_suppkey AS k, s_name AS organization, left(sha256(s_name || '|nation ' || s_nationkey || '|ref-' || s_suppkey || '|' ||
+    CASE WHEN s_suppkey % 3 = 0 THEN '2020-01-01' ELSE '2999-12-31' END), 16) AS fingerprint, s_suppkey % 3 <> 0 AS alive,
+  unnest(['*/x' || s_suppkey, '*h' || s_suppkey || '.example*/click/*', 'h?*.example.com/[pv]*/x' || s_suppkey || '?',
+    {pick(D.SCOPES, 's_suppkey % 6')}]) AS pattern FROM supplier""",
+    "wild_decisions": """
+SELECT target, CASE WHEN granted IS NULL THEN 'DENIED' ELSE 'AUTHORIZED' END AS status,
+  CASE WHEN granted IS NOT NULL THEN 'scope match' WHEN covered > 0 THEN 'authorization expired' ELSE 'out of scope' END AS detail,
+  fingerprint AS authorization, organization FROM (
+    SELECT target, min(k) FILTER (alive) AS granted, count(k) AS covered FROM (SELECT DISTINCT target FROM requests) t
+    LEFT JOIN wild_scopes ON target GLOB pattern OR starts_with(target, rtrim(pattern, '*')) GROUP BY target)
+  LEFT JOIN (SELECT DISTINCT k, fingerprint, organization FROM wild_scopes) g ON granted = g.k""",
 }
 NEEDS = {
     "split": ["seeded"], "arrays": ["split"], "lines": ["arrays"], "prints": ["event_findings"],
     "weights": ["event_findings"], "osv": ["parts_osv"], "auths_fp": ["auths"],
     "decided": ["auths_fp", "scopes"], "decisions": ["decided"],
+    "wild_decisions": ["requests", "wild_scopes"],
 }
 
 
@@ -330,6 +346,9 @@ for i, lang in enumerate(L.LANGUAGES):
 add("f07_context_gate", meta(pack_sql("java", ext_in("java"))) + " WHERE rule_id = 'A005'", ["lines", "rules"])
 add("f08_min_severity", "SELECT seq, severity FROM event_findings WHERE severity IN ('HIGH', 'CRITICAL')", ["event_findings"])
 add("f09_rules_by_language", f"SELECT rule_id, count(*) AS hits FROM ({SOURCE}) WHERE rule_id LIKE 'H%' GROUP BY 1", ["lines"])
+add("f11_refusals", f"""
+SELECT event_id, CASE WHEN forbidden THEN 'REFUSED' ELSE 'DENIED' END AS status,
+  CASE WHEN forbidden THEN 'forbidden action' ELSE 'out of scope' END AS detail, CAST(NULL AS VARCHAR) AS organization FROM requests""", ["requests"])
 add("f11_deny_list", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'REFUSED' ELSE 'ALLOWED' END AS status FROM events")
 CHAIN = f"CASE WHEN {contains_any('content', C.COSMWASM_MARKERS)} THEN 'COSMWASM' WHEN {contains_any('content', C.SOLANA_MARKERS)} THEN 'SOLANA' END"
 add("f12_chain_of", f"SELECT path, {CHAIN} AS chain FROM seeded WHERE ext = '.rs'", ["seeded"])
@@ -467,6 +486,10 @@ add("j04_baseline_gate", "SELECT seq, fingerprint FROM prints WHERE fingerprint
 add("j05_suppressed", "SELECT count(*) AS suppressed FROM prints WHERE fingerprint IN (SELECT fingerprint FROM prints WHERE line % 2 = 0)", ["prints"])
 add("j04_flagged", "SELECT fingerprint IN (SELECT fingerprint FROM prints WHERE line % 2 = 0) AS is_known, count(*) AS findings FROM prints GROUP BY 1", ["prints"])
 add("j06_authorization", "SELECT target, status, detail, \"authorization\", organization FROM decisions", ["decisions"])
+add("j06_wildcard_scopes", "SELECT target, status, detail, \"authorization\", organization FROM wild_decisions", ["wild_decisions"])
+add("k04_audit_requests", """
+SELECT event_id, CASE WHEN forbidden THEN 'REFUSED' ELSE status END AS action, target, CASE WHEN NOT forbidden THEN organization END AS organization,
+  CASE WHEN forbidden THEN 'forbidden action' ELSE detail END AS detail, true AS stamped FROM requests JOIN wild_decisions USING (target)""", ["wild_decisions"])
 add("w06_first_authorization", "SELECT target, organization FROM decisions WHERE status = 'AUTHORIZED'", ["decisions"])
 add("j11_assessment", f"""
 SELECT target, organization, 'R' || i AS rule_id, {pick(['CWE-89', 'CWE-78', 'CWE-22'], 'i')} AS cwe, page_id % 3 > 0 AND i * (page_id % 2) <> 0 AS statically_reachable,
@@ -753,4 +776,4 @@ T01 = secrets_sql(DOC_SECRET_LINES, "ext").replace("round(entropy, 3) AS entropy
 add("t01_stream_new_findings", f"""
 SELECT any_value(file) AS file, any_value(evidence) AS evidence, 'ENT-SECRET' AS rule_id FROM (SELECT *, {PRINT} AS fingerprint FROM ({T01}))
 GROUP BY fingerprint HAVING bool_and(line % 2 <> 0)""", extra=[DOC_LINES])
-add("t02_stream_decisions", "SELECT status AS action, target, organization, detail FROM decisions", ["decisions"])
+add("t02_stream_decisions", "SELECT page_id, status AS action, target, organization, detail FROM pages JOIN decisions ON url = target", ["decisions"])

@@ -1,9 +1,9 @@
-"""Authorizations, the deny list and assessments.
+"""Authorizations, the deny list, decisions with their log, and assessments.
 
 A target is covered by an authorization when a scope pattern matches it as a
-glob or, without its trailing stars, as a prefix.  Either way the target starts
-with the literal text before the pattern's first wildcard.  That text is the
-equi-join key, so no target meets a pattern it cannot match.
+glob or, without its trailing stars, as a prefix (``scopes``).  Decisions are
+made once per distinct target and joined back to the requests, so every request
+has its own row in the log.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ravelin import catalog
 from ravelin.functions import text as T
-from ravelin.operators import algebra
+from ravelin.operators import algebra, scopes
 
 # Actions that are refused whatever the authorization.
 FORBIDDEN = [
@@ -72,12 +72,6 @@ def is_valid(on: Column | None = None) -> Column:
     return F.coalesce(F.try_to_date("expires", "yyyy-MM-dd") >= day, F.lit(False))
 
 
-def covers(target: Column, pattern: Column) -> Column:
-    return F.regexp(target, T.glob_regex(pattern)) | target.startswith(
-        F.rtrim(pattern, F.lit("*"))
-    )
-
-
 def decide(
     targets: DataFrame, authorizations: DataFrame, on: Column | None = None
 ) -> DataFrame:
@@ -98,24 +92,8 @@ def decide(
         )
         .groupBy("pattern")
         .agg(F.min("grant").alias("grant"))
-        .withColumn("head", T.glob_head(F.col("pattern")))
-    )
-    # A scalar: the few lengths that literal heads have.
-    lengths = patterns.agg(F.collect_set(F.length("head")).alias("n")).scalar()
-    probes = (
-        targets.select("target")
-        .distinct()
-        .withColumn("n", F.explode(lengths))
-        .where(F.col("n") <= F.length("target"))
-        .select("target", F.expr("substring(target, 1, n)").alias("head"))
-    )
-    matched = (
-        probes.join(patterns, ["head"])
-        .where(covers(F.col("target"), F.col("pattern")))
-        .groupBy("target")
-        .agg(F.min("grant").alias("grant"))
-        .withColumn("covered", F.lit(True))
     )
+    matched = scopes.matched(targets, patterns).withColumn("covered", F.lit(True))
     any_on_file = authorizations.exists()
     return (
         targets.select("target")
@@ -135,12 +113,35 @@ def decide(
     )
 
 
+def decide_requests(
+    requests: DataFrame, authorizations: DataFrame, action: str | None = None, on: Column | None = None
+) -> DataFrame:
+    """Every row of ``requests`` (target, ...) with status, detail, authorization, organization.
+
+    Equal requests are decided once and answered one by one.  Where ``action`` names a column,
+    requests for a forbidden action are REFUSED whatever the authorization; a null target is
+    covered by nothing.
+    """
+    decided = decide(requests.where("target IS NOT NULL"), authorizations, on)
+    decided = decided.withColumnRenamed("target", "_target")
+    met = requests.join(decided, F.col("target") == F.col("_target"), "left").drop("_target")
+    refused = F.lit(False) if action is None else F.coalesce(is_forbidden(F.col(action)), F.lit(False))
+    answer = {
+        "status": F.when(refused, "REFUSED").otherwise(F.coalesce("status", F.lit("DENIED"))),
+        "detail": F.when(refused, "forbidden action").otherwise(F.coalesce("detail", F.lit("no target"))),
+        "authorization": F.when(~refused, F.col("authorization")),
+        "organization": F.when(~refused, F.col("organization")),
+    }
+    return met.withColumns(answer)
+
+
 def assess(
     findings: DataFrame, decisions: DataFrame, action: Column | None = None
 ) -> DataFrame:
     """Non-destructive assessment of findings on authorized targets.
 
-    ``findings`` carries a ``target``.  A forbidden action yields nothing.
+    ``findings`` carries a ``target``.  A forbidden action yields nothing here; its refusal
+    is a row of ``decide_requests``.
     """
     notes = F.broadcast(catalog.assessment_notes(findings.sparkSession))
     allowed = decisions.where("status = 'AUTHORIZED'")
@@ -189,14 +190,22 @@ def _now() -> Column:
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
 
 
-def audit_rows(decisions: DataFrame) -> DataFrame:
-    """Decisions as rows of the append-only log."""
+def audit_rows(decisions: DataFrame, keep: tuple = ()) -> DataFrame:
+    """Decisions as rows of the append-only log, with the ``keep`` columns of their requests."""
     return decisions.select(
-        _now().alias("ts"),
+        *keep, _now().alias("ts"),
         F.col("status").alias("action"),
         "target", "authorization", "organization", "detail",
     )
 
 
-def append_audit(decisions: DataFrame, path: str) -> None:
-    audit_rows(decisions).write.mode("append").json(path)
+def append_audit(decisions: DataFrame, path: str, run: str | None = None, keep: tuple = ()) -> None:
+    """Add the decisions to the log at ``path``.
+
+    A ``run`` has a folder of its own, so writing it again replaces it and adds nothing.
+    """
+    rows = audit_rows(decisions, keep)
+    if run is None:
+        rows.write.mode("append").json(path)
+    else:
+        rows.write.mode("overwrite").json(f"{path}/run={run}")

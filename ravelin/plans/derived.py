@@ -209,6 +209,40 @@ def authorizations(spark, d) -> DataFrame:
     return governance.load_authorizations(texts, "json", "s_suppkey")
 
 
+def wildcard_authorizations(spark, d) -> DataFrame:
+    """Every supplier with a scope that begins with a wildcard, one from a list, and one by class."""
+    k = F.col("s_suppkey")
+    name = k.cast("string")
+    entry = F.struct(
+        F.col("s_name").alias("organization"),
+        F.array(
+            F.concat(F.lit("*/x"), name), F.concat(F.lit("*h"), name, F.lit(".example*/click/*")),
+            F.concat(F.lit("h?"), F.lit("*.example.com/[pv]*/x"), name, F.lit("?")), pick(SCOPES, k % 6),
+        ).alias("scope"),
+        F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("authorized_by"),
+        F.concat(F.lit("ref-"), name).alias("permission_ref"),
+        F.when(k % 3 == 0, "2020-01-01").otherwise("2999-12-31").alias("expires"),
+    )
+    texts = read_table(spark, d, "supplier").select(
+        "s_suppkey", F.to_json(F.struct(F.array(entry).alias("authorizations"))).alias("json")
+    )
+    return governance.load_authorizations(texts, "json", "s_suppkey")
+
+
+def requests(spark, d) -> DataFrame:
+    """Every event as a request with an id: a target and an action, some of them forbidden."""
+    e, u = F.col("event_id"), F.col("user_id")
+    words = F.array(*[F.lit(w) for w in governance.FORBIDDEN])
+    return read_table(spark, d, "events").select(
+        "event_id",
+        F.concat(
+            F.lit("h"), (u % 97).cast("string"), F.lit(".example.com/"), "event_type", F.lit("/x"), (e % 400).cast("string")
+        ).alias("target"),
+        F.when(e % 5 == 0, F.concat(F.lit("  "), F.upper(F.element_at(words, (e % 14 + 1).cast("int")))))
+        .otherwise(F.col("event_type")).alias("asked"),
+    )
+
+
 def targets(spark, d) -> DataFrame:
     return read_table(spark, d, "pages").select(F.col("url").alias("target"))
 

@@ -241,6 +241,18 @@ def k04_audit_rows(spark, d):
     return rows.select("action", "target", "organization", "detail", F.col("ts").isNotNull().alias("stamped"))
 
 
+@query
+def k04_audit_requests(spark, d):
+    """One log row per request, read back; the run is written twice and counts once."""
+    path = D.scratch(spark, "k04-log")
+    decided = governance.decide_requests(D.requests(spark, d), D.wildcard_authorizations(spark, d), "asked")
+    for _ in range(2):
+        governance.append_audit(decided, path, "first", ("event_id",))
+    rows = "event_id long, ts string, action string, target string, authorization string, organization string, detail string"
+    log = spark.read.schema(rows).json(path)
+    return log.select("event_id", "action", "target", "organization", "detail", F.col("ts").isNotNull().alias("stamped"))
+
+
 # --- filters -----------------------------------------------------------------
 
 @query
@@ -324,6 +336,13 @@ def f11_deny_list(spark, d):
     )
 
 
+@query
+def f11_refusals(spark, d):
+    """Requests with the part of the deny list in the decision."""
+    decided = governance.decide_requests(D.requests(spark, d), D.authorizations(spark, d), "asked")
+    return decided.select("event_id", "status", "detail", "organization")
+
+
 @query
 def f12_chain_of(spark, d):
     rust = seeded_files(spark, d).where("ext = '.rs'")
@@ -507,6 +526,12 @@ def j06_authorization(spark, d):
     return governance.decide(D.targets(spark, d), D.authorizations(spark, d))
 
 
+@query
+def j06_wildcard_scopes(spark, d):
+    """Scopes that begin with a wildcard, looked up by their rarest literal text."""
+    return governance.decide(D.requests(spark, d), D.wildcard_authorizations(spark, d))
+
+
 @query
 def j07_dynamic_variables(spark, d):
     return found(spark, d, ["python"]).where("rule_id = 'P010'")
@@ -990,7 +1015,7 @@ def t02_stream_decisions(spark, d):
     out, checkpoint = D.scratch(spark, "t02-out"), D.scratch(spark, "t02-checkpoint")
     schema_ = read_table(spark, d, "pages").schema
     pages = spark.readStream.schema(schema_).option("pathGlobFilter", "pages.parquet").parquet(d)
-    targets = pages.select(F.col("url").alias("target"))
-    incremental.log_decisions(targets, D.authorizations(spark, d), out, checkpoint)
-    rows = "ts string, action string, target string, authorization string, organization string, detail string"
-    return spark.read.schema(rows).json(out).select("action", "target", "organization", "detail")
+    targets = pages.select("page_id", F.col("url").alias("target"))
+    incremental.log_decisions(targets, D.authorizations(spark, d), out, checkpoint, keep=("page_id",))
+    rows = "page_id long, ts string, action string, target string, authorization string, organization string, detail string"
+    return spark.read.schema(rows).json(out).select("page_id", "action", "target", "organization", "detail")

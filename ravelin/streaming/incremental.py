@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.operators import baseline
+from ravelin.operators import baseline, governance
 from ravelin.plans import scan
 from ravelin.sources import files as S
 
@@ -59,16 +59,19 @@ def run_once(stream: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def log_decisions(stream: DataFrame, authorizations: DataFrame, out: str, checkpoint: str) -> None:
-    """Decide on a stream of targets and append one log row per decision.
+def log_decisions(
+    stream: DataFrame, authorizations: DataFrame, out: str, checkpoint: str,
+    action: str | None = None, keep: tuple = (),
+) -> None:
+    """Decide on a stream of requests and append one log row per request.
 
     A batch is written to a folder of its own query and number, so a retried batch
     replaces itself and no other query's rows, also under a new checkpoint.
     """
-    from ravelin.operators import governance
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = governance.audit_rows(governance.decide(batch, authorizations))
+        decided = governance.decide_requests(batch, authorizations, action)
+        rows = governance.audit_rows(decided, keep)
         # The checkpoint names the query: its id survives restarts and is new with a new one.
         query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         rows.write.mode("overwrite").json(f"{out}/query={query_id}/batch={batch_id}")

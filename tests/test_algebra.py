@@ -3,6 +3,7 @@
 import datetime as dt
 import fnmatch
 import json
+import random
 
 import pytest
 from conftest import rows
@@ -214,6 +215,37 @@ def test_decisions_equal_brute_force(spark):
     assert [r[0] for r in none] == ["no authorization file"]
 
 
+def test_wildcard_scopes_equal_brute_force(spark):
+    """Heads, tails, grams, classes, open brackets, literal stars and text-free globs."""
+    draw = random.Random(8)
+    alphabet = ["a", "b", "/", ".", "*", "?", "[ab]", "[!a]", "[", "]", "[]a]", "core", "example", "ä", "**", "x1"]
+    scopes = ["".join(draw.choices(alphabet, k=draw.randrange(0, 7))) for _ in range(150)] + ["*", "", "?*", "[ab]*", "*xample"]
+    words = ["a", "b", "/", ".", "[", "]", "*", "core", "example", "ä", "x1", "x"]
+    targets = ["".join(draw.choices(words, k=draw.randrange(0, 7))) for _ in range(400)]
+    for chosen in (scopes, scopes[:40], scopes[-2:], scopes[-3:-1]):
+        auths = [(f"o{i:03}", [p], "2999-01-01" if i % 3 else "2000-01-01") for i, p in enumerate(chosen)]
+        df = spark.createDataFrame([(t,) for t in targets], "target string")
+        got = {r.target: (r.organization, r.detail) for r in governance.decide(df, authorizations(spark, auths)).collect()}
+        for t in targets:
+            cover = [(o, e) for o, (p,), e in auths if fnmatch.fnmatchcase(t, p) or t.startswith(p.rstrip("*"))]
+            granted = [o for o, e in cover if e > "2001"]
+            want = (granted[0], "scope match") if granted else (None, "authorization expired" if cover else "out of scope")
+            assert got[t] == want, t
+
+
+def test_every_request_has_its_row(spark, tmp_path):
+    asked = [(1, "/srv/app", "scan"), (2, "/srv/app", "scan"), (3, "/srv/app", "scan"), (4, "/srv/app", " Wipe "), (5, None, "scan"), (6, "no", None)]
+    df = spark.createDataFrame(asked, "id long, target string, wanted string")
+    decided = governance.decide_requests(df, authorizations(spark, AUTHS[:1]), "wanted")
+    want = [(1, "AUTHORIZED"), (2, "AUTHORIZED"), (3, "AUTHORIZED"), (4, "REFUSED"), (5, "DENIED"), (6, "DENIED")]
+    assert rows(decided, "id", "status") == want
+    assert rows(decided.where("id IN (4, 5)"), "detail", "organization") == [("forbidden action", None), ("no target", None)]
+    for run in ("r1", "r1", "r2"):
+        governance.append_audit(decided, str(tmp_path / "log"), run, ("id",))
+    log = spark.read.json(str(tmp_path / "log"))
+    assert rows(log, "run", "id") == [(run, i) for run in ("r1", "r2") for i in range(1, 7)]
+
+
 def test_incomplete_authorizations_drop(spark):
     text = json.dumps({"authorizations": [{"organization": "a"}, dict(organization="b", scope=["*"], authorized_by="x", permission_ref="r", expires="2999-01-01")]})
     df = spark.createDataFrame([(0, text), (1, "[]"), (2, "{bad")], "i int, j string")
