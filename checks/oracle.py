@@ -294,9 +294,13 @@ add("k02_sarif_results", f"""
 SELECT rule_id, rule_index, CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error' WHEN severity = 'MEDIUM' THEN 'warning' WHEN severity = 'LOW' THEN 'note' ELSE 'none' END AS level,
   {case_map('severity', {'CRITICAL': '9.3', 'HIGH': '7.5', 'MEDIUM': '5.0', 'LOW': '3.1', 'INFO': '0.0'})} AS security_severity,
   file, greatest(1, line) AS start_line, seq FROM sarif""", ["event_findings"], [SARIF_ALL])
+add("k02_sarif_parts", f"""
+SELECT rule_id, rule_index, CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error' WHEN severity = 'MEDIUM' THEN 'warning' WHEN severity = 'LOW' THEN 'note' ELSE 'none' END AS level,
+  title AS message, file, greatest(1, line) AS start_line, first_value(coalesce(cwe, '')) OVER (PARTITION BY rule_id ORDER BY row_no) AS rule_cwe FROM sarif""", ["event_findings"], [SARIF_ALL])
 add("k02_sarif_document", """
 SELECT '2.1.0' AS version, count(*) AS results, count(DISTINCT rule_id) AS rules, arg_min(rule_id, row_no) AS first_rule, arg_min(rule_id, row_no) AS rule_zero FROM sarif""", ["event_findings"], [SARIF])
 add("k03_baseline_save", "SELECT DISTINCT fingerprint FROM prints ORDER BY 1", ["prints"])
+add("k03_baseline_saved", "SELECT fingerprint, count(*) OVER () AS saved FROM (SELECT DISTINCT fingerprint FROM prints)", ["prints"])
 add("k04_audit_rows", "SELECT status AS action, target, organization, detail, true AS stamped FROM decisions", ["decisions"])
 
 add("f01_language", f"SELECT path, {LANG()} AS language FROM seeded", ["seeded"])
@@ -770,10 +774,14 @@ def escape(text):
 
 add("e13_html_escape", f"SELECT page_id, md5({escape('html')}) AS escaped, md5({unescape('html')}) AS unescaped FROM pages")
 add("e14_glob", "SELECT url, url GLOB 'http://*.example.com/??/*' AS g0, url GLOB '*[0-9]' AS g1, regexp_matches(url, '\\.[^h].*#top$') AS g2, starts_with(url, 'https://m.') AS g3 FROM pages")
-add("e15_version_keys", f"SELECT l_orderkey, l_linenumber, version, {vkey('version')} < [3, 2] AS below, true AS same FROM deps", ["deps"])
+add("e15_version_keys", f"SELECT l_orderkey, l_linenumber, version, {vkey('version')} < [3, 2] AS below, version IN ('3.1', '3.1.0') AS same, l_orderkey % 12 < 9 AS earlier, true AS before_release FROM deps", ["deps"])
 PRINT = "left(sha1('ENT-SECRET|' || replace(file, 'doc/', '') || '|CWE-798|High-entropy ' || encoding || ' string (entropy=' || printf('%.2f', raw) || ')' || CASE WHEN var_name <> '' THEN ' in ''' || var_name || '''' ELSE '' END || '|' || evidence), 16)"
 T01 = secrets_sql(DOC_SECRET_LINES, "ext").replace("round(entropy, 3) AS entropy FROM firsts", "entropy AS raw FROM firsts")
 add("t01_stream_new_findings", f"""
 SELECT any_value(file) AS file, any_value(evidence) AS evidence, 'ENT-SECRET' AS rule_id FROM (SELECT *, {PRINT} AS fingerprint FROM ({T01}))
 GROUP BY fingerprint HAVING bool_and(line % 2 <> 0)""", extra=[DOC_LINES])
+ONCE = f"""
+SELECT any_value(file) AS file, any_value(evidence) AS evidence, 'ENT-SECRET' AS rule_id FROM (SELECT *, {PRINT} AS fingerprint FROM ({T01})) GROUP BY fingerprint"""
+add("t01_stream_two_runs", ONCE, extra=[DOC_LINES])
+add("t01_stream_remembered", ONCE, extra=[DOC_LINES])
 add("t02_stream_decisions", "SELECT page_id, status AS action, target, organization, detail FROM pages JOIN decisions ON url = target", ["decisions"])

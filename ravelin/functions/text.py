@@ -140,6 +140,8 @@ def version_key(version: Column) -> Column:
 
     Numbers of any length compare by value, build metadata (after '+') does not count, and
     trailing zeros do not either: 1.2 and 1.2.0 are the same release, 1.2.0-rc1 is below it.
+    Pre-release identifiers compare one by one: numbers by value and below words, and a longer
+    list is above its beginning, so 1.2.0-rc < 1.2.0-rc.9 < 1.2.0-rc.10 < 1.2.0-rc.x.
     """
     release = F.regexp_extract(version, r"^[vV=]*([^-+]*)", 1)
     release = F.regexp_replace(release, r"(\.0+)+$", "")
@@ -149,9 +151,16 @@ def version_key(version: Column) -> Column:
         digits = F.regexp_extract(part, r"^0*(\d*)", 1)
         return F.struct(F.length(digits).alias("n"), digits.alias("digits"))
 
+    def identifier(part):
+        word = ~part.rlike(r"^\d+$")
+        return F.struct(
+            word.alias("word"), number(F.when(word, "").otherwise(part)).alias("number"),
+            F.when(word, part).otherwise("").alias("text"),
+        )
+
     key = F.struct(
         F.transform(F.split(release, r"\."), number).alias("release"),
         (before == "").alias("final"),
-        before.alias("before"),
+        F.transform(F.split(before, r"\."), identifier).alias("before"),
     )
     return F.when(version.isNotNull(), key)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin import schema
+from ravelin.sources.tables import written
 from ravelin.operators.contracts import web3_source
 
 # Limits of the reports.
@@ -56,7 +57,12 @@ def union_all(parts: list) -> DataFrame:
 
 
 def primary_or_fallback(primary: DataFrame, fallback: DataFrame) -> DataFrame:
-    """``primary`` if it has rows, else ``fallback``; decided inside the job."""
+    """``primary`` if it has rows, else ``fallback``.
+
+    The primary is computed once and written; whether it has rows is read from that table
+    inside the job.
+    """
+    primary = written(primary, "primary")
     return primary.unionByName(fallback.where(~primary.exists()), allowMissingColumns=True)
 
 
@@ -218,45 +224,63 @@ def top_weaknesses(df: DataFrame, n: int | None = None) -> DataFrame:
     return (ranked if n is None else ranked.limit(n)).drop("first")
 
 
-def summary(df: DataFrame, top_classes: int = TOP_CWE) -> DataFrame:
-    """One line of text: total, counts per severity, top classes.
+def summary(df: DataFrame, top_classes: int | None = None) -> DataFrame:
+    """One line of text: total, counts per severity, classes by frequency (the first
+    ``top_classes`` where a number is given).
 
-    The findings are reduced to one cell per severity and class; what is
-    gathered in the second step is a table of that size.
+    Findings are reduced to a cell per severity and class, cells to a row per severity and per
+    class; only the rows that the text shows are gathered, linear in what it shows.
     """
     cells = df.groupBy(
         F.coalesce("severity", F.lit("INFO")).alias("severity"), truthy("cwe").alias("cwe")
     ).agg(F.count("*").alias("n"), F.min(order_of(df)).alias("first"))
-    gathered = cells.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
-        F.collect_list(F.struct("severity", "cwe", "n", "first")).alias("cells"),
-    )
-    cell = F.col("cells")
 
-    def count(of):
-        return F.aggregate(of["n"], F.lit(0).cast("bigint"), lambda a, n: a + n)
+    def joined(rows, sort, text):
+        entry = F.struct(*sort, text.alias("text"))
+        texts = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["text"])
+        return rows.agg(F.array_join(texts, ", "))
 
-    levels = F.transform(
-        F.array_sort(F.array_distinct(cell["severity"])),
-        lambda s: F.concat_ws(" ", s, count(F.filter(cell, lambda c: c["severity"] == s))),
+    levels = cells.groupBy("severity").agg(F.sum("n").alias("n"))
+    levels = joined(levels, ["severity"], F.concat_ws(" ", "severity", F.col("n").cast("string")))
+    ranked = (
+        cells.where("cwe IS NOT NULL").groupBy("cwe")
+        .agg((-F.sum("n")).alias("down"), F.min("first").alias("first"))
     )
-
-    def weigh(cwe):
-        mine = F.filter(cell, lambda c: c["cwe"] == cwe)
-        return F.struct(
-            (-count(mine)).alias("n"), F.array_min(mine["first"]).alias("first"), cwe.alias("cwe")
-        )
-
-    classes = F.filter(F.array_distinct(cell["cwe"]), lambda c: c.isNotNull())
-    top = F.transform(
-        F.slice(F.array_sort(F.transform(classes, weigh)), 1, top_classes),
-        lambda t: F.concat(t["cwe"], F.lit(" x"), (-t["n"]).cast("string")),
+    if top_classes is not None:
+        ranked = ranked.orderBy("down", "first").limit(top_classes)
+    top = joined(ranked, ["down", "first"], F.concat("cwe", F.lit(" x"), (-F.col("down")).cast("string")))
+    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0)))
+    row = df.sparkSession.range(1).select(
+        total.scalar().alias("total"), levels.scalar().alias("levels"), top.scalar().alias("top")
     )
     text = F.concat(
-        F.col("total").cast("string"), F.lit(" findings ("), F.array_join(levels, ", "),
-        F.lit("). Most common: "), F.when(F.size(top) > 0, F.array_join(top, ", ")).otherwise("n/a"),
-        F.lit("."),
+        F.col("total").cast("string"), F.lit(" findings ("), F.col("levels"), F.lit("). Most common: "),
+        F.when(F.col("top") != "", F.col("top")).otherwise("n/a"), F.lit("."),
     )
-    return gathered.select(
+    return row.select(
         F.when(F.col("total") == 0, "No findings provided.").otherwise(text).alias("summary")
     )
+
+
+def numbered(df: DataFrame, order, name: str, buckets: int = 64) -> DataFrame:
+    """``df`` with ``name``, its place from 0 by ``order``, by two-level prefix sums.
+
+    A row of each of some hash groups is a splitter; rows are counted and numbered between
+    splitters, and every stretch starts where those before it end.  No task sees all rows.
+    Equal orders get places of their own, in any order.
+    """
+    row = df.withColumn("_order", order)
+    mark = F.xxhash64("_order")
+    some = row.groupBy(F.pmod(mark, F.lit(buckets)).alias("g")).agg(F.max_by("_order", mark).alias("_order"))
+    splitters = some.agg(F.array_sort(F.collect_list("_order"))).scalar()
+    placed = row.withColumn("_splitters", splitters).withColumn(
+        "_stretch", F.size(F.filter("_splitters", lambda s: s <= F.col("_order")))
+    ).drop("_splitters")
+    sizes = placed.groupBy("_stretch").agg(F.count("*").alias("n"))
+    # One row per stretch, at most ``buckets`` + 1.
+    before = Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_stretch").orderBy("_order"))
+    at = (F.col("_start") + F.col("_within") - 1).alias(name)
+    met = placed.withColumn("_within", within).join(F.broadcast(starts), "_stretch")
+    return met.select(*df.columns, at)

@@ -1,10 +1,13 @@
 """JSON and SARIF reports."""
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravelin import schema
 from ravelin.operators import algebra
+from ravelin.sources.tables import written
 
 # SARIF level and score per severity.
 SARIF_LEVEL = {
@@ -53,18 +56,14 @@ def sarif_results(df: DataFrame, limit: int | None = None) -> DataFrame:
         }
     )
     first = top.groupBy("rule_id").agg(F.min("_order").alias("_first"))
-    index = F.row_number().over(Window.orderBy("_first")) - 1
-    return top.join(first.withColumn("rule_index", index.cast("int")), "rule_id")
-
+    return top.join(algebra.numbered(first, F.col("_first"), "rule_index"), "rule_id").withColumn(
+        "rule_index", F.col("rule_index").cast("int")
+    )
 
-def sarif(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """One row with the SARIF document as JSON text.
 
-    A document is one value: give a limit, or write ``sarif_results`` where findings are many.
-    """
-    rows = sarif_results(df, limit)
+def _rule() -> Column:
     cwe = F.coalesce("cwe", F.lit(""))
-    rule = F.struct(
+    return F.struct(
         F.col("rule_id").alias("id"),
         F.col("rule_id").alias("name"),
         F.struct(F.coalesce("title", "message", "rule_id").alias("text")).alias("shortDescription"),
@@ -78,7 +77,10 @@ def sarif(df: DataFrame, limit: int | None = None) -> DataFrame:
             cwe.alias("cwe"),
         ).alias("properties"),
     )
-    result = F.struct(
+
+
+def _result() -> Column:
+    return F.struct(
         F.col("rule_id").alias("ruleId"),
         F.col("rule_index").alias("ruleIndex"),
         F.col("level"),
@@ -96,30 +98,55 @@ def sarif(df: DataFrame, limit: int | None = None) -> DataFrame:
             F.coalesce("source", F.lit("")).alias("source"),
         ).alias("properties"),
     )
-    collected = rows.agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_order").alias("o"), result.alias("r")))).alias("results"),
-        F.array_sort(
-            F.collect_list(F.struct(F.col("rule_index").alias("i"), F.col("_order").alias("o"), rule.alias("r")))
-        ).alias("rules"),
-    )
-    first_rules = F.filter(
-        F.col("rules"), lambda x, i: (i == 0) | (x["i"] != F.col("rules")[F.greatest(i - 1, F.lit(0))]["i"])
-    )
-    run = F.struct(
-        F.struct(
-            F.struct(
-                F.lit(TOOL_NAME).alias("name"),
-                F.transform(first_rules, lambda x: x["r"]).alias("rules"),
-            ).alias("driver")
-        ).alias("tool"),
-        F.col("results.r").alias("results"),
-    )
-    document = F.struct(
-        F.lit(SARIF_SCHEMA).alias("$schema"),
-        F.lit(SARIF_VERSION).alias("version"),
-        F.array(run).alias("runs"),
-    )
-    return collected.select(F.to_json(document).alias("sarif"))
+
+
+def sarif_parts(df: DataFrame, limit: int | None = None) -> dict[str, DataFrame]:
+    """The SARIF document in parts, each a frame (place, value) of text lines in order of ``place``.
+
+    Joined in the order of the names and places the lines are one JSON document.  Findings are
+    numbered by two-level prefix sums; each is one line and nothing is gathered.
+    """
+    spark = df.sparkSession
+    rows = written(algebra.numbered(sarif_results(df, limit), F.col("_order"), "place"), "sarif")
+    firsts = rows.groupBy("rule_index").agg(F.min_by(_rule(), "place").alias("rule"))
+
+    def fixed(text):
+        return spark.range(1).select(F.col("id").alias("place"), F.lit(text).alias("value"))
+
+    def listed(rows, place, body):
+        comma = F.when(place == 0, "").otherwise(",")
+        return rows.select(place.cast("long").alias("place"), F.concat(comma, F.to_json(body)).alias("value"))
+
+    quoted = [json.dumps(v) for v in (SARIF_SCHEMA, SARIF_VERSION, TOOL_NAME)]
+    head = '{{"$schema":{},"version":{},"runs":[{{"tool":{{"driver":{{"name":{},"rules":['.format(*quoted)
+    return {
+        "0-head": fixed(head),
+        "1-rules": listed(firsts, F.col("rule_index"), F.col("rule")),
+        "2-between": fixed(']}},"results":['),
+        "3-results": listed(rows, F.col("place"), _result()),
+        "4-tail": fixed("]}]}"),
+    }
+
+
+def write_sarif(df: DataFrame, path: str, limit: int | None = None) -> None:
+    """The SARIF document as text files below ``path``, range-sorted: all files joined in the order of
+    their names are the document."""
+    for name, rows in sarif_parts(df, limit).items():
+        ordered = rows if name[0] in "024" else rows.repartitionByRange("place").sortWithinPartitions("place")
+        ordered.select("value").write.mode("overwrite").text(f"{path}/{name}")
+
+
+def sarif(df: DataFrame, limit: int) -> DataFrame:
+    """One row with the SARIF document of the first ``limit`` findings as JSON text.
+
+    A document in one value must be small, so the limit is asked for; ``write_sarif`` has none.
+    """
+    lines = None
+    for k, rows in enumerate(sarif_parts(df, limit).values()):
+        part = rows.select(F.struct(F.lit(k).alias("part"), "place", "value").alias("line"))
+        lines = part if lines is None else lines.unionByName(part)
+    ordered = F.array_sort(F.collect_list("line"))
+    return lines.agg(F.array_join(ordered["value"], "\n").alias("sarif"))
 
 
 def tool_summary(df: DataFrame, target: str, floor: str = "LOW") -> DataFrame:

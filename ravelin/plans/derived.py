@@ -1,14 +1,12 @@
 """Inputs that Spark derives from the driver tables: findings, result files of
 other tools as JSON, dependencies, authorizations."""
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin import schema
 from ravelin.operators import baseline, governance
-from ravelin.sources.tables import read_table
+from ravelin.sources.tables import read_table, scratch  # noqa: F401
 
 ECOSYSTEMS = ["npm", "PyPI", "Go", "crates.io"]
 
@@ -259,11 +257,3 @@ def page_findings(spark, d) -> DataFrame:
         F.when(k % 3 > 0, F.concat(F.lit("p"), k.cast("string"))).alias("file"),
         (F.col("i") * (k % 2)).cast("int").alias("line"),
     )
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared checkpoint directory of the cluster, else the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

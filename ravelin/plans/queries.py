@@ -230,11 +230,42 @@ def k01_tool_summary(spark, d):
     return report.tool_summary(D.event_findings(spark, d), "events", "high")
 
 
+@query
+def k02_sarif_parts(spark, d):
+    """The document of all findings from its files: one row per result, in document order."""
+    path = D.scratch(spark, "k02-sarif")
+    report.write_sarif(D.event_findings(spark, d), path)
+    lines = spark.read.text(f"{path}/3-results")
+    kind = (
+        "ruleId string, ruleIndex int, level string, message struct<text string>,"
+        " locations array<struct<physicalLocation struct<artifactLocation struct<uri string>, region struct<startLine int>>>>"
+    )
+    row = F.from_json(F.ltrim("value", F.lit(",")), kind)
+    place = F.col("row.locations")[0]["physicalLocation"]
+    rules = spark.read.text(f"{path}/1-rules").select(
+        F.from_json(F.ltrim("value", F.lit(",")), "id string, properties struct<cwe string>").alias("rule")
+    )
+    found_ = lines.select(row.alias("row")).select(
+        F.col("row.ruleId").alias("rule_id"), F.col("row.ruleIndex").alias("rule_index"), F.col("row.level").alias("level"),
+        F.col("row.message.text").alias("message"), place["artifactLocation"]["uri"].alias("file"),
+        place["region"]["startLine"].alias("start_line"),
+    )
+    return found_.join(rules.select(F.col("rule.id").alias("rule_id"), F.col("rule.properties.cwe").alias("rule_cwe")), "rule_id")
+
+
 @query
 def k03_baseline_save(spark, d):
     return baseline.fingerprints(D.event_findings(spark, d), "src")
 
 
+@query
+def k03_baseline_saved(spark, d):
+    """A baseline written and loaded again, with the count that writing it reports."""
+    path = D.scratch(spark, "k03-baseline")
+    count = baseline.save(D.event_findings(spark, d), "src", path)
+    return baseline.load(spark, path).withColumn("saved", F.lit(count))
+
+
 @query
 def k04_audit_rows(spark, d):
     rows = governance.audit_rows(governance.decide(D.targets(spark, d), D.authorizations(spark, d)))
@@ -605,7 +636,7 @@ def g07_top_weaknesses(spark, d):
 
 @query
 def g07_summary(spark, d):
-    return algebra.summary(D.event_findings(spark, d))
+    return algebra.summary(D.event_findings(spark, d), algebra.TOP_CWE)
 
 
 @query
@@ -987,10 +1018,13 @@ def e14_glob(spark, d):
 @query
 def e15_version_keys(spark, d):
     items = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", D.line_version().alias("version"))
+    pre = F.concat("version", F.lit("-rc."), (F.col("l_orderkey") % 12).cast("string"))
     return items.select(
         "l_orderkey", "l_linenumber", "version",
         (T.version_key(F.col("version")) < T.version_key(F.lit("3.2"))).alias("below"),
-        (T.version_key(F.concat("version", F.lit(".0"))) == T.version_key(F.col("version"))).alias("same"),
+        (T.version_key(F.col("version")) == T.version_key(F.lit("3.1.0.0"))).alias("same"),
+        (T.version_key(pre) < T.version_key(F.concat("version", F.lit("-rc.9")))).alias("earlier"),
+        (T.version_key(pre) < T.version_key(F.col("version"))).alias("before_release"),
     )
 
 
@@ -1010,6 +1044,39 @@ def t01_stream_new_findings(spark, d):
     return spark.read.parquet(out).select("file", "evidence", "rule_id")
 
 
+def arriving(spark, d, folder, out, known, checkpoint):
+    """One run over the documents that lie in ``folder`` by now."""
+    schema_ = read_table(spark, d, "documents").schema
+    arrivals = spark.readStream.schema(schema_).option("recursiveFileLookup", True).parquet(folder)
+    fresh = incremental.new_findings(as_files(arrivals), known, "doc", ["secrets"])
+    incremental.run_once(fresh, out, checkpoint)
+    return spark.read.parquet(out)
+
+
+@query
+def t01_stream_two_runs(spark, d):
+    """Half of the documents arrive, are scanned, and arrive again with the others: each finding once."""
+    folder, out, checkpoint = (D.scratch(spark, f"t01-{n}") for n in ("in", "twice", "twice-checkpoint"))
+    table, known = docs(spark, d), spark.createDataFrame([], "fingerprint string")
+    table.where("doc_id % 2 = 0").write.parquet(f"{folder}/first")
+    arriving(spark, d, folder, out, known, checkpoint)
+    table.write.parquet(f"{folder}/second")
+    return arriving(spark, d, folder, out, known, checkpoint).select("file", "evidence", "rule_id")
+
+
+@query
+def t01_stream_remembered(spark, d):
+    """As before, but the second run has a new checkpoint and knows the first from the baseline."""
+    folder, out, later, base = (D.scratch(spark, f"t01-{n}") for n in ("in", "one", "two", "base"))
+    table, known = docs(spark, d), spark.createDataFrame([], "fingerprint string")
+    table.where("doc_id % 2 = 0").write.parquet(f"{folder}/first")
+    one = arriving(spark, d, folder, out, known, f"{out}-checkpoint")
+    incremental.remember(spark, out, base)
+    table.write.parquet(f"{folder}/second")
+    two = arriving(spark, d, folder, later, baseline.load(spark, base), f"{later}-checkpoint")
+    return one.unionByName(two).select("file", "evidence", "rule_id")
+
+
 @query
 def t02_stream_decisions(spark, d):
     out, checkpoint = D.scratch(spark, "t02-out"), D.scratch(spark, "t02-checkpoint")

@@ -1,4 +1,6 @@
-"""Plain tables as input, spread over the cluster when the files are few."""
+"""Plain tables as input, spread over the cluster when the files are few; scratch tables."""
+
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,3 +19,18 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared checkpoint directory of the cluster, else the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from a scratch table: computed once, however often they are read."""
+    folder = scratch(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -19,30 +19,23 @@ def read_arrivals(spark: SparkSession, root: str, glob: str | None = None) -> Da
     return S.from_table(raw, F.col("path"), F.col("text"))
 
 
-def new_findings(
-    files: DataFrame,
-    known: DataFrame,
-    root: str,
-    packs: list,
-    delay: str = "1 hour",
-) -> DataFrame:
-    """Findings of a stream of files that neither the baseline nor the last
-    ``delay`` has seen.
-
-    Detection is a projection, so only fingerprints are kept as state, and the
-    watermark bounds it.  The clock is the arrival time: a file's own time may be
-    old and would make its findings late.
+def new_findings(files: DataFrame, known: DataFrame, root: str, packs: list) -> DataFrame:
+    """Findings of a stream of files that neither the baseline nor the stream has had before.
+
+    Detection is a projection; only fingerprints are state, one per distinct finding, and they
+    are kept for good: a finding is new once, however long ago it was.  The state is spread by
+    fingerprint and lives with the checkpoint; with many findings use the RocksDB state store.
+    A stream with a new checkpoint starts from the baseline that ``remember`` has written.
     """
     found = scan.detect(files, packs)
-    marked = baseline.with_fingerprint(found, root).withColumn("ts", F.current_timestamp())
-    fresh = marked.join(known.distinct(), "fingerprint", "left_anti")
-    return fresh.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["fingerprint"])
+    fresh = baseline.with_fingerprint(found, root).join(known.distinct(), "fingerprint", "left_anti")
+    return fresh.dropDuplicates(["fingerprint"])
 
 
 def remember(spark: SparkSession, out: str, path: str) -> int:
     """Add the fingerprints that ``run_once`` has emitted to a baseline; returns how many.
 
-    Later runs read the baseline, so a finding is reported once however long ago it was.
+    A stream with a new checkpoint reads the baseline, so it does not report them again.
     """
     return baseline.add(spark.read.parquet(out).select("fingerprint"), path)
 

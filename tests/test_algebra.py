@@ -148,9 +148,12 @@ def test_baseline_round_trip(spark, tmp_path):
     assert baseline.load(spark, str(tmp_path / "bad.json")).count() == 0
 
 
-def test_sarif(spark):
+def test_sarif(spark, tmp_path):
     df = findings(spark, [plain(i, rule_id=f"R{i % 7}", cwe="CWE-1", file="f", line=0, message="m") for i in range(300)])
-    assert len(json.loads(report.sarif(df).first()[0])["runs"][0]["results"]) == 300
+    assert len(json.loads(report.sarif(df, 300).first()[0])["runs"][0]["results"]) == 300
+    report.write_sarif(df, str(tmp_path / "sarif"))
+    files = sorted(p for p in (tmp_path / "sarif").rglob("part-*"))
+    assert json.loads("".join(p.read_text() for p in files)) == json.loads(report.sarif(df, 300).first()[0])
     doc = json.loads(report.sarif(df, report.SARIF_LIMIT).first()[0])
     run = doc["runs"][0]
     assert doc["version"] == "2.1.0" and len(run["results"]) == 200
@@ -160,10 +163,19 @@ def test_sarif(spark):
         assert rules[r["ruleIndex"]] == r["ruleId"]
         assert r["locations"][0]["physicalLocation"]["region"]["startLine"] == 1
     assert run["tool"]["driver"]["rules"][0]["properties"]["tags"] == ["security", "external/cwe/cwe-1"]
-    empty = json.loads(report.sarif(df.where("false")).first()[0])
+    empty = json.loads(report.sarif(df.where("false"), 5).first()[0])
     assert empty["runs"][0]["results"] == []
 
 
+def test_places_by_two_level_prefix_sums(spark):
+    df = spark.range(1000).selectExpr("id", "pmod(id * 37, 250) AS o").repartition(7)
+    for buckets in (1, 3, 64):
+        got = algebra.numbered(df, F.col("o"), "place", buckets).collect()
+        assert sorted(r["place"] for r in got) == list(range(1000))
+        assert [r["o"] for r in sorted(got, key=lambda r: r["place"])] == sorted(r["o"] for r in got)
+    assert algebra.numbered(df.where("false"), F.col("o"), "place").count() == 0
+
+
 def test_json_report(spark, tmp_path):
     df = findings(spark, [plain(i, severity="HIGH") for i in range(5)])
     report.write_json(df, "t", str(tmp_path / "r"))
@@ -318,5 +330,10 @@ def test_versions_of_any_length_and_pre_releases(spark):
     pairs = [("1.2.0-rc1", "1.2.0"), ("1.2", "1.10"), ("9" * 30, "1" + "0" * 30), ("1.0-a", "1.0-b"), ("1.1.9", "1.2.0-rc1")]
     df = spark.createDataFrame(pairs, "a string, b string")
     assert df.where(T.version_key(F.col("a")) < T.version_key(F.col("b"))).count() == len(pairs)
+    order = ["1.2.0-alpha", "1.2.0-alpha.1", "1.2.0-alpha.beta", "1.2.0-beta", "1.2.0-beta.2", "1.2.0-beta.11", "1.2.0-rc.9",
+             "1.2.0-rc.10", "1.2.0-rc." + "9" * 30, "1.2.0", "1.2.1-0"]
+    rising = spark.createDataFrame([(a, b) for i, a in enumerate(order) for b in order[i + 1 :]], "a string, b string")
+    key = T.version_key
+    assert rising.where((key(F.col("a")) < key(F.col("b"))) & ~(key(F.col("b")) < key(F.col("a")))).count() == 55
     same = spark.createDataFrame([("1.2", "v1.2.0"), ("1.2+x", "1.2.0+y"), ("01.2", "1.2")], "a string, b string")
     assert same.where(T.version_key(F.col("a")) == T.version_key(F.col("b"))).count() == 3

@@ -175,6 +175,10 @@ def test_stream_of_files(spark, tmp_path):
     write(root, {"c.js": "eval(y);\n", "sub/a.js": "eval(x);\n"})
     assert run() == [("eval(x);",), ("eval(x);",), ("eval(y);",)]
     assert run() == [("eval(x);",), ("eval(x);",), ("eval(y);",)]
+    # The same file with a later change: its old finding is not new, however much later.
+    os.utime(os.path.join(root, "a.js"), (4e9, 4e9))
+    write(root, {"d.js": "eval(z);\n"})
+    assert run() == [("eval(x);",), ("eval(x);",), ("eval(y);",), ("eval(z);",)]
 
 
 def test_entry(spark):
