@@ -780,6 +780,11 @@ T01 = secrets_sql(DOC_SECRET_LINES, "ext").replace("round(entropy, 3) AS entropy
 add("t01_stream_new_findings", f"""
 SELECT any_value(file) AS file, any_value(evidence) AS evidence, 'ENT-SECRET' AS rule_id FROM (SELECT *, {PRINT} AS fingerprint FROM ({T01}))
 GROUP BY fingerprint HAVING bool_and(line % 2 <> 0)""", extra=[DOC_LINES])
+FACT = "rule_id IN ('P001', 'P003', 'P016')"
+add("x01_facts_in_sql", f"SELECT file, line, rule_id FROM ({PY}) WHERE rule_id = 'P007'", ["seeded"])
+add("x02_fact_rules", f"""
+SELECT file, line, rule_id, CASE rule_id WHEN 'P001' THEN 'MEDIUM' ELSE 'HIGH' END AS severity FROM ({PY}) WHERE {FACT}
+UNION ALL SELECT file, line, rule_id, 'HIGH' FROM ({YAML})""", ["seeded"])
 ONCE = f"""
 SELECT any_value(file) AS file, any_value(evidence) AS evidence, 'ENT-SECRET' AS rule_id FROM (SELECT *, {PRINT} AS fingerprint FROM ({T01})) GROUP BY fingerprint"""
 add("t01_stream_two_runs", ONCE, extra=[DOC_LINES])

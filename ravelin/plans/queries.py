@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ravelin import catalog, schema
 from ravelin.functions import entropy as E
+from ravelin.functions import tables
 from ravelin.functions import text as T
 from ravelin.operators import (
     algebra, baseline, contracts, dependencies, evasion, governance, iac,
@@ -871,6 +872,35 @@ for _name, _packs, _rules, _suffix in [
 ]:
     _pack_query(_name, _packs, _rules, _suffix)
 
+# Rules of a user over the fact rows of the readers.
+FACT_RULES = [
+    ("P001", "python", "f.kind = 'call' AND (lower(f.dotted) IN ('hashlib.md5', 'hashlib.sha1') OR f.name IN ('md5', 'sha1')"
+     " OR lower(f.dotted) = 'hashlib.new' AND lower(get(f.args, 0).text) IN ('md5', 'sha1', 'md4'))", "CWE-327", "MEDIUM", "hash"),
+    ("P003", "python", "f.kind = 'attribute' AND f.attr IN ('MODE_ECB', 'ECB')", "CWE-327", "HIGH", "mode"),
+    ("P016", "python", "f.kind = 'call' AND f.attr = 'xpath' AND get(f.args, 0).dynamic", "CWE-643", "HIGH", "xpath"),
+    ("IAC-CF-001", "yaml", "f.kind = 'ingress' AND f.port = '22' AND f.cidr IN ('0.0.0.0/0', '::/0')", "CWE-284", "HIGH", "ssh"),
+    ("IAC-K8S-005", "yaml", "f.kind = 'container' AND f.privileged", "CWE-250", "HIGH", "privileged"),
+]
+
+
+@query
+def x01_facts_in_sql(spark, d):
+    """Calls of eval and exec from SQL, through the table function of the Python reader."""
+    tables.register(spark)
+    files = scan.with_facts(seeded_files(spark, d), []).where("language = 'python'")
+    return spark.sql(
+        "SELECT f.path AS file, p.line, 'P007' AS rule_id FROM {files} f, LATERAL python_facts(f.source_text) p"
+        " WHERE p.kind = 'call' AND p.name IN ('eval', 'exec') AND size(p.args) > 0 AND get(p.args, 0).text IS NULL",
+        files=files,
+    )
+
+
+@query
+def x02_fact_rules(spark, d):
+    """Rules of a user over the fact rows of both readers."""
+    return scan.detect_facts(seeded_files(spark, d), FACT_RULES).select("file", "line", "rule_id", "severity")
+
+
 SECRET_COLUMNS = ["severity", "evidence", "encoding", "var_name", "context_type", "confidence"]
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin import catalog, schema
+from ravelin.functions import tables
+from ravelin.functions import text as T
 from ravelin.operators import (
     algebra, contracts, evasion, iac, linepass, linerules, pyrules, secrets,
 )
@@ -146,6 +148,39 @@ def detect_added(files: DataFrame, added: list) -> DataFrame:
     return as_findings(rows, table)
 
 
+READERS = {
+    "python": "python_facts(IF(language = 'python', source_text, NULL))",
+    "yaml": "yaml_facts(yaml_kind, content)",
+}
+
+
+def detect_facts(files: DataFrame, added: list) -> DataFrame:
+    """Findings of rules given as rows (rule id, reader, predicate, cwe, severity, title): a predicate
+    is SQL over one fact row ``f`` of the Python or YAML reader."""
+    tables.register(files.sparkSession)
+    parts = []
+    for reader, call in READERS.items():
+        mine = [(k, row) for k, row in enumerate(added) if row[1] == reader]
+        if mine:
+            tests = ", ".join(f"IF({row[2]}, {k}, NULL)" for k, row in mine)
+            ids = F.array(*[F.lit(row[0]) for row in added])
+            facts = files.sparkSession.sql(
+                f"SELECT path, content, f, explode(array({tests})) AS k FROM (SELECT path, content, struct(f.*) AS f"
+                f" FROM {{files}}, LATERAL {call} f)",
+                files=with_facts(files, []),
+            ).where("k IS NOT NULL")
+            line = F.coalesce(F.col("f.line"), F.lit(0)) if reader == "python" else F.lit(0)
+            text = F.coalesce(F.get(T.splitlines(F.col("content")), line - 1), F.lit(""))
+            evidence = T.strip(text) if reader == "python" else F.concat_ws(" ", "f.kind", "f.name")
+            one = schema.hit(rule_id=F.get(ids, F.col("k")), line=line, evidence=evidence, seq=line.cast("bigint") * 1000 + F.col("k"))
+            parts.append(facts.select("path", one.alias("h")).select("path", "h.*"))
+    table = files.sparkSession.createDataFrame(
+        [(r[0], r[3], r[4], r[5], None, None, None, r[1], "sast", 0, 0, "sast") for r in added],
+        catalog.RULE_SCHEMA,
+    )
+    return as_findings(algebra.union_all(parts), table)
+
+
 def as_findings(rows: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Join hits with the rule table and lay them out as findings."""
     rules = catalog.rules(rows.sparkSession) if rules is None else rules
