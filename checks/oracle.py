@@ -752,7 +752,13 @@ SEMGREP = ORACLE["s12_semgrep"]
 add("d27_scan_with_semgrep", f"""
 SELECT source, file, line, rule_id, cwe FROM ({SAST})
 UNION ALL SELECT 'semgrep', file, line, rule_id, cwe FROM (SELECT * FROM ({SEMGREP}) QUALIFY row_number() OVER (PARTITION BY cwe, file, line ORDER BY first_id) = 1)""".replace("AS category", "AS category, event_id AS first_id"), BASE, [NL_LINES])
-add("d27_scan_errors", "SELECT path, 'iac' AS engine, 'yaml-shape' AS reason FROM seeded WHERE name = 'null.yaml'", ["seeded"])
+add("d27_scan_errors", f"""
+SELECT path, CASE WHEN size > 9000 THEN 'all' ELSE {pick(['sast', 'iac', 'all'], 'k')} END AS engine,
+  CASE WHEN size > 9000 THEN 'oversize' ELSE {pick(['python-unparsed', 'yaml-shape', 'bad-bytes'], 'k')} END AS reason
+FROM (SELECT 'bad/' || doc_id || {pick(['.py', '.yaml', '.txt'], 'doc_id % 3')} AS path, doc_id % 3 AS k,
+  CASE doc_id % 3 WHEN 0 THEN 7 + strlen(text) WHEN 1 THEN 39 + strlen('# ' || regexp_replace(text, {q(T.LINE_END.replace('x{85}', 'x{0085}'))}, chr(10) || '# ', 'g')) ELSE strlen(text) + 2 END AS size FROM documents)
+UNION ALL SELECT path, 'all', 'oversize' FROM seeded WHERE strlen(content) > 9000
+UNION ALL SELECT path, 'iac', 'yaml-shape' FROM seeded WHERE name = 'null.yaml' AND strlen(content) <= 9000""", ["seeded"])
 SOURCE_DEDUP = f"SELECT * FROM (SELECT *, {PACK_POS} AS pos FROM ({SOURCE}) JOIN rules USING (rule_id)) QUALIFY row_number() OVER (PARTITION BY cwe, file, line ORDER BY pos) = 1"
 add("flagship_risk_by_language", f"""
 SELECT {LANG_OF} AS language, count(*) AS total, {SCORE} AS risk_score, {COUNTS}, {LEVEL} AS risk_level, {EXIT} AS exit_code

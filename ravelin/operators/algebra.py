@@ -123,13 +123,16 @@ def top_per_group(df: DataFrame, group: Column, n: int, own: Column | None = Non
     return (kept if own is None else kept.where(F.col("_n") <= own)).drop("_n", "_group")
 
 
-def cap_web3(df: DataFrame, cap: int) -> DataFrame:
-    """Caps of the contract report: 2 x cap, cap, and cap per further chain."""
+def cap_web3(df: DataFrame, cap: int, mixed: bool = False) -> DataFrame:
+    """Caps of the contract report: 2 x cap, cap, and cap per further chain.  In a ``mixed`` frame
+    findings of other engines pass, each a group of its own, so that one detection serves all."""
     own = F.col("pack_rank") == 0
-    group = F.when(own, "contracts").otherwise(
-        F.concat(F.lit("chain "), F.coalesce("chain", F.lit("solidity")))
-    )
-    return top_per_group(df.where("pack_rank IS NOT NULL"), group, 2 * cap, F.when(own, 2 * cap).otherwise(cap))
+    web3 = F.coalesce(F.col("engine") == "web3", F.lit(False)) if mixed else F.lit(True)
+    chain = F.concat(F.lit("chain "), F.coalesce("chain", F.lit("solidity")))
+    row = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
+    group = F.when(~web3, row).when(own, "contracts").otherwise(chain)
+    ranked = df.where(~web3 | F.col("pack_rank").isNotNull())
+    return top_per_group(ranked, group, 2 * cap, F.when(own | ~web3, 2 * cap).otherwise(cap))
 
 
 def limit_in_order(df: DataFrame, n: int | None = None) -> DataFrame:

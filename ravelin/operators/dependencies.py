@@ -1,6 +1,6 @@
 """Dependencies against advisories: the fixed table and an OSV dump."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin import catalog, schema
@@ -78,24 +78,25 @@ def osv_findings(deps: DataFrame, osv: DataFrame) -> DataFrame:
     """Affected dependencies by ecosystem, name and version range.
 
     Versions become keys once per distinct dependency and once per range, before
-    the join multiplies them.
+    the join multiplies them.  The ranges of an advisory are numbered first, so what
+    is matched and reduced are numbers; the texts join the result.
     """
-    spans = advisory_ranges(osv).withColumns(
-        {
-            "introduced": T.version_key(F.coalesce("introduced", F.lit("0"))),
-            "fixed": T.version_key(F.col("fixed")),
-        }
+    texts = ["fixed_in", "cve", "aliases", "summary", "severity", "refs"]
+    number = F.row_number().over(Window.partitionBy("ecosystem", "name", "id").orderBy(*texts, "introduced", "fixed"))
+    ranges = advisory_ranges(osv).withColumn("range", number)
+    spans = ranges.select(
+        "ecosystem", "name", "id", "range",
+        T.version_key(F.coalesce("introduced", F.lit("0"))).alias("introduced"),
+        T.version_key(F.col("fixed")).alias("fixed"),
     )
     keyed = last_file_wins(deps).withColumn("key", T.version_key(F.col("version")))
     affected = keyed.join(spans, ["ecosystem", "name"]).where(
         is_affected(F.col("version"), F.col("key"), F.col("introduced"), F.col("fixed"))
     )
     # Two ranges of one advisory may both hold the version.
-    once = affected.groupBy("file", "name", "version", "ecosystem", "id").agg(
-        F.min(
-            F.struct("fixed_in", "cve", "aliases", "summary", "severity", "refs")
-        ).alias("a")
-    ).select("file", "name", "version", "a.*")
+    first = affected.groupBy("file", "name", "version", "ecosystem", "id").agg(F.min("range").alias("range"))
+    told = ranges.select("ecosystem", "name", "id", "range", *texts)
+    once = first.join(told, ["ecosystem", "name", "id", "range"]).select("file", "name", "version", *texts)
     description = F.concat(
         F.col("name"), F.lit(" "), F.col("version"), F.lit(": "), F.col("summary")
     )

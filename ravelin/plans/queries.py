@@ -677,7 +677,7 @@ def g11_silent_rules(spark, d):
 
 @query
 def g12_entropy(spark, d):
-    words = docs(spark, d).select("doc_id", F.explode(F.slice(F.array_distinct(F.split("text", " ")), 1, 2147483647)).alias("w"))
+    words = docs(spark, d).select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
     return words.groupBy("doc_id").agg(F.round(F.max(E.shannon(F.col("w"))), 3).alias("top"), F.count("*").alias("n"))
 
 
@@ -989,7 +989,18 @@ def d27_scan_with_semgrep(spark, d):
 
 @query
 def d27_scan_errors(spark, d):
-    return scan.errors(seeded_files(spark, d))
+    """Every document once more as a file that cannot be read as it stands: broken Python, odd YAML,
+    bad bytes, and whatever is over 9,000 bytes."""
+    k, raw = F.col("doc_id") % 3, F.encode("text", "utf-8")
+    name = F.concat(F.lit("bad/"), F.col("doc_id").cast("string"), D.pick([".py", ".yaml", ".txt"], k))
+    hidden = F.encode(F.concat(F.lit("# "), F.regexp_replace("text", T.LINE_END, "\n# ")), "utf-8")
+    content = (
+        F.when(k == 0, F.concat(F.encode(F.lit("def 1:\n"), "utf-8"), raw))
+        .when(k == 1, F.concat(F.encode(F.lit("apiVersion: v1\nkind: Thing\nspec: null\n"), "utf-8"), hidden))
+        .otherwise(F.concat(raw, F.unhex(F.lit("FF80"))))
+    )
+    bad = S.from_bytes(docs(spark, d), name, content)
+    return scan.errors(seeded_files(spark, d).unionByName(bad), 9_000)
 
 
 @query

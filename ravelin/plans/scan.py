@@ -205,13 +205,19 @@ def as_findings(rows: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     )
 
 
-def errors(files: DataFrame) -> DataFrame:
+def errors(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """(path, engine, reason) of files that a pack could not read as they stand.
 
-    Reasons: ``python-unparsed`` (no Python facts), ``yaml-shape`` (a document of the
-    file gave no facts), ``bad-bytes`` (text was decoded with replacements).
+    Reasons: ``oversize`` (longer than ``max_bytes``, where that is given; such a file is not
+    parsed), ``python-unparsed`` (no Python facts), ``yaml-shape`` (a document of the file gave
+    no facts), ``bad-bytes`` (text was decoded with replacements).  ``sources.files.unread`` adds
+    those of a tree that never became rows.
     """
-    facts = with_facts(files, ["python", "iac"])
+    big = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
+    small = files.withColumns(
+        {"oversize": big, "content": F.when(~big, F.col("content")), "lossy": F.col("lossy") & ~big}
+    )
+    facts = with_facts(small, ["python", "iac"])
 
     def told(column, engine):
         reasons = F.array_distinct(
@@ -222,10 +228,14 @@ def errors(files: DataFrame) -> DataFrame:
             lambda r: F.struct(F.lit(engine).alias("engine"), r.alias("reason")),
         )
 
-    lossy = F.when(
-        F.col("lossy"), F.array(F.struct(F.lit("all").alias("engine"), F.lit("bad-bytes").alias("reason")))
-    ).otherwise(F.array().cast("array<struct<engine:string,reason:string>>"))
-    bad = F.concat(told(F.col("py_facts"), "sast"), told(F.col("yaml_facts"), "iac"), lossy)
+    def whole(when, reason):
+        one = F.array(F.struct(F.lit("all").alias("engine"), F.lit(reason).alias("reason")))
+        return F.when(when, one).otherwise(F.array().cast("array<struct<engine:string,reason:string>>"))
+
+    bad = F.concat(
+        told(F.col("py_facts"), "sast"), told(F.col("yaml_facts"), "iac"),
+        whole(F.col("lossy"), "bad-bytes"), whole(F.col("oversize"), "oversize"),
+    )
     return facts.select("path", F.inline(bad))
 
 
@@ -268,18 +278,13 @@ def scan(
     ``manifest_files`` (read with a name filter) to keep that branch small.
     """
     engines = schema.ENGINES if engines is None else engines
-    capped = "web3" in engines and web3_cap is not None
-    packs = [
-        p for e in engines if e != "sca" and not (capped and e == "web3")
-        for p in ENGINE_PACKS[e]
-    ]
+    packs = [p for e in engines if e != "sca" for p in ENGINE_PACKS[e]]
     parts = []
     if packs:
-        parts.append(detect(files, packs, tolerant_yaml))
+        found = detect(files, packs, tolerant_yaml)
+        parts.append(found if web3_cap is None else algebra.cap_web3(found, web3_cap, mixed=True))
     if "sast" in engines and semgrep is not None:
         parts.append(schema.conform(semgrep))
-    if capped:
-        parts.append(web3_findings(files, web3_cap))
     if "web3" in engines and slither is not None:
         parts.append(schema.conform(slither))
     if "sca" in engines:
@@ -288,10 +293,33 @@ def scan(
     return algebra.dedup_sast(algebra.union_all(parts))
 
 
+def tree_glob(packs: list) -> str | None:
+    """File names that the packs look at, as one glob; None where that is every file."""
+    if "secrets" in packs or not packs:
+        return None
+    suffixes = []
+    if {"python", "lines", "evasion"} & set(packs):
+        suffixes += S.LANGUAGE
+    if "iac" in packs:
+        suffixes += [".tf", ".yml", ".yaml"]
+    if {"contracts", "solidity"} & set(packs):
+        suffixes += [*contracts.TON_EXTENSIONS, ".sol"]
+    if "multichain" in packs:
+        suffixes.append(".rs")
+    # Suffixes count in any case.
+    names = ["*" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s) for s in sorted(set(suffixes))]
+    return "{" + ",".join(names) + "}"
+
+
 def scan_tree(spark: SparkSession, root: str, **options) -> DataFrame:
-    """Scan a folder; manifests are read a second time, by name only."""
+    """Scan a folder; manifests are read a second time, by name only.
+
+    Only files that a pack of the ``engines`` looks at are listed and read; those no row can
+    hold are left out and told by ``sources.files.unread``.
+    """
+    engines = options.get("engines") or schema.ENGINES
     return scan(
-        S.read_tree(spark, root),
+        S.read_tree(spark, root, glob=tree_glob([p for e in engines if e != "sca" for p in ENGINE_PACKS[e]])),
         manifest_files=S.read_tree(spark, root, glob=manifests.NAME_GLOB),
         **options,
     )

@@ -76,6 +76,11 @@ def cvss_bucket(score: Column, default: str) -> Column:
     )
 
 
+def result_place() -> Column:
+    """Order of a result: its file, then its place there, which fits 31 bits."""
+    return F.shiftleft(F.col("_o").cast("bigint"), 31) + F.col("pos")
+
+
 def semgrep_findings(df: DataFrame, column: str, order: str, default_path: str = "") -> DataFrame:
     """Semgrep results, first per rule, file and line."""
     rows = df.select(
@@ -94,7 +99,7 @@ def semgrep_findings(df: DataFrame, column: str, order: str, default_path: str =
         F.lit("sast").alias("engine"),
         F.lit(0).alias("engine_rank"),
         F.lit(1).alias("pack_rank"),
-        (F.col("_o") * 1_000_000 + F.col("pos")).alias("seq"),
+        result_place().alias("seq"),
         F.lit("semgrep").alias("source"),
         rule.alias("rule_id"),
         lookup(F.coalesce(extra["severity"], F.lit("WARNING")), SEMGREP_SEVERITY, "MEDIUM").alias("severity"),
@@ -141,7 +146,7 @@ def slither_findings(df: DataFrame, column: str, order: str, root: str = "") ->
             F.lit("web3").alias("engine"),
             F.lit(4).alias("engine_rank"),
             F.lit(3).alias("pack_rank"),
-            (F.col("_o") * 1_000_000 + F.col("pos")).alias("seq"),
+            result_place().alias("seq"),
             F.lit("web3:slither").alias("source"),
             F.concat(F.lit("slither:"), F.coalesce("d.check", F.lit("detector"))).alias("rule_id"),
             lookup(F.coalesce("d.impact", F.lit("")), SLITHER_IMPACT, "INFO").alias("severity"),
@@ -168,7 +173,7 @@ def cargo_audit_findings(df: DataFrame, column: str, order: str, lockfile: str =
             F.lit("sca").alias("engine"),
             F.lit(1).alias("engine_rank"),
             F.lit(1).alias("pack_rank"),
-            (F.col("_o") * 1_000_000 + F.col("pos")).alias("seq"),
+            result_place().alias("seq"),
             F.lit("sca:cargo-audit").alias("source"),
             F.coalesce(adv["id"], F.lit("RUSTSEC")).alias("rule_id"),
             cvss_bucket(adv["cvss"], "HIGH").alias("severity"),

@@ -38,27 +38,57 @@ HISTOGRAM_LANGUAGE = {
 HISTOGRAM_SKIP_DIRS = [".git", "__pycache__", "node_modules", ".venv", "venv"]
 
 
+# What one row can hold; a file above it would end the job.
+MAX_ROW_BYTES = 2_000_000_000
+
+
+def list_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """(path, rel, ext, length) of every file below ``root``; no content is read."""
+    raw = _binary(spark, root, glob)
+    path = F.regexp_replace("path", r"^file:/*", "/")
+    return raw.select(path.alias("path"), relative(path, root).alias("rel"), T.extension(path).alias("ext"), "length")
+
+
+def _binary(spark: SparkSession, root: str, glob: str | None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
+
+
 def read_tree(
-    spark: SparkSession, root: str, glob: str | None = None, max_bytes: int | None = None
+    spark: SparkSession, root: str, glob: str | None = None, max_bytes: int = MAX_ROW_BYTES
 ) -> DataFrame:
     """Every file below ``root``, one row each.
 
-    ``glob`` and ``max_bytes`` are applied while listing, before content is read.
+    ``glob`` and ``max_bytes`` are applied while listing, before content is read.  Files above
+    ``max_bytes`` have no row here but one in ``unread``.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    raw = reader.load(root)
-    if max_bytes is not None:
-        raw = raw.where(F.col("length") <= max_bytes)
+    raw = _binary(spark, root, glob).where(F.col("length") <= max_bytes)
     path = F.regexp_replace("path", r"^file:/*", "/")
-    return raw.select(
+    return _decoded(raw, path, relative(path, root), F.col("length"), F.col("content"))
+
+
+def unread(
+    spark: SparkSession, root: str, glob: str | None = None, max_bytes: int = MAX_ROW_BYTES
+) -> DataFrame:
+    """(path, engine, reason) of the files below ``root`` that ``read_tree`` leaves out, as
+    ``plans.scan.errors`` tells the others."""
+    big = list_tree(spark, root, glob).where(F.col("length") > max_bytes)
+    return big.select("path", F.lit("all").alias("engine"), F.lit("oversize").alias("reason"))
+
+
+def from_bytes(df: DataFrame, path: Column, raw: Column) -> DataFrame:
+    """Any binary column as files."""
+    return _decoded(df, path, path, F.octet_length(raw).cast("bigint"), raw)
+
+
+def _decoded(df: DataFrame, path: Column, rel: Column, length: Column, raw: Column) -> DataFrame:
+    return df.select(
         path.alias("path"),
-        relative(path, root).alias("rel"),
+        rel.alias("rel"),
         T.extension(path).alias("ext"),
-        "length",
-        T.decode(F.col("content")).alias("content"),
-        (~F.is_valid_utf8(F.col("content").cast("string"))).alias("lossy"),
+        length.alias("length"),
+        T.decode(raw).alias("content"),
+        (~F.is_valid_utf8(raw.cast("string"))).alias("lossy"),
     )
 
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ravelin import catalog, schema
 from ravelin.functions import text as T
 from ravelin.operators import algebra, baseline, governance, knowledge, report, scorecard
-from ravelin.operators.joins import salted_join
 
 
 def findings(spark, records):
@@ -97,20 +96,6 @@ def test_group_limit_happens_before_the_shuffle(spark):
     assert text.count("WindowGroupLimit") == 2
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("broadcast", ["-1", "10485760"])
-def test_salted_join_equals_plain_join(spark, how, broadcast):
-    left = spark.range(900).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40)).alias("k"), F.col("id").alias("v"))
-    right = spark.range(30).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
-    try:
-        got = salted_join(left, right, ["k"], how)
-        assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "k", how).collect()))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-
-
 def test_summary_and_top(spark):
     records = [plain(i, cwe=c, severity=s) for i, (c, s) in enumerate([("C2", "LOW"), ("C1", "HIGH"), ("C1", "LOW"), ("C3", "LOW"), (None, "LOW")])]
     df = findings(spark, [{**r, "file": "f"} for r in records])

@@ -209,3 +209,18 @@ def test_queries_match_duckdb(spark, duck, name):
 
 def test_every_query_has_an_oracle_or_reads_files():
     assert set(QUERIES) - set(entry.oracle_sql()) == {"s01_file_tree"}
+
+
+def test_scan_reads_only_what_its_packs_look_at_and_tells_the_rest(spark, tmp_path):
+    root = str(tmp_path / "tree")
+    write(root, {"a.JS": "eval(x);\n", "b.txt": "eval(x);", "big.js": "eval(y);" + " " * 300, "k.sol": "selfdestruct(a);"})
+    glob = scan.tree_glob(["lines"])
+    assert {r[0] for r in rows(S.list_tree(spark, root, glob), "rel")} == {"a.JS", "big.js"}
+    assert scan.tree_glob(["lines", "secrets"]) is None
+    assert rows(S.read_tree(spark, root, glob, max_bytes=100), "rel") == [("a.JS",)]
+    assert [(r[0][-6:], *r[1:]) for r in rows(S.unread(spark, root, glob, 100), "path", "engine", "reason")] == [("big.js", "all", "oversize")]
+    found = scan.scan_tree(spark, root, engines=["sast", "web3"], web3_cap=1)
+    assert sorted({r[0] for r in rows(found, "engine")}) == ["sast", "web3"]
+    assert found.where("engine = 'sast'").count() == 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode(") == 1
