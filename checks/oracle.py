@@ -458,11 +458,11 @@ add("p10_fingerprint", "SELECT seq, fingerprint FROM prints", ["prints"])
 add("p11_authorization_fingerprint", "SELECT organization, fingerprint FROM auths_fp", ["auths_fp"])
 NOTES = ("notes", "SELECT * FROM " + values([(n[0], *n[1:]) for n in catalog.CWE_NOTES], "kb_cwe, name, why, fix"))
 HEADING = "rtrim('* ' || title || '  [' || severity || ']  ' || coalesce(cwe, ''))"
-PLACE = "'  Location: ' || file || CASE WHEN line <> 0 THEN ':' || line ELSE '' END"
+PLACE = "'  at        ' || file || CASE WHEN line <> 0 THEN ':' || line ELSE '' END"
 add("p12_explanations", f"""
 SELECT seq, {HEADING} AS heading, {PLACE} AS location, length({HEADING}) + 1 + length({PLACE}) + 1 +
- CASE WHEN name IS NOT NULL THEN length(chr(10) || '  What it is: ' || name || '.' || chr(10) || '  Why it matters: ' || why || chr(10) || '  How to fix it: ' || fix || chr(10)
-   || '  Reference: https://cwe.mitre.org/data/definitions/' || substring(kb_cwe, 5) || '.html')
+ CASE WHEN name IS NOT NULL THEN length(chr(10) || '  weakness  ' || name || '.' || chr(10) || '  effect    ' || why || chr(10) || '  remedy    ' || fix || chr(10)
+   || '  see also  https://cwe.mitre.org/data/definitions/' || substring(kb_cwe, 5) || '.html')
  ELSE length(chr(10) || '  ' || title || chr(10) || '  (No note for this weakness class.)') END AS chars
 FROM event_findings LEFT JOIN notes ON upper(cwe) = kb_cwe""", ["event_findings"], [NOTES])
 add("w14_explain_first", f"SELECT seq, {HEADING} AS heading FROM event_findings ORDER BY {ORDER} LIMIT 20", ["event_findings"])
@@ -508,11 +508,11 @@ PYTHON_HITS = [
     ("py-verify-vulnerable.py", 5, "P004"), ("py-context-vulnerable.py", 5, "P004"),
     ("py-pickle-vulnerable.py", 5, "P005"), ("py-yaml-vulnerable.py", 6, "P006"),
     ("py-eval-vulnerable.py", 1, "P007"), ("py-os-vulnerable.py", 2, "P008"),
-    ("py-shell-vulnerable.py", 5, "P009"), ("py-sql-vulnerable.py", 1, "P010"),
+    ("py-shell-vulnerable.py", 5, "P009"), ("py-sql-vulnerable.py", 4, "P010"),
     ("py-sql-variable-vulnerable.py", 4, "P010"), ("py-sql-helper-vulnerable.py", 5, "P015"),
-    ("py-template-vulnerable.py", 1, "P011"), ("py-random-vulnerable.py", 2, "P012"),
-    ("py-xml-vulnerable.py", 2, "P013"), ("py-path-vulnerable.py", 1, "P014"),
-    ("py-xpath-vulnerable.py", 1, "P016"), ("py-ldap-vulnerable.py", 1, "P017"),
+    ("py-template-vulnerable.py", 1, "P011"), ("py-random-vulnerable.py", 6, "P012"),
+    ("py-xml-vulnerable.py", 4, "P013"), ("py-path-vulnerable.py", 1, "P014"),
+    ("py-xpath-vulnerable.py", 2, "P016"), ("py-ldap-vulnerable.py", 1, "P017"),
 ]
 YAML_HITS = [
     ("cf.yaml", "IAC-CF-001", "SecurityGroupIngress port 22 CidrIp 0.0.0.0/0"),

@@ -36,10 +36,10 @@ def explain(df: DataFrame) -> DataFrame:
     )
     known = F.concat_ws(
         "\n",
-        F.concat(F.lit("\n  What it is: "), F.col("name"), F.lit(".")),
-        F.concat(F.lit("  Why it matters: "), F.col("why")),
-        F.concat(F.lit("  How to fix it: "), F.col("fix")),
-        F.concat(F.lit("  Reference: "), F.col("ref")),
+        F.concat(F.lit("\n  weakness  "), F.col("name"), F.lit(".")),
+        F.concat(F.lit("  effect    "), F.col("why")),
+        F.concat(F.lit("  remedy    "), F.col("fix")),
+        F.concat(F.lit("  see also  "), F.col("ref")),
     )
     unknown = F.concat_ws(
         "\n",
@@ -49,7 +49,7 @@ def explain(df: DataFrame) -> DataFrame:
     text = F.concat_ws(
         "\n",
         heading,
-        F.when(where != "", F.concat(F.lit("  Location: "), where)),
+        F.when(where != "", F.concat(F.lit("  at        "), where)),
         F.when(F.col("name").isNotNull(), known).otherwise(unknown),
     )
     return noted.withColumn("explanation", text).drop("kb_cwe", "name", "why", "fix", "ref")

@@ -172,7 +172,7 @@ def test_json_report(spark, tmp_path):
 def test_explanations(spark):
     df = findings(spark, [plain(3, cwe="cwe-89", title="T", file="f"), plain(4, cwe="CWE-1", title="T", message="M", file=None)])
     got = [r.explanation for r in knowledge.explain(df).orderBy("seq").collect()]
-    assert "Location: f:3" in got[0] and "bind parameters" in got[0] and "cwe-89" in got[0]
+    assert "at        f:3" in got[0] and "bind parameters" in got[0] and "cwe-89" in got[0]
     assert "Location" not in got[1] and "  M" in got[1]
     assert [r.advice for r in knowledge.fix_advice(df).orderBy("seq").collect()][1].endswith("for this class.")
 
