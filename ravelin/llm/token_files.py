@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as files
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -23,26 +24,46 @@ from tokenizers import Tokenizer
 
 #: Bytes of text that one part should hold.
 PART_BYTES = 32 << 20
-#: Words remembered by one worker before it starts afresh; texts tokenised at a time.
-REMEMBERED, SLICE = 450_000, 200
+#: Words of one generation that a worker remembers; bytes of text tokenised at a time, texts read
+#: back at a time.
+REMEMBERED, SLICE_BYTES, SLICE = 500_000, 8 << 20, 200
 #: New runs of letters in one text, and what may follow a word's letters.
 RUN_WORDS, TAIL = 100, b".,!?;:"
 
 
+class Memory:
+    """Two generations of a bounded dictionary: what is still in use outlives the younger one."""
+
+    def __init__(self):
+        self.young, self.old = {}, {}
+
+    def missing(self, names) -> list:
+        """The names that neither generation has; those of the older move to the younger."""
+        young, old = self.young, self.old
+        unseen = [name for name in names if name not in young]
+        young.update((name, old[name]) for name in unseen if name in old)
+        return [name for name in unseen if name not in old]
+
+    def turn(self) -> None:
+        """Start a generation when the younger is full; call when nothing is being looked up."""
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+
+
 class Encoder:
-    """Packed ids of texts, with a memory of words where the vocabulary allows it.
+    """Ids of texts, with a memory of words where the vocabulary allows it.
 
-    A word of letters and a tail of punctuation are separate for such a vocabulary.  New runs
+    Texts are split and their words counted as Arrow columns: Python sees each distinct word of
+    some megabytes once, and the ids of all words are gathered as numpy arrays.  A word of letters and a tail of punctuation are separate for such a vocabulary.  New runs
     of ASCII go to the model at once, if probes show that its front leaves them alone; others
     are tokenised many to a text, where tokens that end a word tell them apart.
     """
 
-    def __init__(self, definition: str, kind: str, separate_words: bool):
+    def __init__(self, definition: str, kind: str, separate_words: bool, special_as_text: bool = False):
         self.model = Tokenizer.from_str(definition)
-        self.model.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.model.encode_special_tokens = special_as_text
         self.kind, self.separate_words = kind, separate_words
-        self.memory: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.memory, self.parts = Memory(), Memory()
         suffix = json.loads(definition)["model"].get("end_of_word_suffix")
         self.ends = np.zeros(self.model.get_vocab_size(), bool)
         probes = ["a", "the", "internationalisation", "zzxqj", "...", ",", "?!;", "thing"]
@@ -67,7 +88,7 @@ class Encoder:
             code = self.kind[0] + "%d" + {"2": "H", "4": "I"}[self.kind[-1]]
             for run in easy:
                 ids = [token.id for token in tokenize(run.decode())]
-                self.parts[run] = struct.pack(code % len(ids), *ids)
+                self.parts.young[run] = struct.pack(code % len(ids), *ids)
             runs = [run for run in runs if not run.isascii()]
         for start in range(0, len(runs), RUN_WORDS):
             some = runs[start : start + RUN_WORDS]
@@ -76,15 +97,13 @@ class Encoder:
             stops = (np.flatnonzero(self.ends[ids]) + 1) * width
             if len(stops) == len(some) and stops[-1] == len(ids) * width:
                 packed, stops = ids.tobytes(), stops.tolist()
-                self.parts.update(
+                self.parts.young.update(
                     (run, packed[i:j]) for run, i, j in zip(some, [0, *stops], stops, strict=False)
                 )
             else:  # no such tokens: one by one
-                self.parts.update(zip(some, self.pack([run.decode() for run in some]), strict=True))
+                self.parts.young.update(zip(some, self.pack([run.decode() for run in some]), strict=True))
 
     def learn(self, fresh: list[bytes]) -> None:
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
         halves, odd = [], []
         for word in fresh:
             body = word.rstrip(TAIL)
@@ -92,37 +111,63 @@ class Encoder:
                 # Only ASCII is lower-cased here; the library does the rest.
                 halves.append((word, body.lower(), word[len(body) :]))
             else:
-                odd.append(word)
+                odd.append(word)  # added tokens hold other signs than letters and the tail's
+        self.parts.turn()
         runs = {body for _, body, _ in halves} | {tail for _, _, tail in halves if tail}
-        self.learn_runs(list(runs.difference(self.parts)))
-        parts = self.parts
-        self.memory.update((w, parts[body] + parts[tail] if tail else parts[body]) for w, body, tail in halves)
+        self.learn_runs(self.parts.missing(runs))
+        parts, memory = self.parts.young, self.memory.young
+        memory.update((w, parts[body] + parts[tail] if tail else parts[body]) for w, body, tail in halves)
         for start in range(0, len(odd), RUN_WORDS):
             some = odd[start : start + RUN_WORDS]
-            self.memory.update(zip(some, self.pack([word.decode() for word in some]), strict=True))
+            memory.update(zip(some, self.pack([word.decode() for word in some]), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each)."""
         if not self.separate_words:
-            return self.pack(texts)
-        words = [text.encode().split() for text in texts]  # ASCII white space only
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        self.learn(list(set().union(*words).difference(self.memory)))
-        return [b"".join(map(self.memory.__getitem__, parts)) for parts in words]
+            packed = self.pack(texts.to_pylist())
+            sizes = np.array([len(p) for p in packed], np.int64) // np.dtype(self.kind).itemsize
+            return np.frombuffer(b"".join(packed), self.kind), sizes
+        split = pc.ascii_split_whitespace(texts)  # ASCII white space only
+        words = split.flatten().dictionary_encode()
+        names = words.dictionary.cast(pa.binary()).to_pylist()
+        self.memory.turn()
+        self.learn(self.memory.missing(names))
+        packed = list(map(self.memory.young.__getitem__, names))
+        flat = np.frombuffer(b"".join(packed), self.kind)
+        size = np.array([len(p) for p in packed], np.int64) // np.dtype(self.kind).itemsize
+        code = words.indices.to_numpy()
+        counts = size[code]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        # Where each word's ids lie in ``flat``, less where they go.
+        shift = (np.cumsum(size) - size)[code] - ends[:-1]
+        ids = flat[np.repeat(shift, counts) + np.arange(ends[-1])]
+        last = np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        return ids, np.diff(ends[last], prepend=0)
 
 
 _LOADED: dict[tuple, Encoder] = {}
 
 
-def encoder(definition: str, kind: str, separate_words: bool) -> Encoder:
+def encoder(definition: str, kind: str, separate_words: bool, special_as_text: bool) -> Encoder:
     """The worker's encoder: tasks that follow each other share its memory."""
-    key = (hash(definition), kind, separate_words)
+    key = (hash(definition), kind, separate_words, special_as_text)
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Encoder(definition, kind, separate_words)
+        _LOADED[key] = Encoder(definition, kind, separate_words, special_as_text)
     return _LOADED[key]
 
 
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """A column in runs of some megabytes, a longer text alone."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, "right")))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
 def opened(uri: str):
     """(file system, path) of a URI or an absolute path."""
     return files.FileSystem.from_uri(uri)
@@ -150,12 +195,14 @@ def mapped(uri: str, kind: str) -> np.ndarray:
 
 def write_documents(
     docs: DataFrame, key: str, text: str, tokenizer_path: str, end_id: int, folder: str,
-    separate_words: bool = False,
+    separate_words: bool = False, special_as_text: bool = False,
 ) -> DataFrame:
     """Tokenise every text, append ``end_id``, and write the files; returns the table of parts.
 
     Documents stand in ascending key order, nulls first; equal keys in the order of their
-    texts' hashes.  Null texts are empty.  ``separate_words`` may be set for a vocabulary that
+    texts' hashes.  Null texts are empty; texts may be of any length, other columns are not read.
+    Strings of added tokens in a text become those tokens, as the library does by default, or
+    ordinary text with ``special_as_text``.  ``separate_words`` may be set for a vocabulary that
     drops white space and never joins over it: each distinct word is then tokenised once.
     """
     spark = docs.sparkSession
@@ -173,23 +220,22 @@ def write_documents(
     )
     system, path = opened(folder)
     system.create_dir(path, recursive=True)
-    end = np.array([end_id], kind).tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        name, coder = f"{folder}/part-{part:06d}", encoder(definition.value, kind, separate_words)
-        keys, sizes = [], []
+        name, coder = f"{folder}/part-{part:06d}", encoder(definition.value, kind, separate_words, special_as_text)
+        keys, sizes = [], [np.zeros(0, np.int64)]
 
         def ids(stream):
             for batch in batches:
                 keys.append(batch.column("_key"))
-                for start in range(0, batch.num_rows, SLICE):
-                    texts = batch.column("_text").slice(start, SLICE).to_pylist()
-                    for packed in coder.encode(texts):
-                        stream.write(packed + end)
-                        sizes.append((len(packed) + len(end)) // len(end))
+                for texts in slices(batch.column("_text")):
+                    found, counts = coder.encode(texts)
+                    stream.write(np.insert(found, np.cumsum(counts), end_id).astype(kind).tobytes())
+                    sizes.append(counts + 1)
 
         put(f"{name}.ids", ids)
+        sizes = np.concatenate(sizes)
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("<u8")
         put(f"{name}.offsets", lambda stream: stream.write(offsets.tobytes()))
         if keys:
