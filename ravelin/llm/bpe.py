@@ -291,25 +291,26 @@ class Codec:
     def round_trip(self, df: DataFrame, text: str, ids: str = "ids", decoded: str = "decoded"):
         """``df`` with the packed ids of column ``text`` and the bytes decoded from those ids.
 
-        Columns of those names are replaced; all others stay.  One Python worker does both, on
+        Columns of those names are replaced, the text column too if it has one; all others stay.  One
+        Python worker does both, on
         slices of a batch, so the memory of a task is bounded by a few hundred texts.
         """
         ranks, pattern = self.ranks, self.pattern
-        df = df.drop(ids, decoded)
-        at = df.columns.index(text)
+        rest = [f for f in df.schema.fields if f.name not in (ids, decoded)]
+        source = df.select(*[F.col(f"`{f.name}`") for f in rest], F.col(f"`{text}`").alias("_".join(["text", *df.columns])))
 
         def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = _vocabulary(ranks.value, pattern)
             for batch in batches:
                 for start in range(0, batch.num_rows, SLICE):
                     part = batch.slice(start, SLICE)
-                    coded = words.encode_series(part.column(at).to_pylist())
+                    coded = words.encode_series(part.columns[-1].to_pylist())
                     raw = map(words.decode, coded)
-                    columns = [*part.columns, pa.array(coded, pa.binary()), pa.array(raw, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, ids, decoded])
+                    columns = [*part.columns[:-1], pa.array(coded, pa.binary()), pa.array(raw, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[:-1], ids, decoded])
 
         added = T.StructType().add(ids, T.BinaryType()).add(decoded, T.BinaryType())
-        return df.mapInArrow(code, T.StructType([*df.schema.fields, *added.fields]))
+        return source.mapInArrow(code, T.StructType([*rest, *added.fields]))
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))

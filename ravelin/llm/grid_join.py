@@ -36,6 +36,13 @@ def sound(vector) -> F.Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
+def unit(vector) -> np.ndarray:
+    """The vector at length 1; scaled first, so that no finite double over- or underflows."""
+    v = np.asarray(vector, np.float64)
+    v = v / np.abs(v).max()
+    return v / np.linalg.norm(v)
+
+
 def principal(vectors: DataFrame, dimensions: int) -> dict[int, np.ndarray]:
     """Leading directions per vector length, from at most SAMPLE vectors of the smallest hashes."""
     sample = vectors.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).toPandas()["v"]
@@ -44,8 +51,8 @@ def principal(vectors: DataFrame, dimensions: int) -> dict[int, np.ndarray]:
         by_size.setdefault(len(v), []).append(np.asarray(v, np.float64))
     axes = {}
     for size, members in by_size.items():
-        unit = np.array([x / np.linalg.norm(x) for x in members])
-        _, _, across = np.linalg.svd(unit - unit.mean(axis=0), full_matrices=False)
+        rows = np.array([unit(x) for x in members])
+        _, _, across = np.linalg.svd(rows - rows.mean(axis=0), full_matrices=False)
         axes[size] = across[:dimensions]
     return axes
 
@@ -62,8 +69,7 @@ def intervals(vectors: DataFrame, eps: float, axes: dict[int, np.ndarray]) -> Da
             for i, v in enumerate(batch["v"]):
                 across = axes.get(len(v))
                 if across is not None:
-                    v = np.asarray(v, np.float64)
-                    spots[i, : len(across)] = across @ (v / np.linalg.norm(v))
+                    spots[i, : len(across)] = across @ unit(v)
             batch["spot"] = list(spots)
             batch["cell"] = list(np.floor(spots / eps).astype(np.int32))
             batch["size"] = [len(v) for v in batch["v"]]

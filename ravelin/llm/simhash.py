@@ -2,8 +2,8 @@
 
 The bits of a fingerprint are split into blocks, with one vantage-point tree per block.  Two
 fingerprints at most ``max_bits`` apart are, in some block, at most ``max_bits // blocks``
-apart, so that is the query radius of every tree, and the triangle bound with so small a radius
-prunes nearly every branch.  A tree node holds a vantage point and the median distance to it;
+apart, so that is the query radius of every tree (1 bit for 4 bits and three blocks), and the
+triangle bound prunes the branches further away.  A tree node holds a vantage point and the median distance to it;
 a fingerprint's home is one leaf, and it also queries each leaf whose border lies within the
 radius.  Leaves are the shards of a Spark shuffle; inside a shard the same splitting goes on,
 and pairs that survive are compared over all bits.
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from ravelin.llm.shared import components, written
 
 BITS = 64
+#: Blocks of a fingerprint, a tree each: at most 4 differing bits are at most 1 in one of three.
+BLOCKS = 3
 #: Fingerprints that a leaf should hold, and the most that the driver samples to build trees.
 LEAF, SAMPLE = 16_384, 65_536
 #: Members of one task's comparison; a fuller leaf is dealt into chunks that meet pairwise.
@@ -127,9 +129,10 @@ class Tree:
         return [np.concatenate(x) for x in zip(*found, strict=True)]
 
 
-def links(home, query, mask, radius: int, max_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (into home, into query) at most ``max_bits`` apart, found by splitting on."""
-    found, every = [], np.uint64(0xFFFFFFFFFFFFFFFF)
+def links(home, query, mask, radius: int, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (into home, into query) at most ``max_bits`` apart, found by splitting on; at most
+    512 x 4096 at a time, to be folded before the next."""
+    every = np.uint64(0xFFFFFFFFFFFFFFFF)
     todo = [(np.arange(len(home)), np.arange(len(query)))]
     while todo:
         h, q = todo.pop()
@@ -142,14 +145,13 @@ def links(home, query, mask, radius: int, max_bits: int) -> list[tuple[np.ndarra
                     a, b = h[i : i + 512], q[j : j + 4096]
                     x, y = np.nonzero(distance(home[a][:, None], query[b], every) <= max_bits)
                     if x.size:
-                        found.append((a[x], b[y]))
+                        yield a[x], b[y]
             continue
         point, middle = cut
         fh = distance(home[h], point, mask).astype(np.int64)
         fq = distance(query[q], point, mask).astype(np.int64)
         todo.append((h[fh <= middle], q[fq - radius <= middle]))
         todo.append((h[fh > middle], q[fq + radius > middle]))
-    return found
 
 
 class Forest:
@@ -184,8 +186,8 @@ def near_edges(prints: DataFrame, max_bits: int, blocks: int, leaf: int = LEAF)
     radius, masks, chunk = max_bits // blocks, block_masks(blocks), CHUNK
     total = prints.count()
     wanted = min(SAMPLE, max(1024, 16 * (total // leaf)))
-    sample = prints.orderBy(F.xxhash64("f"), "f").limit(wanted).toPandas()["f"]
-    sample = sample.to_numpy(np.int64).view(np.uint64)
+    sample = prints.orderBy(F.xxhash64("f"), "f").limit(wanted).toArrow().column("f")
+    sample = sample.to_numpy().astype(np.int64).view(np.uint64)
     per_leaf = max(2, int(leaf * len(sample) / max(total, 1)))
     trees = [Tree(sample, mask, per_leaf) for mask in masks]
 
@@ -231,7 +233,7 @@ def near_edges(prints: DataFrame, max_bits: int, blocks: int, leaf: int = LEAF)
 
 
 def near_duplicates(
-    docs: DataFrame, key: str, text: str, words: int = 4, max_bits: int = 4, blocks: int = 5
+    docs: DataFrame, key: str, text: str, words: int = 4, max_bits: int = 4, blocks: int = BLOCKS
 ) -> DataFrame:
     """(key, fingerprint, component_id) for every row of ``docs``.
 
@@ -271,18 +273,21 @@ def grouped(marked: DataFrame, max_bits: int, blocks: int):
 
 
 def keep_first(
-    docs: DataFrame, key: str, text: str, words: int = 4, max_bits: int = 4, blocks: int = 5
+    docs: DataFrame, key: str, text: str, words: int = 4, max_bits: int = 4, blocks: int = BLOCKS
 ) -> DataFrame:
     """One document of each group: the row with the smallest key; columns as they are.
 
     Rows with a null key are kept (they cannot be told apart), and so are repeated rows of the
     kept document.
     """
-    marked = fingerprints(docs, text, words, "_print")
-    known = marked.where(F.col(key).isNotNull())
-    known = written(known.select(F.col(key).alias("_key"), F.col("_print").alias("f")), "prints")
+    # Own names for all columns, so that none of the caller's can clash.
+    free = [f"_{i}_" for i in range(len(docs.columns))]
+    at, body = (free[docs.columns.index(c)] for c in (key, text))
+    marked = fingerprints(docs.toDF(*free), body, words, "_print")
+    known = marked.where(F.col(at).isNotNull())
+    known = written(known.select(F.col(at).alias("_key"), F.col("_print").alias("f")), "prints")
     _, best = grouped(known, max_bits, blocks)
-    keeper = best.select(F.col("best.f").alias("_print"), F.col("best.least").alias(key))
+    keeper = best.select(F.col("best.f").alias("_print"), F.col("best.least").alias(at))
     one = keeper.withColumn("_kept", F.lit(True))
-    joined = marked.join(one, [key, "_print"], "left")
-    return joined.where(F.col("_kept") | F.col(key).isNull()).select(*docs.columns)
+    joined = marked.join(one, [at, "_print"], "left")
+    return joined.where(F.col("_kept") | F.col(at).isNull()).select(*free).toDF(*docs.columns)

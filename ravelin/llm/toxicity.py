@@ -1,13 +1,15 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of ordinary, one of toxic text.
 
 Words become 8-byte codes (their hashes), so a match of the compressor is a match of whole words.
-An ordinary and a toxic dictionary are trained on windows of such text; the toxic one learns from
-what toxic texts say more often than others.  Every window of a text is compressed with the
-ordinary dictionary and with both; the bytes that the toxic dictionary saves are counted per
-text, and a logistic model calibrates thresholds on these counts.  Dictionaries and calibration
-learn from disjoint halves of a bounded sample of labelled rows.
+The ordinary dictionary is trained on windows of ordinary text.  The toxic one is not trained on
+whole windows of toxic text, which are ordinary words for the most part, but on what is left of
+them when only words stay that toxic texts hold far more often than ordinary ones.  Every window of
+a text is compressed with the ordinary dictionary and with both; the bytes that the toxic dictionary
+saves are counted per text, and a logistic model calibrates thresholds on these counts.
+Dictionaries and calibration learn from disjoint halves of a bounded sample of labelled rows.
 """
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +22,9 @@ from pyspark.sql import types as T
 
 from ravelin.llm.shared import sliced
 
-#: Labelled rows to learn from, per class, and the longest text (characters) among them.
-SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 4000, 8000, 20_000
+#: Labelled rows to learn from, per class.  Of a text with more words, that many in whole runs of
+#: RUN words, evenly spread over the text, are learned from.
+SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_WORDS, RUN = 4000, 8000, 2048, 16
 #: Words of a window and between windows; largest gain told apart.
 WINDOW, STEP, TOP = 8, 4, 16
 #: Bytes of the dictionaries.
@@ -48,6 +51,16 @@ class Coder:
         return b"".join(map(self.memory.__getitem__, words))
 
 
+def sampled(coded: bytes) -> bytes:
+    """The codes of a text, or of SAMPLE_WORDS of its words in whole runs."""
+    width = 8 * RUN
+    if len(coded) <= 8 * SAMPLE_WORDS:
+        return coded
+    runs = -(-len(coded) // width)
+    chosen = np.linspace(0, runs - 1, SAMPLE_WORDS // RUN).astype(int)
+    return b"".join(coded[width * i : width * (i + 1)] for i in chosen.tolist())
+
+
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     """Compressor whose only knowledge is ``content``; matches of six bytes or more."""
     how = zstandard.ZstdCompressionParameters(
@@ -145,14 +158,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
+SAMPLED = pa.schema([("h", pa.int64()), ("y", pa.bool_()), ("coded", pa.binary())])
+
+
 def learned(
     docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, learn=None
 ) -> Model:
     """Model from at most SAMPLE_TOXIC and SAMPLE_ORDINARY labelled rows, those of least hash.
 
     ``learn`` (a condition on _key) chooses the rows that may be learned from; rows with null
-    key or label are not, several labels of a key count as their mean.  Texts over SAMPLE_CHARS
-    are not learned from (they are scored whole); equal texts are learned from once.
+    key or label are not, several labels of a key count as their mean.  Texts of any length are
+    learned from (``sampled``) and scored whole; equal texts are learned from once.  One task
+    learns from the sample, at most 16 KB a row; the driver receives the dictionaries and weights.
     """
     known = labels.select(F.col(label_key).alias("_key"), F.col(label).alias("_label")).dropna()
     known = known.where(learn if learn is not None else F.lit(True))
@@ -162,14 +179,12 @@ def learned(
         for value, size in ((True, SAMPLE_TOXIC), (False, SAMPLE_ORDINARY))
     ]
     sample = some[0].union(some[1])  # at most 12,000 keys
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(
-        F.length("_text") <= SAMPLE_CHARS
-    )
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col(text).isNotNull())
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder()
         for batch in sliced(batches):
-            coded = [coder.code(t.as_py()) for t in batch.column("_text")]
+            coded = [sampled(coder.code(t.as_py())) for t in batch.column("_text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_hash"), batch.column("_label"), pa.array(coded, pa.binary())],
                 ["h", "y", "coded"],
@@ -179,11 +194,17 @@ def learned(
         texts.join(F.broadcast(sample), "_key").select(F.xxhash64("_text").alias("_hash"), "_label", "_text")
         .mapInArrow(code, "h long, y boolean, coded binary")
         .groupBy("h").agg(F.max("y").alias("y"), F.first("coded").alias("coded"))
-        .orderBy("h").toArrow()
     )
-    hashes = np.asarray(rows.column("h")).astype(np.int64)
-    toxic = np.array(rows.column("y").to_pylist(), bool)
-    return Model(rows.column("coded").to_pylist(), toxic, hashes % 2 == 0)
+
+    def learn_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches([*batches], SAMPLED).sort_by("h")
+        hashes = table.column("h").to_numpy()
+        toxic = np.array(table.column("y").to_pylist(), bool)
+        model = Model(table.column("coded").to_pylist(), toxic, hashes % 2 == 0)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)])], ["model"])
+
+    done = rows.repartition(1).mapInArrow(learn_all, "model binary").first()
+    return pickle.loads(bytes(done["model"]))
 
 
 def scored(docs: DataFrame, text: str, model: Model, name: str = "score") -> DataFrame:

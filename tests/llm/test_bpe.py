@@ -53,3 +53,10 @@ def test_round_trip_keeps_columns_and_nulls(spark):
     assert sorted(len(r["a"]) for r in unpacked) == [0, 0, 2, 2]
     one = df.where("doc_id = 3 OR doc_id IS NULL").select(codec.decode(codec.encode(df["text"])).alias("b"))
     assert [bytes(r["b"]) for r in one.collect()] == [b"", b""]
+
+
+def test_text_column_may_have_an_output_name(spark):
+    codec = bpe.Codec(spark, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    df = spark.createDataFrame([(1, "ab cd", 2)], "k int, ids string, x int")
+    out = codec.round_trip(df, "ids").first()
+    assert (out["k"], out["x"], bytes(out["decoded"])) == (1, 2, b"ab cd")

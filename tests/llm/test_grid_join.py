@@ -62,3 +62,22 @@ def test_repeated_rows_and_empty_table(spark):
     out = sorted(map(tuple, grid_join.near_duplicates(df, "vec_id", "embedding", "label").collect()))
     assert out == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
     assert grid_join.near_duplicates(df.limit(0), "vec_id", "embedding", "label").count() == 0
+
+
+def test_finite_doubles_of_any_size(spark, monkeypatch):
+    """Tiny and huge vectors keep their links, also where leaves are small and boxes are pruned."""
+    monkeypatch.setattr(grid_join, "LEAF", 16)
+    monkeypatch.setattr(grid_join, "FAN", 2)
+    draw = np.random.default_rng(3)
+    base = draw.normal(size=(60, 4))
+    rows = []
+    for i, v in enumerate(base):
+        for k, scale in enumerate((1.0, 1e200, 1e-200, 1e-310)):
+            rows.append((4 * i + k, (v * scale).tolist()))
+    df = spark.createDataFrame([(k, v, 1) for k, v in rows], "id long, v array<double>, label int")
+    out = {r["id"]: r for r in grid_join.near_duplicates(df, "id", "v", "label", 0.98).collect()}
+    for i in range(60):
+        assert all(out[4 * i + k]["n_links"] >= 3 for k in range(3))
+        assert len({out[4 * i + k]["component_id"] for k in range(3)}) == 1
+    single = spark.createDataFrame([(1, [1e-200, 1e-201], 1), (2, [1e-200, 1.01e-201], 1)], "id long, v array<double>, label int")
+    assert [r["n_links"] for r in grid_join.near_duplicates(single, "id", "v", "label").collect()] == [1, 1]

@@ -48,6 +48,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r["q"] for r in toxicity.scored(docs, "text", none, "q").collect()} == {0.5}
 
 
+def test_long_labelled_texts_are_sampled_in_whole_runs():
+    coded = np.arange(100_000, dtype="<u8").tobytes()
+    some = np.frombuffer(toxicity.sampled(coded), "<u8").reshape(-1, toxicity.RUN)
+    assert some.size <= toxicity.SAMPLE_WORDS and some[0, 0] == 0 and some[-1, -1] == 99_999
+    assert (np.diff(some, axis=1) == 1).all() and (some[:, 0] % toxicity.RUN == 0).all()
+    assert toxicity.sampled(coded[:800]) == coded[:800]
+
+
 def test_quality_on_held_out_rows(spark):
     rows, labels = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, stats string")

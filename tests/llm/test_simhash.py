@@ -84,3 +84,30 @@ def test_long_text_in_blocks(monkeypatch):
     want = plain(text)
     monkeypatch.setattr(simhash, "BLOCK", 64)
     assert simhash.fingerprint(text, 4) == want == plain(text)
+
+
+def test_boundary_rows_query_several_shards():
+    """With the radius of the queries some prints meet several leaves, and no link is lost."""
+    draw = np.random.default_rng(2)
+    values = draw.integers(0, 2**63, 3000).astype(np.uint64)
+    radius = 4 // simhash.BLOCKS
+    assert radius >= 1
+    near = values ^ np.uint64(1 << 3) ^ np.uint64(1 << 30) ^ np.uint64(1 << 50)
+    covered = np.zeros(len(values), bool)
+    for mask in simhash.block_masks(simhash.BLOCKS):
+        tree = simhash.Tree(values[:1000], mask, 100)
+        at, leaf, home = tree.route(values, radius)
+        assert np.bincount(at).max() > 1 and (np.bincount(at[home]) == 1).all()
+        homes = dict(zip(at[home].tolist(), leaf[home].tolist(), strict=True))
+        far, shard, _ = tree.route(near, radius)
+        for i, x in zip(far.tolist(), shard.tolist(), strict=True):
+            covered[i] |= homes[i] == x
+    assert covered.all()
+
+
+def test_own_column_names_may_clash(spark):
+    df = spark.createDataFrame([(2, "a b c d e", 1, 2, 3), (1, "a b c d e", 4, 5, 6), (None, "x", 7, 8, 9)],
+                               "id long, t string, _kept int, _print int, _0_ int")
+    out = simhash.keep_first(df, "id", "t")
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, "a b c d e", 4, 5, 6), (None, "x", 7, 8, 9)]
