@@ -20,8 +20,9 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression distance does not call toxic, learned from ``labels``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.learned(docs, "doc_id", "text", labels, "doc_id", "toxic")
-    scored = toxicity.scored(docs, "text", model, "_toxic_score")
-    return scored.where(F.col("_toxic_score") < TOXIC).select(*docs.columns)
+    free = "_".join(["score", *docs.columns])  # longer than any column of the input
+    scored = toxicity.scored(docs, "text", model, free)
+    return scored.where(F.col(free) < TOXIC).select(*docs.columns)
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
