@@ -2,8 +2,8 @@
 
 The bits of a fingerprint are split into blocks, with one vantage-point tree per block.  Two
 fingerprints at most ``max_bits`` apart are, in some block, at most ``max_bits // blocks``
-apart, so that is the query radius of every tree (1 bit for 4 bits and three blocks), and the
-triangle bound prunes the branches further away.  A tree node holds a vantage point and the median distance to it;
+apart, so that is the query radius of every tree, and the triangle bound prunes the branches
+further away.  A tree node holds a vantage point and the median distance to it;
 a fingerprint's home is one leaf, and it also queries each leaf whose border lies within the
 radius.  Leaves are the shards of a Spark shuffle; inside a shard the same splitting goes on,
 and pairs that survive are compared over all bits.
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from ravelin.llm.shared import components, written
 
 BITS = 64
-#: Blocks of a fingerprint, a tree each: at most 4 differing bits are at most 1 in one of three.
-BLOCKS = 3
+#: Blocks of a fingerprint, a tree each.  At most 4 differing bits are none in one of five, so the
+#: radius is 0 and a row visits one leaf of each tree.  With three blocks the radius is 1 and rows
+#: near a border visit several; the rows of the shuffle then grow faster than the input.
+BLOCKS = 5
 #: Fingerprints that a leaf should hold, and the most that the driver samples to build trees.
 LEAF, SAMPLE = 16_384, 65_536
 #: Members of one task's comparison; a fuller leaf is dealt into chunks that meet pairwise.

