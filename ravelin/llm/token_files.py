@@ -26,7 +26,7 @@ from tokenizers import Tokenizer
 PART_BYTES = 32 << 20
 #: Words of one generation that a worker remembers; bytes of text tokenised at a time, texts read
 #: back at a time.
-REMEMBERED, SLICE_BYTES, SLICE = 350_000, 4 << 20, 200
+REMEMBERED, SLICE_BYTES, SLICE = 450_000, 6 << 20, 200
 #: New runs of letters in one text, and what may follow a word's letters.
 RUN_WORDS, TAIL = 100, b".,!?;:"
 
