@@ -98,7 +98,7 @@ def decide(
     return (
         targets.select("target")
         .distinct()
-        .join(matched, "target", "left")
+        .join(matched.hint("merge"), "target", "left")
         .select(
             "target",
             F.when(F.col("grant").isNotNull(), "AUTHORIZED").otherwise("DENIED").alias("status"),
@@ -124,7 +124,7 @@ def decide_requests(
     """
     decided = decide(requests.where("target IS NOT NULL"), authorizations, on)
     decided = decided.withColumnRenamed("target", "_target")
-    met = requests.join(decided, F.col("target") == F.col("_target"), "left").drop("_target")
+    met = requests.join(decided.hint("merge"), F.col("target") == F.col("_target"), "left").drop("_target")
     refused = F.lit(False) if action is None else F.coalesce(is_forbidden(F.col(action)), F.lit(False))
     answer = {
         "status": F.when(refused, "REFUSED").otherwise(F.coalesce("status", F.lit("DENIED"))),

@@ -3,17 +3,19 @@
 A target is in scope of a pattern that matches it as a glob or, without its trailing stars, as a
 prefix.  Prefixes are plain equi-joins: a target has one prefix for each length that occurs.  A glob
 with wildcards inside is filed under one piece of its literal text: its head, its tail, or a gram
-of a piece anywhere in it, whichever the fewest patterns share.  A target looks up its own heads,
-tails and grams, so it meets only patterns whose rarest piece it holds; those pairs alone are
-matched, with every distinct pattern compiled once per task.  Globs without literal text (``?*``)
-are spread over salts and meet every target, as they must.
+of any piece in it (a short piece is a gram of its own), whichever the fewest targets hold; where
+none holds a piece, the glob matches nothing.  A target looks up its own heads, tails and grams, so
+it meets only patterns whose rarest piece it holds; those pairs alone are matched, with every
+distinct pattern compiled once per task.  Globs without literal text (``?*``) are spread over salts
+and meet every target, as they must.  Patterns and targets may both be many and sizes planned from
+small files say little, so joins are merged and nothing is broadcast through the driver.
 """
 
 import fnmatch
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Longest gram, salts of patterns without literal text, compiled patterns a task holds.
@@ -28,31 +30,32 @@ def pieces(pattern: Column) -> Column:
     return F.split(open_, r"[*?]+", -1)
 
 
-def filed(globs: DataFrame) -> DataFrame:
-    """``globs`` (pattern, grant) with the ``kind`` and ``key`` under which each is looked up."""
+def filed(globs: DataFrame, targets: DataFrame) -> DataFrame:
+    """``globs`` (pattern, grant) with the ``kind`` and ``key`` under which each is looked up: of its
+    pieces, what the fewest of the distinct ``targets`` hold."""
     parts = pieces(F.col("pattern"))
     # The head ends at the first bracket, closed or not.
     head, tail = F.regexp_extract("pattern", r"(?s)^[^*?\[]*", 0), F.element_at("parts", -1)
-    longest = F.least(F.array_max(F.transform("parts", lambda p: F.length(p))), F.lit(GRAM))
 
     def grams(piece):
-        starts = F.sequence(F.lit(1), F.length(piece) - F.col("q") + 1)
-        return F.transform(starts, lambda i: F.substring(piece, i, F.col("q")))
+        n = F.least(F.length(piece), F.lit(GRAM))
+        return F.transform(F.sequence(F.lit(1), F.length(piece) - n + 1), lambda i: F.substring(piece, i, n))
 
     def entry(kind, key):
         return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
 
-    found = F.flatten(F.transform(F.filter("parts", lambda p: (F.length(p) >= F.col("q")) & (p != "")), grams))
+    found = F.flatten(F.transform(F.filter("parts", lambda p: p != ""), grams))
     entries = F.concat(
         F.array(entry("head", F.col("head")), entry("tail", F.col("tail"))),
         F.transform(F.array_distinct(found), lambda g: entry("gram", g)),
     )
-    cut = globs.withColumn("parts", parts).withColumns({"head": head, "tail": tail}).withColumn("q", longest)
-    cut = cut.select("pattern", "grant", F.explode(F.filter(entries, lambda e: e["key"] != "")).alias("e"))
-    shared = F.count("*").over(Window.partitionBy("e"))
+    cut = globs.withColumn("parts", parts).withColumns({"head": head, "tail": tail})
+    cut = cut.select("pattern", "grant", F.inline(F.filter(entries, lambda e: e["key"] != "")))
+    held = lookups(targets, cut).groupBy("kind", "key").agg(F.count("*").alias("targets"))
+    each = cut.join(held.hint("merge"), ["kind", "key"], "left")
     # Anchored pieces come first: a target has one head or tail of a length, but many grams.
-    rank = F.struct("patterns", F.col("e.kind") == "gram", -F.length("e.key"), "e")
-    best = cut.withColumn("patterns", shared).groupBy("pattern", "grant").agg(F.min_by("e", rank).alias("e"))
+    rank = F.struct(F.coalesce("targets", F.lit(0)).alias("targets"), F.col("kind") == "gram", -F.length("key"), "kind", "key")
+    best = each.groupBy("pattern", "grant").agg(F.min(rank).alias("e")).where("e.targets > 0")
     known = best.select("pattern", "grant", "e.kind", "e.key")
     # What has no literal text at all.
     bare = globs.where(F.array_join(parts, "") == "").select(
@@ -121,10 +124,10 @@ def matched(targets: DataFrame, patterns: DataFrame) -> DataFrame:
     prefixes = each.select("target", F.explode(sizes).alias("n")).where("n <= length(target)").select(
         "target", F.expr("substring(target, 1, n)").alias("stem")
     )
-    by_stem = prefixes.join(stems, "stem").select("target", "grant")
+    by_stem = prefixes.join(stems.hint("merge"), "stem").select("target", "grant")
     inside = patterns.where(stem.rlike(WILD))
-    index = filed(inside)
-    pairs = lookups(each, index).join(index, ["kind", "key"]).select("target", "pattern", "grant")
+    index = filed(inside, each)
+    pairs = lookups(each, index).join(index.hint("merge"), ["kind", "key"]).select("target", "pattern", "grant")
     by_glob = glob_matches(pairs).select("target", "grant")
     always = each.select("target", whole.select("grant").scalar().alias("grant")).where(
         whole.select("n").scalar() > 0

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ravelin import catalog, schema
 from ravelin.functions import text as T
-from ravelin.operators import algebra, baseline, governance, knowledge, report, scorecard
+from ravelin.operators import algebra, baseline, governance, knowledge, report, scopes, scorecard
 
 
 def findings(spark, records):
@@ -243,6 +243,30 @@ def test_every_request_has_its_row(spark, tmp_path):
     assert rows(log, "run", "id") == [(run, i) for run in ("r1", "r2") for i in range(1, 7)]
 
 
+def test_globs_meet_few_targets_through_a_short_piece(spark, monkeypatch):
+    """Globs that differ in a short piece alone are not paired with every target that has the long one."""
+    targets = spark.range(2000).selectExpr("concat('h', id % 9, '.example.com/view/x', id % 400) AS target")
+    patterns = spark.range(300).selectExpr("concat('h?*.example.com/[pv]*/x', id, '?') AS pattern", "id AS grant")
+    pairs, match = [], scopes.glob_matches
+    monkeypatch.setattr(scopes, "glob_matches", lambda df: pairs.append(df) or match(df))
+    got = dict(rows(scopes.matched(targets, patterns), "target", "grant"))
+    names = {r.target for r in targets.collect()}
+    want = {t: int(t.rsplit("x", 1)[1][:-1]) for t in names if len(t.rsplit("x", 1)[1]) > 1}
+    assert got == want
+    assert pairs[0].count() < 20 * len(names)
+
+
+def test_decisions_are_joined_without_broadcasts(spark):
+    """Small files may hold many scopes and requests; none of them goes through the driver whole."""
+    df = spark.range(9).selectExpr("id", "concat('/srv/', id) AS target")
+    auths = spark.range(9).selectExpr(
+        "'o' AS organization", "array(concat('*v/', id), concat('/s', id)) AS scope", "'a' AS authorized_by",
+        "'p' AS permission_ref", "'2999-01-01' AS expires", "id AS auth_seq",
+    )
+    plan = governance.decide_requests(df, auths)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_incomplete_authorizations_drop(spark):
     text = json.dumps({"authorizations": [{"organization": "a"}, dict(organization="b", scope=["*"], authorized_by="x", permission_ref="r", expires="2999-01-01")]})
     df = spark.createDataFrame([(0, text), (1, "[]"), (2, "{bad")], "i int, j string")
