@@ -181,6 +181,26 @@ def test_stream_of_files(spark, tmp_path):
     assert run() == [("eval(x);",), ("eval(x);",), ("eval(y);",), ("eval(z);",)]
 
 
+@pytest.mark.parametrize("folder", [False, True])
+def test_streams_read_a_table_of_one_file_or_of_many(spark, tmp_path, folder):
+    def table(name, records, schema_):
+        df = spark.createDataFrame(records, schema_)
+        if folder:
+            df.repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+        else:
+            df.toPandas().to_parquet(tmp_path / f"{name}.parquet")
+
+    table("pages", [(i, f"http://a.example.com/en/{i}") for i in range(9)], "page_id long, url string")
+    table("supplier", [(6, "S", 1)], "s_suppkey long, s_name string, s_nationkey int")
+    got = rows(entry.queries()["t02_stream_decisions"](spark, str(tmp_path)), "page_id", "action", "organization")
+    assert got == [(i, "AUTHORIZED", "S") for i in range(9)]
+    secret = "padding\napi_key = '%s'"
+    word = "Zx9QmT4vLr7KpW2sYd8NbH5cJf3GaE6uX%dRkVoPqIlSwBt"
+    table("documents", [(i, secret % (word % i)) for i in range(6)] + [(9, "one\n" + secret % (word % 9))], "doc_id long, text string")
+    got = rows(entry.queries()["t01_stream_new_findings"](spark, str(tmp_path)), "file")
+    assert got == [("doc/9.txt",)]
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() == 9
