@@ -265,6 +265,18 @@ def summary(df: DataFrame, top_classes: int | None = None) -> DataFrame:
     )
 
 
+def _not_above(values: str, limit: Column, most: int) -> Column:
+    """How many of the sorted array ``values``, of ``most`` entries at most, are not above ``limit``,
+    by halving: a few comparisons a row, not one for each entry."""
+    steps = [F.lit(2**k) for k in reversed(range(most.bit_length()))]
+
+    def step(n, more):
+        fits = F.try_element_at(values, n + more) <= limit
+        return F.when(fits, n + more).otherwise(n)
+
+    return F.aggregate(F.array(*steps), F.lit(0), step)
+
+
 def numbered(df: DataFrame, order, name: str, buckets: int = 64) -> DataFrame:
     """``df`` with ``name``, its place from 0 by ``order``, by two-level prefix sums.
 
@@ -277,7 +289,7 @@ def numbered(df: DataFrame, order, name: str, buckets: int = 64) -> DataFrame:
     some = row.groupBy(F.pmod(mark, F.lit(buckets)).alias("g")).agg(F.max_by("_order", mark).alias("_order"))
     splitters = some.agg(F.array_sort(F.collect_list("_order"))).scalar()
     placed = row.withColumn("_splitters", splitters).withColumn(
-        "_stretch", F.size(F.filter("_splitters", lambda s: s <= F.col("_order")))
+        "_stretch", _not_above("_splitters", F.col("_order"), buckets)
     ).drop("_splitters")
     sizes = placed.groupBy("_stretch").agg(F.count("*").alias("n"))
     # One row per stretch, at most ``buckets`` + 1.

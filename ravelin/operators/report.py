@@ -43,10 +43,12 @@ def write_json(df: DataFrame, target: str, path: str) -> None:
 def sarif_results(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Findings in order with the index of their rule, the first ``limit`` if given.
 
-    Rules are numbered from one row each; findings join their number.
+    Rules are numbered from one row each; findings join their number.  Without a limit nothing is
+    sorted here: ``_order`` holds the order.
     """
     upper = F.upper(F.coalesce("severity", F.lit("INFO")))
-    top = algebra.limit_in_order(df, limit).withColumns(
+    chosen = df if limit is None else algebra.limit_in_order(df, limit)
+    top = chosen.withColumns(
         {
             "rule_id": F.coalesce("rule_id", F.lit("UNKNOWN")),
             "level": lookup(upper, SARIF_LEVEL, "none"),

@@ -243,6 +243,15 @@ def test_every_request_has_its_row(spark, tmp_path):
     assert rows(log, "run", "id") == [(run, i) for run in ("r1", "r2") for i in range(1, 7)]
 
 
+def test_sarif_results_are_numbered_without_a_sort(spark):
+    df = findings(spark, [plain(i, rule_id=f"R{i % 3}") for i in range(9)])
+    plan = report.sarif_results(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [" not in plan and "filter(scalar-subquery" not in plan
+    some = spark.createDataFrame([([0, 2, 2, 5], i) for i in [-1, 0, 1, 2, 4, 5, 9, None]] + [([], 1), (None, 1)], "v array<int>, o int")
+    got = [r[0] for r in some.select(algebra._not_above("v", F.col("o"), 4)).collect()]
+    assert got == [0, 1, 1, 3, 3, 4, 4, 0, 0, 0]
+
+
 def test_globs_meet_few_targets_through_a_short_piece(spark, monkeypatch):
     """Globs that differ in a short piece alone are not paired with every target that has the long one."""
     targets = spark.range(2000).selectExpr("concat('h', id % 9, '.example.com/view/x', id % 400) AS target")
